@@ -1,0 +1 @@
+"""Every analysis in scope is bounded batch, so there is no streaming job to offer."""
