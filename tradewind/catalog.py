@@ -1,35 +1,364 @@
-"""Registry: query name -> callable that runs a job on the tables of a folder."""
+"""Registry: query name -> callable that runs a job on the tables of a folder.
+
+The callables only wire sources to jobs and pass the parameters that suit the tables. Columns whose
+floating sums depend on the order of the rows are rounded here, so that results can be compared.
+"""
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .plans import retention
-from .sources.retail import LINE_ORDER, retail_lines
+from .functions import fixed_values as fixed
+from .functions.categories import category_levels
+from .operators import quantiles
+from .operators import retention as periods
+from .plans import cleaning, clusters, funnel, marketing, pricing, retail_customers, retention, sales
+from .plans import segments, supply, visitors
+from .sources.listings import listings
+from .sources.retail import LINE_ORDER, discount_lines, retail_lines
+from .sources.web import event_hits, event_products, event_sessions
 
 Query = Callable[[SparkSession, str], DataFrame]
 
+CONTINENT = "AMERICA"
+COUNTRY = "NATION_1"
+SHORT_RANGE_END = "20240125"
+# Part types are main categories too; PROMO is left without a rate.
+CLICK_RATES = fixed.COST_PER_CLICK | dict.fromkeys(["SMALL", "MEDIUM", "LARGE", "STANDARD", "ECONOMY"], 2.5)
+
+
+# No customer of these tables comes back for a fifth of their items.
+LOYALTY = 0.04
+# Items have few lines here, months apart; the words occur in lower case.
+STOCKOUT_RULES = [("High", 10, 30), ("Medium", 15, 60), ("Low", 20, 90)]
+COLD, OUTDOOR = ["cold", "old"], ["hot", "red"]
+RETAIL_RULES = {
+    "dropped_customers": [15],
+    "country_aliases": {"NATION_1": "Ireland", "NATION_2": "South Africa"},
+    "bad_prices": [905.0],
+    "dropped_stock_codes": ["10", "20", "30"],
+    "dropped_invoices": ["100", "C101"],
+    "stock_aliases": {"40": "POST"},
+    "description_aliases": {"old plate": "POSTAGE"},
+}
+OUTLIER_DESCRIPTIONS, OUTLIER_QUANTITIES = ["old plate"], [-49, 49]
+
+
+def rounded(frame: DataFrame, *columns: str, digits: int = 6) -> DataFrame:
+    # Adding zero turns a negative zero into zero.
+    return frame.withColumns({c: F.round(c, digits) + 0.0 for c in columns})
+
+
+# --- inputs ----------------------------------------------------------------------
+
 
 def _orders(spark, folder):
     return retention.retail_orders(retail_lines(spark, folder, "customer_id", "invoice_date", "invoice_no"))
 
 
-def _retention() -> dict[str, Query]:
-    from .operators import retention as op
+def _hits(spark, folder):
+    return event_hits(spark, folder)
+
+
+def _products(spark, folder):
+    return event_products(event_hits(spark, folder), spark, folder)
+
+
+def _plain_products(spark, folder):
+    """Products without category and price."""
+    return event_products(event_hits(spark, folder), spark, folder, catalog=False)
+
+
+def _sold_products(spark, folder, last_day=None):
+    """Products with the totals of their session."""
+    until = {"last_day": last_day} if last_day else {}
+    return event_products(event_hits(spark, folder, session_totals=True, **until), spark, folder)
+
 
+# --- jobs ------------------------------------------------------------------------
+
+
+def _retention() -> dict[str, Query]:
     jobs = {}
-    for period in ("month", "quarter"):
-        jobs[f"period_activity_{period}"] = lambda s, d, p=period: op.period_activity(_orders(s, d), p)
-        jobs[f"customer_period_purchases_{period}"] = lambda s, d, p=period: op.customer_periods(_orders(s, d), p)
-        jobs[f"churned_customers_{period}"] = lambda s, d, p=period: op.churned_customers(_orders(s, d), p)
-        jobs[f"churn_rate_{period}"] = lambda s, d, p=period: op.churn_rate(_orders(s, d), p)
-        jobs[f"cohort_retention_{period}"] = lambda s, d, p=period: op.cohort_retention(_orders(s, d), p)
+    sources = [("", _orders, ("month", "quarter")), ("web_", lambda s, d: retention.web_orders(_hits(s, d)), ("month", "week"))]
+    operators = {
+        "period_activity": periods.period_activity,
+        "customer_period_purchases": periods.customer_periods,
+        "churned_customers": periods.churned_customers,
+        "churn_rate": periods.churn_rate,
+        "cohort_retention": periods.cohort_retention,
+    }
+    for prefix, source, grains in sources:
+        for grain in grains:
+            for name, job in operators.items():
+                jobs[f"{prefix}{name}_{grain}"] = lambda s, d, job=job, src=source, g=grain: job(src(s, d), g)
     jobs["monthly_churn_by_country"] = lambda s, d: retention.monthly_churn_by_country(
         retail_lines(s, d, "customer_id", "invoice_date", "country", *LINE_ORDER)
     )
     return jobs
 
 
+def _funnel() -> dict[str, Query]:
+    return {
+        "clean_categories": lambda s, d: _products(s, d).select("category").distinct().withColumns(
+            category_levels(F.col("category"))
+        ),
+        "conversion_funnel": lambda s, d: funnel.conversion_funnel(_products(s, d)),
+        "funnel_rates": lambda s, d: funnel.funnel_rates(_plain_products(s, d)),
+        "funnel_cumulative": lambda s, d: rounded(funnel.funnel_cumulative(_plain_products(s, d)), "percent_left"),
+        "product_funnel": lambda s, d: funnel.product_funnel(_products(s, d)),
+        "action_distribution": lambda s, d: funnel.action_distribution(_plain_products(s, d)),
+        "stage_distribution": lambda s, d: funnel.stage_distribution(_plain_products(s, d)),
+    }
+
+
+def _visitors() -> dict[str, Query]:
+    v = visitors
+
+    def segments(tiers):
+        return lambda s, d: v.price_sensitivity(_hits(s, d), tiers)
+
+    five, three = segments(fixed.SENSITIVITY_FIVE), segments(fixed.SENSITIVITY_THREE)
+    return {
+        "purchases_per_user": lambda s, d: v.purchases_per_user(_hits(s, d)),
+        "purchases_per_user_describe": lambda s, d: rounded(
+            quantiles.describe(v.purchases_per_user(_hits(s, d)), ["total_purchases", "total_revenue"]), "mean", "std"
+        ),
+        "purchase_averages": lambda s, d: v.purchase_averages(event_sessions(s, d), _hits(s, d)),
+        "top_customers": lambda s, d: v.top_customers(event_sessions(s, d)),
+        "top_customers_10": lambda s, d: v.top_customers(event_sessions(s, d), 10),
+        "session_metrics": lambda s, d: v.session_metrics(event_sessions(s, d)),
+        "session_correlation": lambda s, d: rounded(v.session_correlation(event_sessions(s, d)), "correlation"),
+        "session_correlation_zero_quality": lambda s, d: rounded(
+            v.session_correlation(event_sessions(s, d), missing_quality=0), "correlation"
+        ),
+        "product_event_correlation": lambda s, d: rounded(v.product_event_correlation(_products(s, d)), "correlation"),
+        "price_sensitivity_5": five,
+        "price_sensitivity_3": three,
+        "price_segment_counts_5": lambda s, d: v.segment_counts(five(s, d)),
+        "price_segment_counts_3": lambda s, d: v.segment_counts(three(s, d)),
+        "order_value_histogram_5": lambda s, d: v.order_value_histogram(five(s, d)),
+        "order_value_histogram_3": lambda s, d: v.order_value_histogram(three(s, d)),
+        "visitor_frequency": lambda s, d: v.visitor_frequency(event_sessions(s, d)),
+        "revenue_regression": lambda s, d: rounded(v.revenue_regression(event_sessions(s, d)), "slope", "intercept"),
+    }
+
+
+def _marketing() -> dict[str, Query]:
+    m = marketing
+    jobs = {
+        "channel_conversion_rate": lambda s, d: m.channel_conversion_rate(_sold_products(s, d, SHORT_RANGE_END)),
+        "channel_category_metrics": lambda s, d: m.channel_category_metrics(_products(s, d)),
+        "channel_category_rollup": lambda s, d: m.channel_category_rollup(_products(s, d)),
+        "channel_roi": lambda s, d: rounded(m.channel_roi(_products(s, d), CLICK_RATES), "revenue", "cost", "roi"),
+        "return_rate_monthly": lambda s, d: rounded(m.return_rate_monthly(event_sessions(s, d)), "return_rate"),
+    }
+    over_sessions = [
+        m.channel_performance, m.campaign_performance, m.campaign_revenue_share, m.campaigns_with_revenue,
+        m.campaign_engagement, m.campaign_engagement_boxplot, m.return_rate_daily, m.new_vs_returning,
+        m.campaign_info,
+    ]
+    for job in over_sessions:
+        jobs[job.__name__] = lambda s, d, job=job: job(event_sessions(s, d))
+    return jobs
+
+
+def _sales() -> dict[str, Query]:
+    jobs = {}
+    for job in [
+        sales.daily_revenue, sales.monthly_revenue, sales.revenue_by_region, sales.revenue_by_continent,
+        sales.top_countries_by_revenue, sales.top_countries_by_transactions,
+    ]:
+        jobs[job.__name__] = lambda s, d, job=job: job(event_sessions(s, d))
+    for job in [
+        sales.product_daily_revenue, sales.product_monthly_revenue, sales.kpi_overview, sales.continent_share,
+    ]:
+        jobs[job.__name__] = lambda s, d, job=job: job(_plain_products(s, d))
+    for job in [
+        sales.sales_by_category_day, sales.sales_by_category_month, sales.popular_categories, sales.product_preference,
+    ]:
+        jobs[job.__name__] = lambda s, d, job=job: job(_products(s, d))
+    for job in [
+        sales.sales_by_category, sales.category_transactions, sales.category_share_levels, sales.top5_other_revenue,
+        sales.top5_other_transactions,
+    ]:
+        jobs[job.__name__] = lambda s, d, job=job: job(_sold_products(s, d))
+    for job in [sales.subcontinent_rank, sales.country_rank_in_top]:
+        jobs[job.__name__] = lambda s, d, job=job: job(_plain_products(s, d), CONTINENT)
+    for job in [sales.top_categories, sales.category_monthly_trend]:
+        jobs[job.__name__] = lambda s, d, job=job: job(_products(s, d), CONTINENT)
+    jobs["continent_vs_other"] = lambda s, d: rounded(
+        sales.continent_vs_other(_plain_products(s, d), CONTINENT), "transaction_percent", "revenue_percent"
+    )
+    jobs["top_categories_of_total"] = lambda s, d: sales.top_categories(
+        _products(s, d), CONTINENT, denominator="total"
+    )
+    jobs["region_share_in_category"] = lambda s, d: sales.region_share_in_category(_products(s, d), CONTINENT, COUNTRY)
+    return jobs
+
+
+def _customer_lines(spark, folder, *more):
+    columns = ["invoice_no", "stock_code", "quantity", "invoice_ts", "customer_id", *more]
+    return retail_lines(spark, folder, *columns)
+
+
+def _ordered_customer_lines(spark, folder):
+    return _customer_lines(spark, folder, "country", "line_no", "part_no", "line_quantity")
+
+
+def _spending(spark, folder):
+    """Discount lines, and purchases at their price before discount."""
+    bought = retail_lines(spark, folder, "customer_id", "stock_code", "quantity", "gross_price")
+    return bought.withColumnRenamed("gross_price", "total_price").unionByName(discount_lines(spark, folder))
+
+
+def _retail_customers() -> dict[str, Query]:
+    r = retail_customers
+    season_columns = ["invoice_date", "country", "hemisphere", "description", "quantity"]
+    return {
+        "season_label": lambda s, d: r.season_label(retail_lines(s, d, "invoice_date", "country", "hemisphere")),
+        "keyword_category": lambda s, d: r.keyword_categories(retail_lines(s, d, "description"), COLD, OUTDOOR),
+        "seasonal_sales": lambda s, d: r.seasonal_sales(retail_lines(s, d, *season_columns), COLD, OUTDOOR),
+        "impulsive_customers": lambda s, d: r.impulsive_customers(
+            retail_lines(s, d, "customer_id", "invoice_no", "invoice_date")
+        ),
+        "loyal_items": lambda s, d: r.loyal_items(_customer_lines(s, d)),
+        "repeat_item_descriptions": lambda s, d: r.repeat_item_descriptions(_customer_lines(s, d, "description")),
+        "loyal_probability": lambda s, d: r.loyal_probability(_customer_lines(s, d)),
+        "loyal_share": lambda s, d: r.loyal_share(_customer_lines(s, d), LOYALTY),
+        "loyal_by_country": lambda s, d: r.loyal_by_country(_ordered_customer_lines(s, d), LOYALTY),
+        "customers_by_country": lambda s, d: r.customers_by_country(_ordered_customer_lines(s, d)),
+        "discount_driven": lambda s, d: r.discount_driven(_spending(s, d)),
+    }
+
+
+SUPPLY_COLUMNS = [
+    "stock_code", "description", "quantity", "unit_price", "total_price", "customer_id", "country", "invoice_date",
+    *LINE_ORDER,
+]
+
+
+def _supply() -> dict[str, Query]:
+    def base(spark, folder):
+        return supply.supply_base(retail_lines(spark, folder, *SUPPLY_COLUMNS))
+
+    def demand(spark, folder):
+        return retail_lines(spark, folder, "stock_code", "quantity", "invoice_date")
+
+    jobs = {"supply_base": base}
+    for job in [
+        supply.weekly_sales_velocity, supply.purchase_gaps, supply.country_quantity, supply.country_summary,
+        supply.top_items, supply.underperforming_items, supply.customer_value, supply.orders_by_hour,
+        supply.orders_by_weekday, supply.orders_by_month,
+    ]:
+        jobs[job.__name__] = lambda s, d, job=job: job(base(s, d))
+    for job, columns in [
+        (supply.stockout_tier_mean, ["mean_stockout_rate"]),
+        (supply.stockout_quantity_corr, ["correlation"]),
+    ]:
+        jobs[job.__name__] = lambda s, d, job=job, c=columns: rounded(job(base(s, d), STOCKOUT_RULES), *c)
+    jobs |= {
+        "stockout_rate": lambda s, d: supply.stockout_rate(base(s, d), STOCKOUT_RULES),
+        "country_stockout": lambda s, d: supply.country_stockout(base(s, d), STOCKOUT_RULES),
+        "weekly_sales_velocity_documented": lambda s, d: supply.weekly_sales_velocity(base(s, d), documented=True),
+        "velocity_tier": lambda s, d: supply.velocity_tier(supply.weekly_sales_velocity(base(s, d))),
+        "weekly_demand_stats": lambda s, d: rounded(supply.weekly_demand_stats(demand(s, d)), "demand_std"),
+        "inventory_policy": lambda s, d: rounded(
+            supply.inventory_policy(demand(s, d)), "demand_std", "eoq", "safety_stock", "reorder_point"
+        ),
+        "weekly_series": lambda s, d: supply.weekly_series(demand(s, d)),
+        "demand_forecast": lambda s, d: rounded(
+            supply.demand_forecast(demand(s, d)), "forecast", "lower", "upper", digits=4
+        ),
+    }
+    return jobs
+
+
+def _priced(spark, folder):
+    lines = retail_lines(spark, folder, "description", "quantity", "paid_price")
+    return lines.withColumnRenamed("paid_price", "unit_price")
+
+
+def _pricing() -> dict[str, Query]:
+    return {
+        "pricing_base": lambda s, d: pricing.pricing_base(_priced(s, d)),
+        "price_points": lambda s, d: pricing.price_points(_priced(s, d)),
+        "price_elasticity": lambda s, d: rounded(pricing.price_elasticity(_priced(s, d)), "price_elasticity"),
+        "product_summary": lambda s, d: rounded(pricing.product_summary(_priced(s, d)), "avg_unit_price"),
+        "demand_category": lambda s, d: pricing.demand_category(_priced(s, d)),
+        "competition": lambda s, d: pricing.competition(_priced(s, d)),
+        "adjusted_price": lambda s, d: rounded(
+            pricing.adjusted_price(_priced(s, d)), "price_elasticity", "avg_unit_price", "adjusted_price"
+        ),
+        "description_clusters": lambda s, d: clusters.description_clusters(pricing.pricing_base(_priced(s, d))),
+        "cluster_samples": lambda s, d: clusters.cluster_samples(
+            clusters.description_clusters(pricing.pricing_base(_priced(s, d)))
+        ),
+        "elbow_wcss": lambda s, d: clusters.elbow_wcss(pricing.pricing_base(_priced(s, d))),
+        "category_elasticity": lambda s, d: clusters.category_elasticity(pricing.pricing_base(_priced(s, d))),
+    }
+
+
+def _behavior(spark, folder):
+    return cleaning.clean_behavior(cleaning.behavior_table(_sold_products(spark, folder)))
+
+
+def _cleaning() -> dict[str, Query]:
+    raw_columns = ["invoice_no", "stock_code", "description", "quantity", "unit_price", "customer_id", "country"]
+
+    def raw(spark, folder):
+        return retail_lines(spark, folder, *raw_columns, "invoice_ts")
+
+    return {
+        "clean_retail": lambda s, d: cleaning.clean_retail(raw(s, d), **RETAIL_RULES),
+        "retail_outliers": lambda s, d: cleaning.retail_outliers(raw(s, d), OUTLIER_DESCRIPTIONS, OUTLIER_QUANTITIES),
+        "clean_listings": lambda s, d: cleaning.clean_listings(listings(s, d)),
+        "clean_behavior": _behavior,
+        "profile_null_counts": lambda s, d: cleaning.null_counts(raw(s, d)),
+        "profile_countries": lambda s, d: cleaning.distinct_values(retail_lines(s, d, "country"), "country"),
+        "profile_describe": lambda s, d: rounded(
+            quantiles.describe(retail_lines(s, d, "quantity", "unit_price"), ["quantity", "unit_price"]), "mean", "std"
+        ),
+        "profile_date_span": lambda s, d: cleaning.date_span(retail_lines(s, d, "invoice_date"), "invoice_date"),
+        "profile_currency": lambda s, d: cleaning.first_characters(listings(s, d), "actual_price"),
+    }
+
+
+def _segments() -> dict[str, Query]:
+    def features(spark, folder):
+        return segments.feature_frame(_behavior(spark, folder))
+
+    def fitted(spark, folder):
+        return segments.Segmentation(features(spark, folder))
+
+    return {
+        "feature_frame": features,
+        "standardize": lambda s, d: rounded(segments.standardize(features(s, d)), *segments.STANDARDIZED),
+        "cyclical_month": lambda s, d: rounded(
+            segments.cyclical_month(features(s, d)).groupBy("month", *segments.CYCLE).agg(F.count("*").alias("rows")),
+            *segments.CYCLE,
+        ),
+        "one_hot": lambda s, d: segments.one_hot_counts(features(s, d)),
+        "pca_loadings": lambda s, d: fitted(s, d).loadings(),
+        "pca_strong_loadings": lambda s, d: fitted(s, d).strong_loadings(),
+        "pca_explained_variance": lambda s, d: fitted(s, d).explained(),
+        "kmeans_segments": lambda s, d: fitted(s, d).segments(),
+        "kmeans_segments_on_features": lambda s, d: fitted(s, d).segments(on="features"),
+        "cluster_centers": lambda s, d: fitted(s, d).centers(),
+    }
+
+
 def queries() -> dict[str, Query]:
-    return {**_retention()}
+    return {
+        **_retention(),
+        **_funnel(),
+        **_visitors(),
+        **_marketing(),
+        **_sales(),
+        **_retail_customers(),
+        **_supply(),
+        **_pricing(),
+        **_cleaning(),
+        **_segments(),
+    }
