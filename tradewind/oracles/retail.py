@@ -182,7 +182,7 @@ WHERE customer_id IN (SELECT customer_id FROM shares WHERE loyal_probability > 0
         "discount_driven": retail(
             """SELECT d.customer_id, total_discount, total_spent, total_discount * -100.0 / total_spent AS avg_discount
 FROM (SELECT customer_id,
-    CAST(-sum(CAST(round(l_extendedprice * l_discount, 2) AS DECIMAL(18, 2))) AS DOUBLE) AS total_discount
+    CAST(-sum(round(CAST(l_extendedprice AS DECIMAL(14, 2)) * CAST(l_discount AS DECIMAL(4, 2)), 2)) AS DOUBLE) AS total_discount
   FROM retail WHERE l_discount > 0 AND customer_id IS NOT NULL GROUP BY 1) d
 JOIN (SELECT customer_id, CAST(sum(CAST(l_extendedprice AS DECIMAL(18, 2))) AS DOUBLE) AS total_spent
   FROM retail WHERE quantity > 0 AND quantity <> 3114 AND customer_id IS NOT NULL GROUP BY 1) p
@@ -442,7 +442,7 @@ def _pricing() -> dict[str, str]:
 
 BEHAVIOR = """
 behavior AS (
-  SELECT l.visitor AS users, s.visit_number, l.visit_id, l.date, CAST(start_seconds // 1 AS BIGINT) AS start_time, action, transaction_id,
+  SELECT l.visitor AS users, s.visit_number, l.visit_id, l.date, CAST(floor(start_seconds) AS BIGINT) AS start_time, action, transaction_id,
     transaction_revenue / 1e6 AS transaction_revenue, hit_count AS num_hits, pageviews, time_on_site,
     CAST(COALESCE(session_quality, -1) AS BIGINT) AS session_quality, revenue / 1e6 AS totals_revenue,
     COALESCE(transactions, 0) AS transactions, product_price / 1e6 AS price, l.channel AS medium, l.continent,

@@ -20,6 +20,7 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..operators.lineage import cut_lineage
 from .pricing import price_elasticity
 
 MAX_TERMS = 500
@@ -36,6 +37,8 @@ def description_vectors(lines: DataFrame, max_terms: int = MAX_TERMS) -> tuple[D
     documents = lines.where(F.col("description").isNotNull()).groupBy("description").agg(
         F.count("*").cast("double").alias("weight")
     )
+    # Term statistics and every clustering read the documents again; the lines are read once.
+    documents = cut_lineage(documents)
     words = Pipeline(
         stages=[
             RegexTokenizer(inputCol="description", outputCol="all_terms", pattern=r"\w\w+", gaps=False),
@@ -90,20 +93,17 @@ def cluster_samples(clusters: DataFrame, n: int = 10) -> DataFrame:
 
 def elbow_wcss(lines: DataFrame, max_k: int = 14, seed: int = SEED) -> DataFrame:
     """Within-cluster sum of squares for k = 1 .. max_k."""
-    vectors, vocabulary = description_vectors(lines)
-    vectors = vectors.persist()
-    try:
-        # One cluster has the mean as its centre: sum of squares minus the mean's share.
-        stats = vectors.select(
-            Summarizer.metrics("mean", "normL2", "weightSum").summary(F.col("features"), F.col("weight")).alias("s")
-        ).select("s.*").first()
-        squares = sum(x * x for x in stats["normL2"].toArray())
-        mean = sum(x * x for x in stats["mean"].toArray())
-        costs = [(1, float(squares - stats["weightSum"] * mean))]
-        for k in range(2, max_k + 1):
-            costs.append((k, float(_fit(vectors, k, seed).summary.trainingCost)))
-    finally:
-        vectors.unpersist()
+    vectors, _ = description_vectors(lines)
+    # One cluster has the mean as its centre: sum of squares minus the mean's share.
+    stats = vectors.select(
+        Summarizer.metrics("mean", "normL2").summary(F.col("features"), F.col("weight")).alias("s"),
+        F.sum("weight").alias("total"),
+    ).select("s.*", "total").first()
+    squares = sum(x * x for x in stats["normL2"].toArray())
+    mean = sum(x * x for x in stats["mean"].toArray())
+    costs = [(1, float(squares - stats["total"] * mean))]
+    for k in range(2, max_k + 1):
+        costs.append((k, float(_fit(vectors, k, seed).summary.trainingCost)))
     return lines.sparkSession.createDataFrame(costs, "k bigint, wcss double")
 
 

@@ -10,6 +10,8 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.lineage import cut_lineage
+
 STANDARDIZED = ["visit_number", "time_on_site", "pageviews", "session_quality", "totals_revenue", "price"]
 CATEGORICAL = ["main_category", "continent", "action"]
 CYCLE = ["month_sin", "month_cos"]
@@ -95,7 +97,8 @@ class Segmentation:
 
     def __init__(self, features: DataFrame, components: int = COMPONENTS):
         self.numeric = [*STANDARDIZED, "transactions", *CYCLE]
-        prepared = cyclical_month(standardize(features))
+        # Indexing, centring, components and clustering each read the rows again.
+        prepared = cyclical_month(standardize(cut_lineage(features)))
         stages = [
             *one_hot_stages(),
             VectorAssembler(inputCols=[*self.numeric, *[f"{c}_dummies" for c in CATEGORICAL]], outputCol="raw"),

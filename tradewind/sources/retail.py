@@ -60,11 +60,13 @@ def discount_lines(spark: SparkSession, folder: str) -> DataFrame:
     """One `D` line per discounted order line, valued at minus the discount."""
     lines = table(spark, folder, "lineitem").where(F.col("l_discount") > 0)
     lines = lines.join(_orders(spark, folder, False), F.col("l_orderkey") == F.col("o_orderkey"))
+    # Decimals, so that half a cent rounds the same way everywhere.
+    saved = F.col("l_extendedprice").cast("decimal(16,2)") * F.col("l_discount").cast("decimal(4,2)")
     return lines.select(
         _customer().alias("customer_id"),
         F.lit("D").alias("stock_code"),
         F.lit(-1).cast("bigint").alias("quantity"),
-        (-F.round(F.col("l_extendedprice") * F.col("l_discount"), 2)).alias("total_price"),
+        (-F.round(saved, 2)).cast("double").alias("total_price"),
     )
 
 
