@@ -9,12 +9,18 @@ from ..functions.labels import action_label, in_funnel, stage_rank
 from ..functions.numbers import percent
 
 
+def _staged_counts(products: DataFrame) -> DataFrame:
+    """Rows per action and raw category, so that paths are classified once and not per row."""
+    staged = products.where(in_funnel(F.col("action")))
+    return staged.groupBy("action", "category").agg(F.count("full_visitor_id").alias("users"))
+
+
 def conversion_funnel(products: DataFrame) -> DataFrame:
     """Product hits per stage and coarse category. `users` counts rows, not distinct visitors."""
-    staged = products.where(in_funnel(F.col("action")))
-    return staged.groupBy(
+    counts = _staged_counts(products)
+    return counts.groupBy(
         action_label(F.col("action")).alias("action"), funnel_category(F.col("category")).alias("category")
-    ).agg(F.count("full_visitor_id").alias("users"))
+    ).agg(F.sum("users").alias("users"))
 
 
 def _users_by_action(products: DataFrame) -> DataFrame:
@@ -55,12 +61,12 @@ def funnel_cumulative(products: DataFrame) -> DataFrame:
 def product_funnel(products: DataFrame) -> DataFrame:
     """Rows per main category and stage with the step percentage, absent stages kept as zero."""
     counts = (
-        products.where(in_funnel(F.col("action")) & F.col("action").isNotNull())
+        _staged_counts(products)
         .groupBy(
             merged_funnel_category(F.col("category")).alias("main_category"),
             action_label(F.col("action")).alias("action"),
         )
-        .agg(F.count("full_visitor_id").alias("users"))
+        .agg(F.sum("users").alias("users"))
     )
     stages = F.array(*[F.lit(name) for name in ACTION_LABELS.values()])
     grid = counts.select("main_category").distinct().select("main_category", F.explode(stages).alias("action"))

@@ -81,11 +81,15 @@ def impulsive_customers(
     )
     day = F.col("invoice_date")
     bought = F.when(F.col("purchases") > 0, day)
-    year = Window.partitionBy("customer_id", "year").orderBy("invoice_date")
-    until = year.rowsBetween(Window.unboundedPreceding, 0)
-    since = year.rowsBetween(0, Window.unboundedFollowing)
-    before = F.datediff(day, F.last(bought, ignorenulls=True).over(until))
-    after = F.datediff(F.first(bought, ignorenulls=True).over(since), day)
+    year = Window.partitionBy("customer_id", "year")
+
+    def latest(order):
+        # A running frame in either direction costs one step per row.
+        running = year.orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+        return F.last(bought, ignorenulls=True).over(running)
+
+    before = F.datediff(day, latest(F.asc("invoice_date")))
+    after = F.datediff(latest(F.desc("invoice_date")), day)
     near = days.withColumn("distance", F.least(before, after))
     strong = F.col("distance") <= strong_days
     weak = (F.col("distance") > strong_days) & (F.col("distance") <= weak_days)

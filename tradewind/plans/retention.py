@@ -25,30 +25,29 @@ def web_orders(hits: DataFrame) -> DataFrame:
 def monthly_churn_by_country(lines: DataFrame, idle_days: int = 30) -> DataFrame:
     """Lines followed by more than `idle_days` without another line of the customer, per country.
 
-    Only the last line of a customer's day can be followed by such a gap, so lines are first
-    reduced to one row per customer and day; the window then sees at most one row per day.
+    Only the last line of a customer's day can be followed by such a gap. Lines are first reduced to
+    one row per customer, day and country, which carries all that both counts need: one scan, and
+    windows over at most the days of the calendar.
     """
     lines = lines.withColumn("country", F.coalesce("country", F.lit("Unknown")))
-    month = F.trunc("invoice_date", "month")
-    totals = lines.groupBy(month.alias("month"), "country").agg(F.count("*").alias("lines"))
-
     order = F.struct("invoice_ts", "invoice_no", "line_no", "part_no", "line_quantity")
-    days = (
-        lines.where(F.col("customer_id").isNotNull())
-        .groupBy("customer_id", "invoice_date")
-        .agg(
-            F.min("invoice_ts").alias("first_ts"),
-            F.max("invoice_ts").alias("last_ts"),
-            F.max_by("country", order).alias("country"),
-        )
+    days = lines.groupBy("customer_id", "invoice_date", "country").agg(
+        F.count("*").alias("lines"), F.min("invoice_ts").alias("first_ts"), F.max(order).alias("last_line")
+    )
+    # One shuffle by customer serves both windows.
+    days = days.repartition("customer_id")
+    first_of_day = F.min("first_ts").over(Window.partitionBy("customer_id", "invoice_date"))
+    customer = Window.partitionBy("customer_id").orderBy("invoice_date", "last_line")
+    days = days.withColumn("day_first_ts", first_of_day).withColumns(
+        {
+            "next_date": F.lead("invoice_date").over(customer),
+            "next_ts": F.lead("day_first_ts").over(customer),
+        }
     )
-    following = F.lead("first_ts").over(Window.partitionBy("customer_id").orderBy("invoice_date"))
-    gaps = days.withColumn("following", following)
-    idle = F.timestamp_diff("DAY", F.col("last_ts"), F.col("following"))
-    churned = (
-        gaps.where(idle > idle_days)
-        .groupBy(month.alias("month"), "country")
-        .agg(F.count("*").alias("churned_lines"))
+    idle = F.timestamp_diff("DAY", F.col("last_line.invoice_ts"), F.col("next_ts"))
+    last_of_day = F.col("next_date") > F.col("invoice_date")
+    churned = F.count_if(F.col("customer_id").isNotNull() & last_of_day & (idle > idle_days))
+    counts = days.groupBy(F.trunc("invoice_date", "month").alias("month"), "country").agg(
+        F.sum("lines").alias("lines"), F.nullif(churned, F.lit(0)).alias("churned_lines")
     )
-    joined = totals.join(churned, ["month", "country"], "left")
-    return joined.select("month", "country", ratio(F.col("churned_lines"), F.col("lines")).alias("churn_rate"))
+    return counts.select("month", "country", ratio(F.col("churned_lines"), F.col("lines")).alias("churn_rate"))

@@ -1,6 +1,6 @@
 """Revenue by day, place and product category."""
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.categories import LEVELS, category_levels, main_category
@@ -238,6 +238,14 @@ def _in_top_subcontinent(countries: DataFrame) -> DataFrame:
     return countries.where(F.col("sub_continent") == top)
 
 
+def _main_amounts(products: DataFrame, *keys: Column, blank_as_other: bool = True) -> DataFrame:
+    """Revenue per key and main category; paths are cleaned after the raw ones are summed."""
+    raw = products.groupBy(*keys, "category").agg(F.sum(zero(F.col("product_revenue"))).alias("amount"))
+    names = [c for c in raw.columns if c not in ("category", "amount")]
+    main = main_category(F.col("category"), blank_as_other)
+    return raw.groupBy(*names, main.alias("main_category")).agg(F.sum("amount").alias("amount"))
+
+
 def subcontinent_rank(products: DataFrame, continent: str) -> DataFrame:
     shared = with_percent(_subcontinent_sums(_country_sums(products, continent)), revenue_percent="amount")
     return shared.select("sub_continent", micros(F.col("amount")).alias("revenue"), "revenue_percent").orderBy(
@@ -262,11 +270,7 @@ def top_categories(
     The percentage is of the top sub-continent's revenue, or with `denominator="total"` of all of
     the continent's revenue.
     """
-    mains = (
-        _within(products, continent)
-        .groupBy(main_category(F.col("category")).alias("main_category"))
-        .agg(F.sum(zero(F.col("product_revenue"))).alias("amount"))
-    )
+    mains = _main_amounts(_within(products, continent))
     base = mains if denominator == "total" else _in_top_subcontinent(_country_sums(products, continent))
     whole = totals_of(base, "amount")["amount"]
     top = mains.orderBy(F.desc("amount"), "main_category").limit(n)
@@ -281,14 +285,8 @@ def region_share_in_category(
     products: DataFrame, continent: str, country: str, categories: list[str] = REGIONAL_CATEGORIES, n: int = 5
 ) -> DataFrame:
     """The regions of a country with the largest share of each listed category."""
-    sums = (
-        _within(products, continent)
-        .where(F.col("country") == country)
-        .withColumn("main_category", main_category(F.col("category")))
-        .where(F.col("main_category").isin(categories))
-        .groupBy("main_category", "region")
-        .agg(F.sum(zero(F.col("product_revenue"))).alias("amount"))
-    )
+    sold = _within(products, continent).where(F.col("country") == country)
+    sums = _main_amounts(sold, F.col("region")).where(F.col("main_category").isin(categories))
     per_category = Window.partitionBy("main_category")
     shared = sums.withColumn("percentage", percent(F.col("amount"), F.sum("amount").over(per_category)))
     position = F.row_number().over(per_category.orderBy(F.desc("amount"), "region"))
@@ -298,14 +296,8 @@ def region_share_in_category(
 
 def category_monthly_trend(products: DataFrame, continent: str, n: int = 6) -> DataFrame:
     """Monthly revenue of the categories with the highest total, `Unavailable` hidden afterwards."""
-    months = (
-        _within(products, continent)
-        .groupBy(
-            F.trunc(_date(), "month").alias("month"),
-            main_category(F.col("category"), blank_as_other=False).alias("main_category"),
-        )
-        .agg(F.sum(zero(F.col("product_revenue"))).alias("amount"))
-    )
+    month = F.trunc(_date(), "month").alias("month")
+    months = _main_amounts(_within(products, continent), month, blank_as_other=False)
     totals = months.groupBy("main_category").agg(F.sum("amount").alias("amount"))
     top = totals.orderBy(F.desc("amount"), "main_category").limit(n).select("main_category")
     # `top` has at most n rows.

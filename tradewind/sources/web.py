@@ -97,21 +97,31 @@ def _events(spark: SparkSession, folder: str, first_day: str, last_day: str) ->
     upper = F.date_add(_day_column(last_day), 1).cast("timestamp_ntz")
     events = table(spark, folder, "events").where((F.col("ts") >= lower) & (F.col("ts") < upper))
     day = F.datediff(F.to_date("ts"), F.lit(DAY_ZERO).cast("date")).cast("bigint")
-    block = (day / (F.lit(1) + F.col("user_id") % 10)).cast("bigint")
     return events.select(
         "event_id",
         "ts",
         "user_id",
         "event_type",
         day.alias("day"),
-        F.concat(F.col("user_id").cast("string"), F.lit("-"), block.cast("string")).alias("full_visitor_id"),
-        (day * 10 + F.col("user_id") % 10).alias("visit_id"),
-        F.date_format("ts", "yyyyMMdd").alias("date"),
         F.round(F.col("value") * 1e6).cast("bigint").alias("micros"),
         F.regexp_extract("props", "([0-9]+)", 1).cast("int").alias("k"),
     )
 
 
+def _with_keys(rows: DataFrame) -> DataFrame:
+    """Visitor, visit and date of a (user_id, day): a visitor is a user within a block of days."""
+    user, day = F.col("user_id"), F.col("day")
+    block = (day / (user % 10 + 1)).cast("bigint")
+    date = F.date_add(F.lit(DAY_ZERO).cast("date"), day.cast("int"))
+    return rows.withColumns(
+        {
+            "full_visitor_id": F.concat(user.cast("string"), F.lit("-"), block.cast("string")),
+            "visit_id": day * 10 + user % 10,
+            "date": F.date_format(date, "yyyyMMdd"),
+        }
+    )
+
+
 def _pick(names: list[str], position):
     return F.get(F.array(*[F.lit(name) for name in names]), position.cast("int"))
 
@@ -157,11 +167,12 @@ def event_hits(
         .otherwise("5")
     )
     bought = kind == "purchase"
-    hits = _with_context(events, spark, folder).select(
+    hits = _with_context(_with_keys(events), spark, folder).select(
         *KEYS,
         *CONTEXT,
         "user_id",
         "day",
+        "event_type",
         "event_id",
         "k",
         action.alias("action"),
@@ -179,7 +190,7 @@ def event_products(hits: DataFrame, spark: SparkSession, folder: str, catalog: b
     """Products of the hits; `catalog=False` leaves out category and price, and the join for them."""
     second = F.col("k") % 3 == 0
     # Errors carry no product. Drop them before the explode, where the scan can use the filter.
-    rows = hits.where(F.col("action") != "0").withColumn(
+    rows = hits.where(F.col("event_type") != "error").withColumn(
         "position", F.explode(F.when(second, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0))))
     )
     items = F.when(second, 2).otherwise(1)
@@ -220,7 +231,7 @@ def event_sessions(
     events = _events(spark, folder, FIRST_DAY, last_day)
     seen = F.col("event_type").isin("view", "click")
     bought = F.col("event_type") == "purchase"
-    sessions = events.groupBy("user_id", "day", *KEYS).agg(
+    sessions = events.groupBy("user_id", "day").agg(
         F.min("ts").alias("first_ts"),
         F.max("ts").alias("last_ts"),
         F.count("*").alias("hit_count"),
@@ -228,6 +239,7 @@ def event_sessions(
         F.count_if(bought).alias("bought"),
         F.sum(F.when(bought, F.col("micros"))).alias("revenue"),
     )
+    sessions = _with_keys(sessions)
     visits = Window.partitionBy("full_visitor_id").orderBy("day")
     number = F.row_number().over(visits).cast("bigint")
     sessions = sessions.withColumn("visit_number", number).where(F.col("date").between(first_day, last_day))
