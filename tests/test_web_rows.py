@@ -177,6 +177,15 @@ def test_shares_sum_to_hundred(spark, folder):
         assert list(sums) == pytest.approx([100.0] * len(columns)), name
 
 
+def test_correlation_of_a_constant_is_null(spark):
+    from tradewind.operators.shares import correlation_pairs
+
+    frame = spark.createDataFrame([(1, 5, 2), (2, 5, None), (3, 5, 6)], "x int, flat int, gaps int")
+    got = {(r["a"], r["b"]): r["correlation"] for r in correlation_pairs(frame, ["x", "flat", "gaps"]).collect()}
+    assert got["x", "flat"] is None and got["flat", "flat"] is None
+    assert got["x", "x"] == pytest.approx(1) and got["gaps", "x"] == pytest.approx(1)
+
+
 def test_histogram_counts_every_known_value(spark):
     frame = spark.createDataFrame([("a", 0.0), ("a", 5.0), ("a", 10.0), ("b", 3.0), ("b", None)], "segment string, avg_order_value double")
     assert rows(visitors.order_value_histogram(frame, 2), "segment", "bin", "visitors") == [("a", 0, 1), ("a", 1, 2), ("b", 1, 1)]

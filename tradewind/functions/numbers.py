@@ -28,5 +28,12 @@ def ratio(part: Column, whole: Column) -> Column:
     return F.try_divide(part.cast("double"), whole.cast("double"))
 
 
+def pearson(x: Column, y: Column) -> Column:
+    """Correlation over the rows that have both values, null when either side is constant."""
+    x, y = x.cast("double"), y.cast("double")
+    spread = F.stddev_pop(F.when(y.isNotNull(), x)) * F.stddev_pop(F.when(x.isNotNull(), y))
+    return F.try_divide(F.covar_pop(x, y), spread)
+
+
 def percent(part: Column, whole: Column) -> Column:
     return ratio(part, whole) * 100.0

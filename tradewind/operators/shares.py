@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.fixed_values import UNRANKED_CATEGORIES
-from ..functions.numbers import percent
+from ..functions.numbers import pearson, percent
 
 
 def totals_of(df: DataFrame, *columns: str) -> Column:
@@ -36,7 +36,7 @@ def correlation_pairs(df: DataFrame, columns: list[str]) -> DataFrame:
     """Pearson matrix in long form; each pair uses the rows where both sides are present."""
     ordered = [(a, b) for i, a in enumerate(columns) for b in columns[i:]]
     names = {pair: f"c{i}" for i, pair in enumerate(ordered)}
-    row = df.agg(*[F.corr(F.col(a).cast("double"), F.col(b).cast("double")).alias(n) for (a, b), n in names.items()])
+    row = df.agg(*[pearson(F.col(a), F.col(b)).alias(n) for (a, b), n in names.items()])
     cells = [
         F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(names.get((a, b)) or names[(b, a)]).alias("correlation"))
         for a, b in product(columns, columns)

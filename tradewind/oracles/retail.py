@@ -327,7 +327,8 @@ FROM base GROUP BY 1""",
         "country_summary": retail("SELECT * FROM countries", BASE, COUNTRIES),
         "stockout_quantity_corr": rounded(
             retail(
-                """SELECT corr(stockout_rate, CAST(total_quantity AS DOUBLE)) AS correlation
+                """SELECT CASE WHEN stddev_pop(stockout_rate) > 0 THEN corr(stockout_rate, CAST(total_quantity AS DOUBLE)) END
+  AS correlation
 FROM by_country JOIN countries USING (country)""",
                 BASE, VELOCITY, GAPS, STOCKOUTS, COUNTRIES,
             ),

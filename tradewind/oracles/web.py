@@ -67,7 +67,7 @@ def total(column: str) -> str:
 
 def correlations(names: list[str], source: str) -> str:
     cells = [
-        f"SELECT '{a}' AS a, '{b}' AS b, corr(CAST({a} AS DOUBLE), CAST({b} AS DOUBLE)) AS correlation FROM {source}"
+        f"SELECT '{a}' AS a, '{b}' AS b, CASE WHEN isfinite(corr(CAST({a} AS DOUBLE), CAST({b} AS DOUBLE))) THEN corr(CAST({a} AS DOUBLE), CAST({b} AS DOUBLE)) END AS correlation FROM {source}"
         for a, b in product(names, names)
     ]
     return "\nUNION ALL ".join(cells)

@@ -12,7 +12,7 @@ from ..functions.fixed_values import (
     WEEKDAYS,
 )
 from ..functions.labels import weekday_name
-from ..functions.numbers import money_sum, ratio
+from ..functions.numbers import money_sum, pearson, ratio
 from ..functions.periods import period_start, week_end
 from ..operators.quantiles import exact_quantiles
 
@@ -123,7 +123,7 @@ def country_summary(base: DataFrame) -> DataFrame:
 
 def stockout_quantity_corr(base: DataFrame, rules: list[tuple] = STOCKOUT_RULES) -> DataFrame:
     joined = country_stockout(base, rules).join(country_summary(base), "country")
-    return joined.agg(F.corr("stockout_rate", F.col("total_quantity").cast("double")).alias("correlation"))
+    return joined.agg(pearson(F.col("stockout_rate"), F.col("total_quantity")).alias("correlation"))
 
 
 # --- items and customers ----------------------------------------------------------
