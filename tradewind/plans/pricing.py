@@ -11,6 +11,7 @@ from ..functions.fixed_values import PRICE_CAP
 from ..functions.labels import price_step
 from ..functions.numbers import ratio
 from ..operators.quantiles import exact_quantiles
+from ..operators.skew import join_keyed
 
 MIN_LINES = 10
 
@@ -22,8 +23,10 @@ def _sold(lines: DataFrame) -> DataFrame:
 def pricing_base(lines: DataFrame, min_lines: int = MIN_LINES) -> DataFrame:
     """Sold lines of the descriptions that have enough of them."""
     sold = _sold(lines)
-    frequent = sold.groupBy("description").agg(F.count("*").alias("n")).where(F.col("n") >= min_lines)
-    return sold.join(frequent, "description", "left_semi")
+    counts = sold.groupBy("description").agg(F.count("*").alias("n"))
+    total = counts.agg(F.sum("n")).scalar()
+    frequent = counts.where(F.col("n") >= min_lines)
+    return join_keyed(sold, frequent, ["description"], "n", total, sold.columns).drop("n")
 
 
 def _price_rows(lines: DataFrame, min_lines: int) -> DataFrame:

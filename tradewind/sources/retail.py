@@ -56,6 +56,31 @@ def retail_lines(spark: SparkSession, folder: str, *columns: str) -> DataFrame:
     return lines.select(*[LINE_COLUMNS[name]().alias(name) for name in columns])
 
 
+def retail_invoices(spark: SparkSession, folder: str, cancellations: bool = True) -> DataFrame:
+    """One row per invoice and time with its number of lines.
+
+    Lines are counted before the join with their orders: an order with very many lines is reduced
+    by the tasks that scan it. Without cancellations the counts are already partitioned for the join.
+    """
+    lines = table(spark, folder, "lineitem")
+    count = F.count("*").alias("line_count")
+    shipped = F.when(_returned(), F.col("l_shipdate"))
+    if cancellations:
+        # Only a return has a date of its own.
+        flag = F.when(_returned(), "R").otherwise("N")
+        counted = lines.groupBy("l_orderkey", flag.alias("l_returnflag"), shipped.alias("l_shipdate")).agg(count)
+    else:
+        counted = lines.where(~_returned()).groupBy("l_orderkey").agg(count)
+        counted = counted.select("*", F.lit("N").alias("l_returnflag"), F.lit(None).cast("timestamp_ntz").alias("l_shipdate"))
+    orders = _orders(spark, folder, False)
+    return counted.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).select(
+        _invoice_no().alias("invoice_no"),
+        _customer().alias("customer_id"),
+        F.to_date(_invoice_ts()).alias("invoice_date"),
+        "line_count",
+    )
+
+
 def discount_lines(spark: SparkSession, folder: str) -> DataFrame:
     """One `D` line per discounted order line, valued at minus the discount."""
     lines = table(spark, folder, "lineitem").where(F.col("l_discount") > 0)

@@ -13,6 +13,7 @@ without ever gathering a visit's hits into one row.
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..operators.skew import join_keyed
 from .files import table
 
 DAY_ZERO = "2024-01-01"
@@ -182,7 +183,8 @@ def event_hits(
     if session_totals:
         sessions = event_sessions(spark, folder, first_day, last_day)
         totals = sessions.select("user_id", "day", *[F.col(c).alias(f"session_{c}") for c in TOTALS])
-        hits = hits.join(totals, ["user_id", "day"])
+        count = _events(spark, folder, first_day, last_day).agg(F.count("*")).scalar()
+        hits = join_keyed(hits, totals, ["user_id", "day"], "session_hit_count", count, ["event_id"])
     return hits
 
 
