@@ -54,7 +54,7 @@ def rounded(frame: DataFrame, *columns: str, digits: int = 6) -> DataFrame:
 
 
 def _orders(spark, folder):
-    return retention.retail_orders(retail_invoices(spark, folder, cancellations=False))
+    return retention.retail_orders(retail_invoices(spark, folder))
 
 
 def _hits(spark, folder):
@@ -220,7 +220,7 @@ def _retail_customers() -> dict[str, Query]:
         "season_label": lambda s, d: r.season_label(retail_lines(s, d, "invoice_date", "country", "hemisphere")),
         "keyword_category": lambda s, d: r.keyword_categories(retail_lines(s, d, "description"), COLD, OUTDOOR),
         "seasonal_sales": lambda s, d: r.seasonal_sales(retail_lines(s, d, *season_columns), COLD, OUTDOOR),
-        "impulsive_customers": lambda s, d: r.impulsive_customers(retail_invoices(s, d)),
+        "impulsive_customers": lambda s, d: r.impulsive_customers(retail_lines(s, d, "customer_id", "invoice_no", "invoice_date")),
         "loyal_items": lambda s, d: r.loyal_items(_customer_lines(s, d)),
         "repeat_item_descriptions": lambda s, d: r.repeat_item_descriptions(_customer_lines(s, d, "description")),
         "loyal_probability": lambda s, d: r.loyal_probability(_customer_lines(s, d)),

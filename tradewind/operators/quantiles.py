@@ -26,12 +26,13 @@ def exact_quantiles(df: DataFrame, column: str, wanted: dict[str, float]) -> Dat
     sketch = values.agg(F.percentile_approx("value", edges, SKETCH_ACCURACY)).scalar()
 
     counted = values.groupBy("value").agg(F.count("*").alias("freq"))
-    measures = [F.sum("freq").alias("n")]
-    for i, name in enumerate(names):
-        low, high = F.get(sketch, F.lit(2 * i)), F.get(sketch, F.lit(2 * i + 1))
+    # One reference each to the sketch and to the brackets: every further one would be planned anew.
+    measures = [F.sum("freq").alias("n"), F.any_value("sketch").alias("sketch")]
+    for i in range(len(names)):
+        low, high = F.get("sketch", F.lit(2 * i)), F.get("sketch", F.lit(2 * i + 1))
         measures.append(F.coalesce(F.sum(F.when(F.col("value") < low, F.col("freq"))), F.lit(0)).alias(f"below_{i}"))
         measures.append(F.coalesce(F.sum(F.when(F.col("value") <= high, F.col("freq"))), F.lit(0)).alias(f"upto_{i}"))
-    counts = counted.agg(*measures)
+    counts = counted.withColumn("sketch", sketch).agg(*measures)
 
     brackets = []
     for i, name in enumerate(names):
@@ -45,8 +46,8 @@ def exact_quantiles(df: DataFrame, column: str, wanted: dict[str, float]) -> Dat
                 upper.alias("upper"),
                 (position - lower).alias("fraction"),
                 F.when(sound, F.col(f"below_{i}")).otherwise(0).alias("below"),
-                F.when(sound, F.get(sketch, F.lit(2 * i))).alias("low"),
-                F.when(sound, F.get(sketch, F.lit(2 * i + 1))).alias("high"),
+                F.when(sound, F.get("sketch", F.lit(2 * i))).alias("low"),
+                F.when(sound, F.get("sketch", F.lit(2 * i + 1))).alias("high"),
             )
         )
     bracket_list = counts.select(F.array(*brackets)).scalar()
@@ -85,14 +86,9 @@ def describe(df: DataFrame, columns: list[str]) -> DataFrame:
             F.stddev_samp(value).alias("std"),
             F.min(value).alias("min"),
             F.max(value).alias("max"),
-        ).select(
-            F.lit(column).alias("column"),
-            "count",
-            "mean",
-            "std",
-            "min",
-            *[parts[name].alias(name) for name in ("q25", "median", "q75")],
-            "max",
+        ).withColumn("parts", parts)
+        row = row.select(
+            F.lit(column).alias("column"), "count", "mean", "std", "min", "parts.q25", "parts.median", "parts.q75", "max"
         )
         rows = row if rows is None else rows.unionByName(row)
     return rows

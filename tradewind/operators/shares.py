@@ -16,8 +16,9 @@ def totals_of(df: DataFrame, *columns: str) -> Column:
 
 def with_percent(df: DataFrame, **shares: str) -> DataFrame:
     """Add `name=column` percentages of the column's total."""
-    totals = totals_of(df, *dict.fromkeys(shares.values()))
-    return df.withColumns({name: percent(F.col(c), totals[c]) for name, c in shares.items()})
+    whole = df.withColumn("_whole", totals_of(df, *dict.fromkeys(shares.values())))
+    shared = whole.withColumns({name: percent(F.col(c), F.col(f"_whole.{c}")) for name, c in shares.items()})
+    return shared.drop("_whole")
 
 
 def top_n_and_other(df: DataFrame, label: str, value: str, n: int = 5) -> DataFrame:

@@ -76,15 +76,16 @@ def _market(lines: DataFrame, min_lines: int, max_elasticity: float) -> DataFram
     products = _elastic(lines, min_lines, max_elasticity)
     wanted = {"low": 0.33, "high": 0.66, "middle": 0.5}
     bounds = exact_quantiles(products, "total_quantity", wanted).select(F.struct(*wanted)).scalar()
+    products = products.withColumn("bounds", bounds)
     quantity, elasticity = F.col("total_quantity"), F.col("price_elasticity")
 
     def score(value, middle):
         return F.when(value < middle, 0).when(value == middle, 1).otherwise(2)
 
-    demand = F.when(quantity < bounds["low"], "Low").when(quantity < bounds["high"], "Medium").otherwise("High")
-    total = score(elasticity, F.lit(1.0)) + score(quantity, bounds["middle"])
+    demand = F.when(quantity < F.col("bounds.low"), "Low").when(quantity < F.col("bounds.high"), "Medium").otherwise("High")
+    total = score(elasticity, F.lit(1.0)) + score(quantity, F.col("bounds.middle"))
     competition = F.when(total <= 1, "Low").when(total == 2, "Medium").otherwise("High")
-    return products.withColumns({"demand_category": demand, "competition": competition})
+    return products.withColumns({"demand_category": demand, "competition": competition}).drop("bounds")
 
 
 def demand_category(lines: DataFrame, min_lines: int = MIN_LINES, max_elasticity: float = 10) -> DataFrame:

@@ -118,13 +118,13 @@ def category_share_levels(products: DataFrame) -> DataFrame:
         F.sum("transaction_count").alias("transaction_count"),
         F.sum("amount").alias("amount"),
     )
-    return rolled.where(F.col("depth").isNotNull()).select(
+    return rolled.where(F.col("depth").isNotNull()).withColumn("whole", totals).select(
         "depth",
         *LEVELS,
         "transaction_count",
         micros(F.col("amount")).alias("revenue"),
-        percent(F.col("amount"), totals["amount"]).alias("revenue_percent"),
-        percent(F.col("transaction_count"), totals["transaction_count"]).alias("transaction_percent"),
+        percent(F.col("amount"), F.col("whole.amount")).alias("revenue_percent"),
+        percent(F.col("transaction_count"), F.col("whole.transaction_count")).alias("transaction_percent"),
     )
 
 

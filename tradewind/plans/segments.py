@@ -48,10 +48,10 @@ def standardize(features: DataFrame, columns: list[str] = STANDARDIZED) -> DataF
     stats = features.agg(F.struct(*moments)).scalar()
     # A constant column keeps its scale, so that it becomes zero instead of null.
     scores = {
-        c: (v - stats[f"mean_{c}"]) / F.when(stats[f"std_{c}"] == 0, 1.0).otherwise(stats[f"std_{c}"])
+        c: (v - F.col(f"stats.mean_{c}")) / F.coalesce(F.nullif(F.col(f"stats.std_{c}"), F.lit(0.0)), F.lit(1.0))
         for c, v in values.items()
     }
-    return features.withColumns(scores)
+    return features.withColumn("stats", stats).withColumns(scores).drop("stats")
 
 
 def cyclical_month(features: DataFrame) -> DataFrame:

@@ -50,10 +50,10 @@ def weekly_sales_velocity(base: DataFrame, documented: bool = False) -> DataFram
 def velocity_tier(velocity: DataFrame) -> DataFrame:
     """High above the third quartile, Low below the first, else Medium."""
     quartiles = exact_quantiles(velocity, "sales_velocity", {"q1": 0.25, "q3": 0.75})
-    bounds = quartiles.select(F.struct("q1", "q3")).scalar()
+    bounded = velocity.withColumn("bounds", quartiles.select(F.struct("q1", "q3")).scalar())
     speed = F.col("sales_velocity")
-    label = F.when(speed > bounds["q3"], "High").when(speed < bounds["q1"], "Low").otherwise("Medium")
-    return velocity.withColumn("tier", label)
+    label = F.when(speed > F.col("bounds.q3"), "High").when(speed < F.col("bounds.q1"), "Low").otherwise("Medium")
+    return bounded.withColumn("tier", label).drop("bounds")
 
 
 # --- stockouts --------------------------------------------------------------------

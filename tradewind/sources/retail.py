@@ -56,28 +56,18 @@ def retail_lines(spark: SparkSession, folder: str, *columns: str) -> DataFrame:
     return lines.select(*[LINE_COLUMNS[name]().alias(name) for name in columns])
 
 
-def retail_invoices(spark: SparkSession, folder: str, cancellations: bool = True) -> DataFrame:
-    """One row per invoice and time with its number of lines.
+def retail_invoices(spark: SparkSession, folder: str) -> DataFrame:
+    """One row per purchase invoice, without cancellations.
 
-    Lines are counted before the join with their orders: an order with very many lines is reduced
-    by the tasks that scan it. Without cancellations the counts are already partitioned for the join.
+    Lines are reduced to invoices before the join with their orders, by the tasks that scan them;
+    the result is already partitioned for that join.
     """
-    lines = table(spark, folder, "lineitem")
-    count = F.count("*").alias("line_count")
-    shipped = F.when(_returned(), F.col("l_shipdate"))
-    if cancellations:
-        # Only a return has a date of its own.
-        flag = F.when(_returned(), "R").otherwise("N")
-        counted = lines.groupBy("l_orderkey", flag.alias("l_returnflag"), shipped.alias("l_shipdate")).agg(count)
-    else:
-        counted = lines.where(~_returned()).groupBy("l_orderkey").agg(count)
-        counted = counted.select("*", F.lit("N").alias("l_returnflag"), F.lit(None).cast("timestamp_ntz").alias("l_shipdate"))
+    sold = table(spark, folder, "lineitem").where(~_returned()).select("l_orderkey").distinct()
     orders = _orders(spark, folder, False)
-    return counted.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).select(
-        _invoice_no().alias("invoice_no"),
+    return sold.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).select(
+        F.col("l_orderkey").cast("string").alias("invoice_no"),
         _customer().alias("customer_id"),
-        F.to_date(_invoice_ts()).alias("invoice_date"),
-        "line_count",
+        F.to_date(_purchase_ts()).alias("invoice_date"),
     )
 
 
@@ -108,10 +98,16 @@ def _quantity():
     return F.when(_returned(), -units).otherwise(units)
 
 
+def _opening_hours():
+    return F.make_dt_interval(F.lit(0), (F.col("l_orderkey") % 13 + 7).cast("int"))
+
+
+def _purchase_ts():
+    return F.col("o_orderdate") + _opening_hours()
+
+
 def _invoice_ts():
-    day = F.when(_returned(), F.col("l_shipdate")).otherwise(F.col("o_orderdate"))
-    hours = (F.col("l_orderkey") % 13 + 7).cast("int")
-    return day + F.make_dt_interval(F.lit(0), hours)
+    return F.when(_returned(), F.col("l_shipdate")).otherwise(F.col("o_orderdate")) + _opening_hours()
 
 
 def _customer():
