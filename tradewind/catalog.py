@@ -5,6 +5,7 @@ floating sums depend on the order of the rows are rounded here, so that results
 """
 
 from collections.abc import Callable
+from datetime import date
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,6 +22,8 @@ from .sources.web import event_hits, event_products, event_sessions
 
 Query = Callable[[SparkSession, str], DataFrame]
 
+QUARTERS = [date(year, month, 1) for year in range(1995, 2002) for month in (1, 4, 7, 10)]
+LAST_QUARTER = date(2001, 7, 1)
 CONTINENT = "AMERICA"
 COUNTRY = "NATION_1"
 SHORT_RANGE_END = "20240125"
@@ -93,6 +96,8 @@ def _retention() -> dict[str, Query]:
         for grain in grains:
             for name, job in operators.items():
                 jobs[f"{prefix}{name}_{grain}"] = lambda s, d, job=job, src=source, g=grain: job(src(s, d), g)
+    jobs["customer_period_matrix_quarter"] = lambda s, d: periods.customer_period_matrix(_orders(s, d), "quarter", QUARTERS)
+    jobs["churned_customers_in_quarter"] = lambda s, d: periods.churned_customers(_orders(s, d), "quarter", LAST_QUARTER)
     jobs["monthly_churn_by_country"] = lambda s, d: retention.monthly_churn_by_country(
         retail_lines(s, d, "customer_id", "invoice_date", "country", *LINE_ORDER)
     )

@@ -4,6 +4,8 @@ The windows below run over rows already reduced to one per customer and period,
 partitions are bounded by the number of calendar periods, however many orders a customer has.
 """
 
+from datetime import date
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -31,7 +33,7 @@ def customer_periods(orders: DataFrame, period: str) -> DataFrame:
     )
 
 
-def customer_period_matrix(orders: DataFrame, period: str, periods: list) -> DataFrame:
+def customer_period_matrix(orders: DataFrame, period: str, periods: list[date]) -> DataFrame:
     """The long form pivoted to one column per listed period, zero-filled."""
     wide = customer_periods(orders, period).withColumn("period", F.date_format("period", "yyyy_MM"))
     names = [p.strftime("%Y_%m") for p in periods]
@@ -65,10 +67,14 @@ def _lapses(orders: DataFrame, period: str) -> DataFrame:
     return seen.join(periods, "period").withColumn("lapsed", lapsed)
 
 
-def churned_customers(orders: DataFrame, period: str) -> DataFrame:
-    """Customers active in one period and absent in the next period that has data."""
+def churned_customers(orders: DataFrame, period: str, of: date | None = None) -> DataFrame:
+    """Customers active in one period and absent in the next period that has data.
+
+    `of` keeps the customers lost in the period that starts on that date.
+    """
     lapses = _lapses(orders, period).where("lapsed")
-    return lapses.select("customer_id", F.col("following").alias("period"))
+    churned = lapses.select("customer_id", F.col("following").alias("period"))
+    return churned if of is None else churned.where(F.col("period") == of)
 
 
 def churn_rate(orders: DataFrame, period: str) -> DataFrame:

@@ -76,6 +76,17 @@ def _retention_queries():
     for period in ("month", "quarter"):
         for name, sql in retention(retail, ORDERS, period).items():
             found[f"{name}_{period}"] = sql
+    months = [f"{y}-{m:02d}" for y in range(1995, 2002) for m in (1, 4, 7, 10)]
+    start = "strftime(date_trunc('quarter', order_date), '%Y-%m')"
+    cells = ", ".join(
+        f"count(DISTINCT CASE WHEN {start} = '{m}' THEN order_id END) AS p_{m.replace('-', '_')}" for m in months
+    )
+    found["customer_period_matrix_quarter"] = retail(
+        f"SELECT customer_id, {cells} FROM paid WHERE customer_id IS NOT NULL GROUP BY 1", ORDERS
+    )
+    found["churned_customers_in_quarter"] = (
+        f"SELECT * FROM ({found['churned_customers_quarter']}) WHERE period = DATE '2001-07-01'"
+    )
     found["monthly_churn_by_country"] = retail(
         """SELECT CAST(date_trunc('month', invoice_ts) AS DATE) AS month, country,
   CAST(NULLIF(count(*) FILTER (customer_id IS NOT NULL AND date_sub('day', invoice_ts, following) > 30), 0) AS DOUBLE)

@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .schemas import LISTING_CSV, RETAIL_CSV, WEB_SESSION
+from .schemas import BEHAVIOR_CSV, LISTING_CSV, RETAIL_CSV, WEB_SESSION
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -42,6 +42,11 @@ def read_listings_csv(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(LISTING_CSV).option("header", True).option("multiLine", True).option("escape", '"').csv(path)
 
 
+def read_behavior_csv(spark: SparkSession, path: str) -> DataFrame:
+    """Flattened behaviour rows, one per product of a hit."""
+    return spark.read.schema(BEHAVIOR_CSV).option("header", True).csv(path)
+
+
 def write_results(results: dict[str, DataFrame], folder: str) -> None:
     """One Parquet data set per result name, written by the executors."""
     for name, frame in results.items():

@@ -77,6 +77,27 @@ RETAIL_CSV = T.StructType(
     ]
 )
 
+# Visit, hit and product in one flat row, money in millionths.
+BEHAVIOR_CSV = T.StructType(
+    [
+        T.StructField("users", T.StringType()),
+        T.StructField("visit_number", T.LongType()),
+        T.StructField("visit_id", T.LongType()),
+        T.StructField("date", T.StringType()),
+        T.StructField("start_time", T.LongType()),
+        T.StructField("action", T.StringType()),
+        T.StructField("transaction_id", T.StringType()),
+        *_fields(
+            [
+                "transaction_revenue", "num_hits", "pageviews", "time_on_site", "session_quality", "totals_revenue",
+                "transactions", "price",
+            ],
+            T.LongType(),
+        ),
+        *_fields(["product_category", "medium", "continent", "subcontinent", "country", "region"], T.StringType()),
+    ]
+)
+
 # Product listings arrive as formatted text throughout.
 LISTING_CSV = T.StructType(
     _fields(
