@@ -533,7 +533,7 @@ FROM top_countries""",
         "top_categories_of_total": top_categories("mains"),
         "region_share_in_category": levels(
             """SELECT main_category, position, region, amount / 1e6 AS revenue, percentage FROM (
-  SELECT *, CAST(amount AS DOUBLE) / sum(amount) OVER (PARTITION BY main_category) * 100.0 AS percentage,
+  SELECT *, CAST(amount AS DOUBLE) / NULLIF(sum(amount) OVER (PARTITION BY main_category), 0) * 100.0 AS percentage,
     row_number() OVER (PARTITION BY main_category ORDER BY amount DESC, region) AS position
   FROM (SELECT main_or_other AS main_category, region, sum(COALESCE(product_revenue, 0)) AS amount FROM america
     WHERE country = 'NATION_1' AND main_or_other IN ('Apparel', 'Office', 'Accessories', 'Bags', 'Electronics')

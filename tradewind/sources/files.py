@@ -3,20 +3,23 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .schemas import BEHAVIOR_CSV, LISTING_CSV, RETAIL_CSV, WEB_SESSION
+from .schemas import BEHAVIOR_CSV, LISTING_CSV, RETAIL_CSV, web_session
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def read_web_sessions(spark: SparkSession, path: str, first_day: str, last_day: str) -> DataFrame:
+def read_web_sessions(
+    spark: SparkSession, path: str, first_day: str, last_day: str, product_fields: list[str] | None = None
+) -> DataFrame:
     """Nested sessions between two `yyyyMMdd` days, both included.
 
-    With the files laid out as `date=yyyyMMdd/`, the filter prunes folders before any read.
+    With the files laid out as `date=yyyyMMdd/`, the filter prunes folders before any read. Name the
+    product fields a job needs to leave the others unread.
     """
-    day = F.col("date").cast("string")
-    return spark.read.schema(WEB_SESSION).parquet(path).where(day.between(first_day, last_day))
+    sessions = spark.read.schema(web_session(product_fields)).parquet(path)
+    return sessions.where(F.col("date").cast("string").between(first_day, last_day))
 
 
 def write_web_sessions(sessions: DataFrame, path: str) -> None:

@@ -18,50 +18,57 @@ PRODUCT_HIT = T.StructType(
     ]
 )
 
-HIT = T.StructType(
+TRANSACTION = T.StructType(
     [
-        T.StructField("eCommerceAction", T.StructType(_fields(["action_type"], T.StringType()))),
-        T.StructField(
-            "transaction",
-            T.StructType(
-                [
-                    T.StructField("transactionId", T.StringType()),
-                    T.StructField("transactionRevenue", T.LongType()),
-                ]
-            ),
-        ),
-        T.StructField("product", T.ArrayType(PRODUCT_HIT)),
+        T.StructField("transactionId", T.StringType()),
+        T.StructField("transactionRevenue", T.LongType()),
     ]
 )
 
-# One row per visit, hits nested in the row and products nested in the hits.
-WEB_SESSION = T.StructType(
-    [
-        T.StructField("fullVisitorId", T.StringType()),
-        T.StructField("visitId", T.LongType()),
-        T.StructField("visitNumber", T.LongType()),
-        T.StructField("date", T.StringType()),
-        T.StructField("visitStartTime", T.LongType()),
-        T.StructField(
-            "totals",
-            T.StructType(
-                _fields(
-                    [
-                        "hits", "pageviews", "timeOnSite", "bounces", "newVisits", "transactions",
-                        "transactionRevenue", "totalTransactionRevenue", "sessionQualityDim",
-                    ],
-                    T.LongType(),
-                )
-            ),
-        ),
-        T.StructField("trafficSource", T.StructType(_fields(["medium", "campaign"], T.StringType()))),
-        T.StructField(
-            "geoNetwork",
-            T.StructType(_fields(["continent", "subContinent", "country", "region"], T.StringType())),
+
+def web_session(product_fields: list[str] | None = None) -> T.StructType:
+    """One row per visit, hits nested in the row and products nested in the hits.
+
+    Spark does not prune the fields of an array inside an array that it unnests: naming the product
+    fields here keeps the others from being read.
+    """
+    product = T.StructType([f for f in PRODUCT_HIT if product_fields is None or f.name in product_fields])
+    hit = T.StructType(
+        [
+            T.StructField("eCommerceAction", T.StructType(_fields(["action_type"], T.StringType()))),
+            T.StructField("transaction", TRANSACTION),
+            T.StructField("product", T.ArrayType(product)),
+        ]
+    )
+    return T.StructType([*_VISIT, T.StructField("hits", T.ArrayType(hit))])
+
+
+_VISIT = [
+    T.StructField("fullVisitorId", T.StringType()),
+    T.StructField("visitId", T.LongType()),
+    T.StructField("visitNumber", T.LongType()),
+    T.StructField("date", T.StringType()),
+    T.StructField("visitStartTime", T.LongType()),
+    T.StructField(
+        "totals",
+        T.StructType(
+            _fields(
+                [
+                    "hits", "pageviews", "timeOnSite", "bounces", "newVisits", "transactions",
+                    "transactionRevenue", "totalTransactionRevenue", "sessionQualityDim",
+                ],
+                T.LongType(),
+            )
         ),
-        T.StructField("hits", T.ArrayType(HIT)),
-    ]
-)
+    ),
+    T.StructField("trafficSource", T.StructType(_fields(["medium", "campaign"], T.StringType()))),
+    T.StructField(
+        "geoNetwork",
+        T.StructType(_fields(["continent", "subContinent", "country", "region"], T.StringType())),
+    ),
+]
+
+WEB_SESSION = web_session()
 
 # Raw invoice lines; the timestamp is kept as text until the reader parses it.
 RETAIL_CSV = T.StructType(

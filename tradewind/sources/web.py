@@ -54,6 +54,16 @@ _SESSION_FIELDS = {
 }
 
 
+_PRODUCT_FIELDS = {
+    "category": "v2ProductCategory",
+    "product_quantity": "productQuantity",
+    "product_revenue": "productRevenue",
+    "product_price": "productPrice",
+    "is_impression": "isImpression",
+    "is_click": "isClick",
+}
+
+
 def flat_sessions(nested: DataFrame) -> DataFrame:
     return nested.select(*[F.col(path).alias(name) for name, path in _SESSION_FIELDS.items()])
 
@@ -72,17 +82,14 @@ def flat_hits(nested: DataFrame) -> DataFrame:
 
 
 def flat_products(hits: DataFrame) -> DataFrame:
-    """One row per product of a hit; hits without products vanish."""
+    """One row per product of a hit, with the product fields that were read.
+
+    Hits without products vanish.
+    """
     kept = [c for c in hits.columns if c != "product"]
-    return hits.select(*kept, F.explode("product").alias("p")).select(
-        *kept,
-        F.col("p.v2ProductCategory").alias("category"),
-        F.col("p.productQuantity").alias("product_quantity"),
-        F.col("p.productRevenue").alias("product_revenue"),
-        F.col("p.productPrice").alias("product_price"),
-        F.col("p.isImpression").alias("is_impression"),
-        F.col("p.isClick").alias("is_click"),
-    )
+    present = hits.schema["product"].dataType.elementType.names
+    fields = [F.col(f"p.{path}").alias(name) for name, path in _PRODUCT_FIELDS.items() if path in present]
+    return hits.select(*kept, F.explode("product").alias("p")).select(*kept, *fields)
 
 
 # --- event table ----------------------------------------------------------------
