@@ -20,11 +20,15 @@ def join_keyed(
     """
     values = [c for c in keyed.columns if c not in on]
     is_hot = F.col(weight) * HOT_KEYS > total
-    hot = keyed.where(is_hot).select(*on, F.struct(*values).alias("_hot"))
+    hot = keyed.where(is_hot).select(*on, *[F.col(c).alias(f"_hot_{c}") for c in values])
     # Hot keys keep a lane that no row of the large side takes.
-    cold = keyed.select(*on, F.struct(*values).alias("_cold"), F.when(is_hot, -1).otherwise(0).alias("_lane"))
+    cold_lane = F.when(is_hot, -1).otherwise(0).alias("_lane")
+    cold = keyed.select(*on, *[F.col(c).alias(f"_cold_{c}") for c in values], cold_lane)
 
-    lane = F.when(F.col("_hot").isNull(), 0).otherwise(F.pmod(F.xxhash64(*spread_by), F.lit(SPREAD)).cast("int") + 1)
+    spread = F.pmod(F.xxhash64(*spread_by), F.lit(SPREAD)).cast("int") + 1
+    lane = F.when(F.col(f"_hot_{weight}").isNull(), 0).otherwise(spread)
     marked = big.join(F.broadcast(hot), on, "left").withColumn("_lane", lane)
-    joined = marked.join(cold, [*on, "_lane"], "left").withColumn("_row", F.coalesce("_hot", "_cold"))
-    return joined.where(F.col("_row").isNotNull()).select(*big.columns, *[F.col(f"_row.{c}").alias(c) for c in values])
+    joined = marked.join(cold, [*on, "_lane"], "left")
+    # Column by column, so that Spark drops the values nobody reads from both joins.
+    found = {c: F.coalesce(f"_hot_{c}", f"_cold_{c}") for c in values}
+    return joined.where(found[weight].isNotNull()).select(*big.columns, *[v.alias(c) for c, v in found.items()])

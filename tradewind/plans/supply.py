@@ -35,9 +35,9 @@ def weekly_sales_velocity(base: DataFrame, documented: bool = False) -> DataFram
     The window sees one row per item, description and week.
     """
     week = period_start(F.col("invoice_date"), "week")
-    weekly = base.where(F.col("description").isNotNull()).groupBy(
-        "stock_code", "description", week.alias("week")
-    ).agg(F.sum("quantity").alias("quantity"))
+    # A join on the item would add this filter to one of its readers, and end the reuse of the shuffle.
+    known = base.where(F.col("stock_code").isNotNull() & F.col("description").isNotNull())
+    weekly = known.groupBy("stock_code", "description", week.alias("week")).agg(F.sum("quantity").alias("quantity"))
     item = Window.partitionBy("stock_code")
     ranked = weekly.withColumn("week_rank", F.dense_rank().over(item.orderBy("week")))
     ranked = ranked.withColumn("item_weeks", F.max("week_rank").over(item))
@@ -66,7 +66,8 @@ def purchase_gaps(base: DataFrame) -> DataFrame:
     day before the window.
     """
     first = F.min_by("country", F.struct(*LINE_ORDER))
-    days = base.groupBy("stock_code", "invoice_date").agg(first.alias("country"))
+    known = base.where(F.col("stock_code").isNotNull())
+    days = known.groupBy("stock_code", "invoice_date").agg(first.alias("country"))
     previous = F.lag("invoice_date").over(Window.partitionBy("stock_code").orderBy("invoice_date"))
     gap = F.datediff("invoice_date", previous).cast("bigint")
     return days.withColumn("time_gap", gap).where(F.col("time_gap") > 0)
