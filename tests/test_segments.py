@@ -52,7 +52,7 @@ def test_vectors_are_weighted_unit_vectors(spark, folder):
     lines = entry.queries()["pricing_base"](spark, folder)
     vectors, vocabulary = clusters.description_vectors(lines)
     got = vectors.select("weight", vector_to_array("features").alias("f")).collect()
-    assert sum(r["weight"] for r in got) == lines.count()
+    assert sum(r["weight"] for r in got) == lines.count() and min(r["weight"] for r in got) >= 10
     assert all(np.linalg.norm(r["f"]) == pytest.approx(1) for r in got)
     assert len(vocabulary) == len(got[0]["f"])
 
@@ -64,9 +64,9 @@ def test_wcss_falls_with_k(spark, folder):
 
 def test_wcss_of_one_cluster(spark):
     rows = [("red box",), ("red box",), ("blue box",), ("blue cup",)]
-    lines = spark.createDataFrame(rows, "description string")
-    vectors, _ = clusters.description_vectors(lines)
+    lines = spark.createDataFrame([(*r, 1, 2.0) for r in rows], "description string, quantity int, unit_price double")
+    vectors, _ = clusters.description_vectors(lines, min_lines=1)
     data = vectors.select("weight", vector_to_array("features").alias("f")).collect()
     points = np.array([r["f"] for r in data for _ in range(int(r["weight"]))])
     expected = ((points - points.mean(axis=0)) ** 2).sum()
-    assert clusters.elbow_wcss(lines, max_k=2).orderBy("k").first()["wcss"] == pytest.approx(expected)
+    assert clusters.elbow_wcss(lines, max_k=2, min_lines=1).orderBy("k").first()["wcss"] == pytest.approx(expected)

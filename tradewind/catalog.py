@@ -17,7 +17,7 @@ from .operators import retention as periods
 from .plans import cleaning, clusters, funnel, marketing, pricing, retail_customers, retention, sales
 from .plans import segments, supply, visitors
 from .sources.listings import listings
-from .sources.retail import LINE_ORDER, discount_lines, retail_invoices, retail_lines
+from .sources.retail import LINE_ORDER, retail_invoices, retail_lines, spending_lines
 from .sources.web import event_hits, event_products, event_sessions
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -212,12 +212,6 @@ def _ordered_customer_lines(spark, folder):
     return _customer_lines(spark, folder, "country", "line_no", "part_no", "line_quantity")
 
 
-def _spending(spark, folder):
-    """Discount lines, and purchases at their price before discount."""
-    bought = retail_lines(spark, folder, "customer_id", "stock_code", "quantity", "gross_price")
-    return bought.withColumnRenamed("gross_price", "total_price").unionByName(discount_lines(spark, folder))
-
-
 def _retail_customers() -> dict[str, Query]:
     r = retail_customers
     season_columns = ["invoice_date", "country", "hemisphere", "description", "quantity"]
@@ -232,7 +226,7 @@ def _retail_customers() -> dict[str, Query]:
         "loyal_share": lambda s, d: r.loyal_share(_customer_lines(s, d), LOYALTY),
         "loyal_by_country": lambda s, d: r.loyal_by_country(_ordered_customer_lines(s, d), LOYALTY),
         "customers_by_country": lambda s, d: r.customers_by_country(_ordered_customer_lines(s, d)),
-        "discount_driven": lambda s, d: r.discount_driven(_spending(s, d)),
+        "discount_driven": lambda s, d: r.discount_driven(spending_lines(s, d)),
     }
 
 
@@ -294,12 +288,10 @@ def _pricing() -> dict[str, Query]:
         "adjusted_price": lambda s, d: rounded(
             pricing.adjusted_price(_priced(s, d)), "price_elasticity", "avg_unit_price", "adjusted_price"
         ),
-        "description_clusters": lambda s, d: clusters.description_clusters(pricing.pricing_base(_priced(s, d))),
-        "cluster_samples": lambda s, d: clusters.cluster_samples(
-            clusters.description_clusters(pricing.pricing_base(_priced(s, d)))
-        ),
-        "elbow_wcss": lambda s, d: clusters.elbow_wcss(pricing.pricing_base(_priced(s, d))),
-        "category_elasticity": lambda s, d: clusters.category_elasticity(pricing.pricing_base(_priced(s, d))),
+        "description_clusters": lambda s, d: clusters.description_clusters(_priced(s, d)),
+        "cluster_samples": lambda s, d: clusters.cluster_samples(clusters.description_clusters(_priced(s, d))),
+        "elbow_wcss": lambda s, d: clusters.elbow_wcss(_priced(s, d)),
+        "category_elasticity": lambda s, d: clusters.category_elasticity(_priced(s, d)),
     }
 
 

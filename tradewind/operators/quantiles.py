@@ -2,10 +2,10 @@
 
 `percentile` keeps every distinct value of a group in one task, which is right for bounded domains
 only. Here a fixed-size sketch brackets each wanted rank, one pass counts what lies below the
-bracket, and only the few values inside it are ordered.
+bracket, and only the few values inside it are ordered. All columns share the two passes.
 """
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 SKETCH_ACCURACY = 10000
@@ -13,32 +13,39 @@ SKETCH_ACCURACY = 10000
 SAFETY = 4
 
 
-def exact_quantiles(df: DataFrame, column: str, wanted: dict[str, float]) -> DataFrame:
-    """One row with the linearly interpolated quantile of `column` under each name.
+def _long(df: DataFrame, columns: list[str]) -> DataFrame:
+    """One row per column and value, without nulls."""
+    cells = [F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("value")) for c in columns]
+    cell = cells[0] if len(cells) == 1 else F.explode(F.array(*cells))
+    return df.select(cell.alias("cell")).select("cell.*").where(F.col("value").isNotNull())
+
 
-    Every quantile is null when the column has no value. Should the sketch ever miss a rank, its
-    bracket opens to the whole column, so the answer stays exact.
-    """
-    values = df.select(F.col(column).cast("double").alias("value")).where(F.col("value").isNotNull())
-    names = list(wanted)
+def _sketch(wanted: dict[str, float]) -> Column:
+    """Lower and upper bracket values of every wanted rank, in turn."""
     margin = SAFETY / SKETCH_ACCURACY
     edges = [e for p in wanted.values() for e in (max(0.0, p - margin), min(1.0, p + margin))]
-    sketch = values.agg(F.percentile_approx("value", edges, SKETCH_ACCURACY)).scalar()
+    return F.percentile_approx("value", edges, SKETCH_ACCURACY)
+
 
-    counted = values.groupBy("value").agg(F.count("*").alias("freq"))
-    # One reference each to the sketch and to the brackets: every further one would be planned anew.
+def _quantiles(long: DataFrame, by_column: Column, wanted: dict[str, float]) -> DataFrame:
+    """One row per column with its quantiles; `by_column` maps a column to a struct with its sketch."""
+    counted = long.groupBy("column", "value").agg(F.count("*").alias("freq"))
     measures = [F.sum("freq").alias("n"), F.any_value("sketch").alias("sketch")]
-    for i in range(len(names)):
-        low, high = F.get("sketch", F.lit(2 * i)), F.get("sketch", F.lit(2 * i + 1))
-        measures.append(F.coalesce(F.sum(F.when(F.col("value") < low, F.col("freq"))), F.lit(0)).alias(f"below_{i}"))
-        measures.append(F.coalesce(F.sum(F.when(F.col("value") <= high, F.col("freq"))), F.lit(0)).alias(f"upto_{i}"))
-    counts = counted.withColumn("sketch", sketch).agg(*measures)
+    for i in range(len(wanted)):
+        below = F.when(F.col("value") < F.get("sketch", F.lit(2 * i)), F.col("freq"))
+        upto = F.when(F.col("value") <= F.get("sketch", F.lit(2 * i + 1)), F.col("freq"))
+        measures += [F.coalesce(F.sum(m), F.lit(0)).alias(f"{n}_{i}") for n, m in (("below", below), ("upto", upto))]
+    # A single reference to the scalar: every further one would be planned anew.
+    marked = counted.withColumn("stats", by_column)
+    marked = marked.withColumn("sketch", F.try_element_at("stats", "column")["sketch"])
+    counts = marked.groupBy("column").agg(*measures)
 
     brackets = []
-    for i, name in enumerate(names):
-        position = F.lit(wanted[name]) * (F.col("n") - 1)
+    for i, (name, probability) in enumerate(wanted.items()):
+        position = F.lit(probability) * (F.col("n") - 1)
         lower, upper = F.floor(position), F.ceil(position)
         sound = (F.col(f"below_{i}") <= lower) & (upper < F.col(f"upto_{i}"))
+        # A bracket that misses its rank opens to the whole column.
         brackets.append(
             F.struct(
                 F.lit(name).alias("name"),
@@ -46,49 +53,57 @@ def exact_quantiles(df: DataFrame, column: str, wanted: dict[str, float]) -> Dat
                 upper.alias("upper"),
                 (position - lower).alias("fraction"),
                 F.when(sound, F.col(f"below_{i}")).otherwise(0).alias("below"),
-                F.when(sound, F.get("sketch", F.lit(2 * i))).alias("low"),
-                F.when(sound, F.get("sketch", F.lit(2 * i + 1))).alias("high"),
+                F.when(sound, F.get("sketch", F.lit(2 * i))).otherwise(float("-inf")).alias("low"),
+                F.when(sound, F.get("sketch", F.lit(2 * i + 1))).otherwise(float("inf")).alias("high"),
             )
         )
-    bracket_list = counts.select(F.array(*brackets)).scalar()
-
-    near = counted.select("value", "freq", F.explode(bracket_list).alias("b")).where(
-        (F.col("b.low").isNull() | (F.col("value") >= F.col("b.low")))
-        & (F.col("b.high").isNull() | (F.col("value") <= F.col("b.high")))
-    )
-    ordered = Window.partitionBy("b.name").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
+    # One row per column and quantile.
+    bracketed = F.broadcast(counts.select("column", F.explode(F.array(*brackets)).alias("b")))
+    near = counted.join(bracketed, "column").where(F.col("value").between(F.col("b.low"), F.col("b.high")))
+    ordered = Window.partitionBy("column", "b.name").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
     ranked = near.withColumn("until", F.col("b.below") + F.sum("freq").over(ordered))
     since = F.col("until") - F.col("freq")
 
-    def holds(rank):
-        return (since <= F.col(rank)) & (F.col(rank) < F.col("until"))
+    def at(name, rank):
+        holds = (F.col("b.name") == name) & (since <= F.col(rank)) & (F.col(rank) < F.col("until"))
+        return F.max(F.when(holds, F.col("value")))
 
     picked = []
-    for i, name in enumerate(names):
-        mine = F.col("b.name") == name
-        low = F.max(F.when(mine & holds("b.lower"), F.col("value")))
-        high = F.max(F.when(mine & holds("b.upper"), F.col("value")))
-        fraction = F.max(F.when(mine, F.col("b.fraction")))
+    for name in wanted:
+        low, high = at(name, "b.lower"), at(name, "b.upper")
+        fraction = F.max(F.when(F.col("b.name") == name, F.col("b.fraction")))
         picked.append((low + (high - low) * fraction).alias(name))
-    return ranked.agg(*picked)
+    return ranked.groupBy("column").agg(*picked)
+
+
+def _by_column(rows: DataFrame, *names: str) -> Column:
+    """A frame with one row per column as a scalar map from column to struct."""
+    return rows.agg(F.map_from_entries(F.collect_list(F.struct("column", F.struct(*names))))).scalar()
+
+
+def exact_quantiles(df: DataFrame, column: str, wanted: dict[str, float]) -> DataFrame:
+    """One row with the linearly interpolated quantile of `column` under each name, null without values."""
+    long = _long(df, [column])
+    stats = long.groupBy("column").agg(_sketch(wanted).alias("sketch"))
+    return _quantiles(long, _by_column(stats, "sketch"), wanted).agg(*[F.max(name).alias(name) for name in wanted])
 
 
 def describe(df: DataFrame, columns: list[str]) -> DataFrame:
-    """Count, mean, deviation, minimum, quartiles and maximum, one row per column."""
-    rows = None
-    for column in columns:
-        value = F.col(column).cast("double")
-        quartiles = exact_quantiles(df, column, {"q25": 0.25, "median": 0.5, "q75": 0.75})
-        parts = quartiles.select(F.struct("q25", "median", "q75")).scalar()
-        row = df.agg(
-            F.count(value).alias("count"),
-            F.avg(value).alias("mean"),
-            F.stddev_samp(value).alias("std"),
-            F.min(value).alias("min"),
-            F.max(value).alias("max"),
-        ).withColumn("parts", parts)
-        row = row.select(
-            F.lit(column).alias("column"), "count", "mean", "std", "min", "parts.q25", "parts.median", "parts.q75", "max"
-        )
-        rows = row if rows is None else rows.unionByName(row)
-    return rows
+    """Count, mean, deviation, minimum, quartiles and maximum, one row per column that has values."""
+    wanted = {"q25": 0.25, "median": 0.5, "q75": 0.75}
+    long = _long(df, columns)
+    moments = {
+        "count": F.count("value"),
+        "mean": F.avg("value"),
+        "std": F.stddev_samp("value"),
+        "min": F.min("value"),
+        "max": F.max("value"),
+    }
+    stats = long.groupBy("column").agg(_sketch(wanted).alias("sketch"), *[m.alias(n) for n, m in moments.items()])
+    # Moments and sketches come from one pass: both readers below use the same scalar.
+    by_column = _by_column(stats, "sketch", *moments)
+    rows = _quantiles(long, by_column, wanted).withColumn("stats", by_column)
+    found = rows.withColumn("stats", F.try_element_at("stats", "column"))
+    return found.select(
+        "column", "stats.count", "stats.mean", "stats.std", "stats.min", "q25", "median", "q75", "stats.max"
+    )

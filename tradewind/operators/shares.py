@@ -24,8 +24,11 @@ def with_percent(df: DataFrame, **shares: str) -> DataFrame:
 def top_n_and_other(df: DataFrame, label: str, value: str, n: int = 5) -> DataFrame:
     """The `n` largest labels and one `Other` row for the rest and for unranked labels."""
     summed = df.groupBy(label).agg(F.sum(value).alias(value))
-    ranked = summed.where(~F.col(label).isin(UNRANKED_CATEGORIES))
-    top = ranked.orderBy(F.desc(value), label).limit(n).select(label, F.lit(True).alias("kept"))
+    # Unranked labels sort last and go after the limit: a filter before it would reach down into the
+    # sums and end the reuse of their shuffle.
+    ranked = summed.withColumn("unranked", F.col(label).isin(UNRANKED_CATEGORIES))
+    top = ranked.orderBy("unranked", F.desc(value), label).limit(n).where(~F.col("unranked"))
+    top = top.select(label, F.lit(True).alias("kept"))
     # `top` has at most n rows.
     marked = summed.join(F.broadcast(top), label, "left")
     folded = marked.select(F.when(F.col("kept"), F.col(label)).otherwise("Other").alias(label), value)

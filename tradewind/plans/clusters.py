@@ -21,22 +21,23 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.lineage import cut_lineage
-from .pricing import price_elasticity
+from .pricing import MIN_LINES, price_elasticity, sold_lines
 
 MAX_TERMS = 500
 CLUSTERS = 8
 SEED = 42
 
 
-def description_vectors(lines: DataFrame, max_terms: int = MAX_TERMS) -> tuple[DataFrame, list[str]]:
-    """Unit-length TF-IDF vectors (smoothed, plus one) of the distinct descriptions.
+def description_vectors(
+    lines: DataFrame, max_terms: int = MAX_TERMS, min_lines: int = MIN_LINES
+) -> tuple[DataFrame, list[str]]:
+    """Unit-length TF-IDF vectors (smoothed, plus one) of the distinct descriptions sold often enough.
 
     Returns the vectors with their line counts and the vocabulary: the most frequent terms over all
     lines. Only those terms and their document counts, at most `max_terms` rows, reach the driver.
     """
-    documents = lines.where(F.col("description").isNotNull()).groupBy("description").agg(
-        F.count("*").cast("double").alias("weight")
-    )
+    documents = sold_lines(lines).groupBy("description").agg(F.count("*").cast("double").alias("weight"))
+    documents = documents.where(F.col("weight") >= min_lines)
     # Term statistics and every clustering read the documents again; the lines are read once.
     documents = cut_lineage(documents)
     words = Pipeline(
@@ -68,9 +69,11 @@ def _fit(vectors: DataFrame, k: int, seed: int):
     return KMeans(featuresCol="features", predictionCol="cluster", weightCol="weight", k=k, seed=seed).fit(vectors)
 
 
-def description_clusters(lines: DataFrame, k: int = CLUSTERS, seed: int = SEED, terms: int = 3) -> DataFrame:
+def description_clusters(
+    lines: DataFrame, k: int = CLUSTERS, seed: int = SEED, terms: int = 3, min_lines: int = MIN_LINES
+) -> DataFrame:
     """Cluster of every description, named by the heaviest terms of its centre."""
-    vectors, vocabulary = description_vectors(lines)
+    vectors, vocabulary = description_vectors(lines, min_lines=min_lines)
     model = _fit(vectors, k, seed)
     names = []
     for number, center in enumerate(model.clusterCenters()):
@@ -91,9 +94,9 @@ def cluster_samples(clusters: DataFrame, n: int = 10) -> DataFrame:
     return ranked.select("cluster", "category", F.col("position").cast("bigint").alias("position"), "description")
 
 
-def elbow_wcss(lines: DataFrame, max_k: int = 14, seed: int = SEED) -> DataFrame:
+def elbow_wcss(lines: DataFrame, max_k: int = 14, seed: int = SEED, min_lines: int = MIN_LINES) -> DataFrame:
     """Within-cluster sum of squares for k = 1 .. max_k."""
-    vectors, _ = description_vectors(lines)
+    vectors, _ = description_vectors(lines, min_lines=min_lines)
     # One cluster has the mean as its centre: sum of squares minus the mean's share.
     stats = vectors.select(
         Summarizer.metrics("mean", "normL2").summary(F.col("features"), F.col("weight")).alias("s"),

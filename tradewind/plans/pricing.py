@@ -16,13 +16,13 @@ from ..operators.skew import join_keyed
 MIN_LINES = 10
 
 
-def _sold(lines: DataFrame) -> DataFrame:
+def sold_lines(lines: DataFrame) -> DataFrame:
     return lines.where((F.col("quantity") > 0) & (F.col("unit_price") > 0) & F.col("description").isNotNull())
 
 
 def pricing_base(lines: DataFrame, min_lines: int = MIN_LINES) -> DataFrame:
     """Sold lines of the descriptions that have enough of them."""
-    sold = _sold(lines)
+    sold = sold_lines(lines)
     counts = sold.groupBy("description").agg(F.count("*").alias("n"))
     total = counts.agg(F.sum("n")).scalar()
     frequent = counts.where(F.col("n") >= min_lines)
@@ -30,7 +30,7 @@ def pricing_base(lines: DataFrame, min_lines: int = MIN_LINES) -> DataFrame:
 
 
 def _price_rows(lines: DataFrame, min_lines: int) -> DataFrame:
-    rows = _sold(lines).groupBy("description", "unit_price").agg(
+    rows = sold_lines(lines).groupBy("description", "unit_price").agg(
         F.sum("quantity").alias("quantity"), F.count("*").alias("lines")
     )
     total = F.sum("lines").over(Window.partitionBy("description"))

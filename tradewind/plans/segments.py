@@ -76,6 +76,7 @@ def dummy_names(indexer, columns: list[str] = CATEGORICAL) -> dict[str, list[str
 
 def one_hot_counts(features: DataFrame, columns: list[str] = CATEGORICAL) -> DataFrame:
     """Rows per dummy column, in long form."""
+    features = cut_lineage(features.select(*columns))
     model = Pipeline(stages=one_hot_stages(columns)).fit(features)
     names = dummy_names(model.stages[0], columns)
     encoded = model.transform(features)

@@ -71,18 +71,26 @@ def retail_invoices(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-def discount_lines(spark: SparkSession, folder: str) -> DataFrame:
-    """One `D` line per discounted order line, valued at minus the discount."""
-    lines = table(spark, folder, "lineitem").where(F.col("l_discount") > 0)
+def spending_lines(spark: SparkSession, folder: str) -> DataFrame:
+    """Order lines at their price before discount, each followed by a `D` line for its discount.
+
+    Both come from one scan and one join.
+    """
+    lines = table(spark, folder, "lineitem")
     lines = lines.join(_orders(spark, folder, False), F.col("l_orderkey") == F.col("o_orderkey"))
     # Decimals, so that half a cent rounds the same way everywhere.
-    saved = F.col("l_extendedprice").cast("decimal(16,2)") * F.col("l_discount").cast("decimal(4,2)")
-    return lines.select(
-        _customer().alias("customer_id"),
-        F.lit("D").alias("stock_code"),
-        F.lit(-1).cast("bigint").alias("quantity"),
-        (-F.round(saved, 2)).cast("double").alias("total_price"),
-    )
+    price = F.col("l_extendedprice").cast("decimal(16,2)")
+    saved = F.round(price * F.col("l_discount").cast("decimal(4,2)"), 2)
+
+    def entry(stock_code, quantity, amount):
+        return F.struct(
+            stock_code.alias("stock_code"), quantity.alias("quantity"), amount.cast("double").alias("total_price")
+        )
+
+    bought = entry(F.col("l_partkey").cast("string"), _quantity(), price)
+    discount = entry(F.lit("D"), F.lit(-1).cast("bigint"), -saved)
+    entries = F.when(F.col("l_discount") > 0, F.array(bought, discount)).otherwise(F.array(bought))
+    return lines.select(_customer().alias("customer_id"), F.explode(entries).alias("e")).select("customer_id", "e.*")
 
 
 def _returned():
@@ -122,7 +130,6 @@ LINE_COLUMNS = {
     "quantity": _quantity,
     "unit_price": lambda: F.col("p_retailprice"),
     "paid_price": lambda: F.round(F.col("l_extendedprice") / F.col("l_quantity") / 100.0) * 100.0,
-    "gross_price": lambda: F.col("l_extendedprice"),
     "total_price": lambda: F.round(_quantity() * F.col("p_retailprice"), 2),
     "invoice_ts": _invoice_ts,
     "invoice_date": lambda: F.to_date(_invoice_ts()),
