@@ -57,9 +57,10 @@ def _quantiles(long: DataFrame, by_column: Column, wanted: dict[str, float]) ->
                 F.when(sound, F.get("sketch", F.lit(2 * i + 1))).otherwise(float("inf")).alias("high"),
             )
         )
-    # One row per column and quantile.
-    bracketed = F.broadcast(counts.select("column", F.explode(F.array(*brackets)).alias("b")))
-    near = counted.join(bracketed, "column").where(F.col("value").between(F.col("b.low"), F.col("b.high")))
+    lists = _by_column(counts.select("column", F.array(*brackets).alias("brackets")), "brackets")
+    mine = counted.withColumn("lists", lists).withColumn("mine", F.try_element_at("lists", "column")["brackets"])
+    near = mine.select("column", "value", "freq", F.explode("mine").alias("b"))
+    near = near.where(F.col("value").between(F.col("b.low"), F.col("b.high")))
     ordered = Window.partitionBy("column", "b.name").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
     ranked = near.withColumn("until", F.col("b.below") + F.sum("freq").over(ordered))
     since = F.col("until") - F.col("freq")
