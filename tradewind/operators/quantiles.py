@@ -59,7 +59,8 @@ def _quantiles(long: DataFrame, by_column: Column, wanted: dict[str, float]) ->
         )
     lists = _by_column(counts.select("column", F.array(*brackets).alias("brackets")), "brackets")
     mine = counted.withColumn("lists", lists).withColumn("mine", F.try_element_at("lists", "column")["brackets"])
-    near = mine.select("column", "value", "freq", F.explode("mine").alias("b"))
+    # The plain form would filter on the list below the grouping, and end the reuse of its shuffle.
+    near = mine.select("column", "value", "freq", F.explode_outer("mine").alias("b"))
     near = near.where(F.col("value").between(F.col("b.low"), F.col("b.high")))
     ordered = Window.partitionBy("column", "b.name").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
     ranked = near.withColumn("until", F.col("b.below") + F.sum("freq").over(ordered))
