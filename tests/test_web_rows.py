@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tradewind.functions.categories import category_levels, main_category
-from tradewind.plans import funnel, marketing, sales, visitors
+from tradewind.plans import funnel, marketing, visitors
 from tradewind.functions.fixed_values import SENSITIVITY_FIVE
 from tradewind.sources import files, web
 from tradewind.sources.schemas import WEB_SESSION
