@@ -249,8 +249,10 @@ def assign(entities: DataFrame, key: str = KEY) -> DataFrame:
     Every round the open entities draw. Of those that draw the same, the smallest wins; a draw that is
     taken or real loses. Losers draw again.
     """
+    # A draw costs far more than its bytes suggest, so the number of tasks is set rather than left to their size.
+    tasks = int(entities.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     real = entities.select("kind", F.col("norm").alias("surrogate"))
-    pending, taken = entities, None
+    pending, taken = cut_lineage(entities.repartition(tasks, "kind", "norm")), None
     for attempt in range(MAX_ROUNDS):
         drawn = surrogate(F.col("kind"), F.col("norm"), F.lit(attempt), key)
         drawn = pending.select("kind", "norm", drawn.alias("surrogate")).where("norm != surrogate")
@@ -309,7 +311,7 @@ def replace_entities(docs: DataFrame, key: str = KEY) -> DataFrame:
     found = found.where("p.kind is not null").select("_key", "p.kind", "p.norm")
     # Copies of a text and repetitions within it collapse before anything is joined.
     found = cut_lineage(found.distinct())
-    dictionary = assign(cut_lineage(found.select("kind", "norm").distinct()), key)
+    dictionary = assign(found.select("kind", "norm").distinct(), key)
     entry = F.struct(_label(F.col("kind"), F.col("norm")).alias("label"), F.col("surrogate"))
     lists = found.join(dictionary, ["kind", "norm"]).groupBy("_key").agg(F.map_from_entries(F.collect_list(entry)).alias("_map"))
     # Stored, so that the join below deals both sides anew and can split a text with very many copies.
