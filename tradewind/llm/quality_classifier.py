@@ -83,7 +83,7 @@ def _vectors(frame: DataFrame) -> DataFrame:
 
 def _with_repeats(frame: DataFrame) -> DataFrame:
     """`_features` from `_text`; a word equal to the one before adds a mark."""
-    frame = frame.withColumn("_words", words(F.col("_text")))
+    frame = frame.withColumn("_words", words(F.col("_text"))).withColumn("n_words", F.size("_words").cast("bigint"))
     again = F.filter("_words", lambda word, i: (i > 0) & (F.get(F.col("_words"), i - 1) == word))
     marks = F.transform(again, lambda _: F.lit("\x02"))
     return frame.withColumn("_features", F.concat(features(F.col("_text")), marks)).drop("_words", "_text")
@@ -107,18 +107,23 @@ def train(docs: DataFrame, labels: RuleModel, n_docs: int) -> LogisticRegression
     return learner.fit(_vectors(rows))
 
 
+def posteriors(docs: DataFrame) -> DataFrame:
+    """doc_id, n_words and the label model's posterior of "good" for every document."""
+    labels = fit(labeller_signals(docs, []), labellers())
+    belief = F.lit(None).cast("double") if labels is None else F.round(labels.posterior(), 9)
+    voted = labeller_signals(docs, [F.col("doc_id")]).select("doc_id", "n_words", *votes(labellers()))
+    return voted.select("doc_id", "n_words", belief.alias("posterior"))
+
+
 def classify(docs: DataFrame) -> DataFrame:
-    """doc_id, n_words, the label model's posterior, the scorer's probability of "good", and kept (0.5 or more)."""
-    columns = ["doc_id", "n_words", "posterior", "score", "kept"]
-    found = labeller_signals(docs, [F.col("doc_id")])
-    labels = fit(found, labellers())
+    """doc_id, n_words, the scorer's probability of "good", and kept (0.5 or more)."""
+    columns = ["doc_id", "n_words", "score", "kept"]
+    labels = fit(labeller_signals(docs, []), labellers())
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("_text"))
     if labels is None:
-        nothing = F.lit(None).cast("double")
-        return found.select("doc_id", "n_words", nothing.alias("posterior"), nothing.alias("score"), F.lit(False).alias("kept"))
+        counted = rows.withColumn("n_words", F.size(words(F.col("_text"))).cast("bigint"))
+        return counted.withColumns({"score": F.lit(None).cast("double"), "kept": F.lit(False)}).select(*columns)
     model = train(docs, labels, docs.select("doc_id").count())
-    carry = [F.col("doc_id"), F.coalesce("text", F.lit("")).alias("_keep")]
-    rows = labeller_signals(docs, carry).select("doc_id", "n_words", F.col("_keep").alias("_text"), *votes(labellers()))
-    rows = rows.select("doc_id", "n_words", "_text", F.round(labels.posterior(), 9).alias("posterior"))
     scored = model.transform(_vectors(_with_repeats(rows)))
     scored = scored.withColumn("score", F.round(vector_to_array("probability")[1], 6))
     return scored.withColumn("kept", F.col("score") >= 0.5).select(*columns)
