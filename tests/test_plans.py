@@ -34,8 +34,11 @@ def test_retail_source_joins_only_what_is_read(spark, folder):
 
 
 def test_date_range_reaches_the_scan(spark, folder):
-    text = physical(event_sessions(spark, folder, last_day="20240110"))
-    assert "GreaterThanOrEqual(ts,2024-01-01" in text and "LessThan(ts,2024-01-11" in text
+    text = physical(event_hits(spark, folder, "20240105", "20240110"))
+    assert "GreaterThanOrEqual(ts,2024-01-05" in text and "LessThan(ts,2024-01-11" in text
+    # Visit numbers need all earlier sessions, so only the last day bounds the scan.
+    text = physical(event_sessions(spark, folder, "20240105", "20240110"))
+    assert "GreaterThanOrEqual(ts" not in text and "LessThan(ts,2024-01-11" in text
 
 
 def test_unused_visit_numbers_cost_no_window(spark, folder):

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from tools.check_oracles import SKEW_SETTINGS, compare
 from tools.make_skewed import make_skewed
 from tradewind.operators.skew import join_keyed
+from tradewind.plans import pricing
 
 NAMES = [
     "monthly_churn_by_country", "cohort_retention_month", "impulsive_customers", "loyal_probability", "purchase_gaps",
@@ -71,3 +72,14 @@ def test_join_keyed_spreads_the_hot_key(spark, shuffled):
     joined = join_keyed(big, keyed, ["k"], "n", big.agg(F.count("*")).scalar(), ["id"])
     sizes = [r["count"] for r in joined.groupBy(F.spark_partition_id()).count().collect()]
     assert sum(sizes) == 20000 and max(sizes) < 20000 / 3
+
+
+def test_pricing_base_spreads_equal_lines(spark, shuffled):
+    hot = spark.range(30000).select(F.lit("mug").alias("description"), F.lit(2).alias("quantity"), F.lit(1.5).alias("unit_price"), "id")
+    cold = spark.range(30000, 60000).select(
+        F.concat(F.lit("item"), (F.col("id") % 2000).cast("string")), F.lit(1), F.lit(2.0), "id"
+    )
+    base = pricing.pricing_base(hot.union(cold), ["id"])
+    assert base.columns == ["description", "quantity", "unit_price"]
+    sizes = [r["count"] for r in base.where("description = 'mug'").groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(sizes) == 30000 and len(sizes) > 3 and max(sizes) < 15000

@@ -22,7 +22,6 @@ from .sources.web import event_hits, event_products, event_sessions
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-QUARTERS = [date(year, month, 1) for year in range(1995, 2002) for month in (1, 4, 7, 10)]
 LAST_QUARTER = date(2001, 7, 1)
 CONTINENT = "AMERICA"
 COUNTRY = "NATION_1"
@@ -96,7 +95,7 @@ def _retention() -> dict[str, Query]:
         for grain in grains:
             for name, job in operators.items():
                 jobs[f"{prefix}{name}_{grain}"] = lambda s, d, job=job, src=source, g=grain: job(src(s, d), g)
-    jobs["customer_period_matrix_quarter"] = lambda s, d: periods.customer_period_matrix(_orders(s, d), "quarter", QUARTERS)
+    jobs["customer_period_matrix_quarter"] = lambda s, d: periods.customer_period_matrix(_orders(s, d), "quarter")
     jobs["churned_customers_in_quarter"] = lambda s, d: periods.churned_customers(_orders(s, d), "quarter", LAST_QUARTER)
     jobs["monthly_churn_by_country"] = lambda s, d: retention.monthly_churn_by_country(
         retail_lines(s, d, "customer_id", "invoice_date", "country", *LINE_ORDER)
@@ -272,14 +271,18 @@ def _supply() -> dict[str, Query]:
     return jobs
 
 
-def _priced(spark, folder):
-    lines = retail_lines(spark, folder, "description", "quantity", "paid_price")
+# An order line becomes one invoice line.
+LINE_KEY = ["invoice_no", "line_no"]
+
+
+def _priced(spark, folder, *more):
+    lines = retail_lines(spark, folder, "description", "quantity", "paid_price", *more)
     return lines.withColumnRenamed("paid_price", "unit_price")
 
 
 def _pricing() -> dict[str, Query]:
     return {
-        "pricing_base": lambda s, d: pricing.pricing_base(_priced(s, d)),
+        "pricing_base": lambda s, d: pricing.pricing_base(_priced(s, d, *LINE_KEY), LINE_KEY),
         "price_points": lambda s, d: pricing.price_points(_priced(s, d)),
         "price_elasticity": lambda s, d: rounded(pricing.price_elasticity(_priced(s, d)), "price_elasticity"),
         "product_summary": lambda s, d: rounded(pricing.product_summary(_priced(s, d)), "avg_unit_price"),

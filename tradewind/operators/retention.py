@@ -13,6 +13,10 @@ from ..functions.numbers import percent, ratio
 from ..functions.periods import period_number, period_start
 
 
+# Calendar months in a period of the matrix.
+MONTHS = {"month": 1, "quarter": 3}
+
+
 def period_activity(orders: DataFrame, period: str) -> DataFrame:
     """Distinct orders and distinct customers per period."""
     start = period_start(F.col("order_date"), period)
@@ -33,10 +37,31 @@ def customer_periods(orders: DataFrame, period: str) -> DataFrame:
     )
 
 
-def customer_period_matrix(orders: DataFrame, period: str, periods: list[date]) -> DataFrame:
-    """The long form pivoted to one column per listed period, zero-filled."""
+def spanned_periods(orders: DataFrame, period: str) -> list[date]:
+    """First days of all periods from the first order to the last; their number is bounded by the calendar."""
+    known = orders.where(F.col("customer_id").isNotNull())
+    start = period_start(F.col("order_date"), period)
+    first, last = known.agg(F.min(start), F.max(start)).first()
+    if first is None:
+        return []
+    months = MONTHS[period]
+    span = (last.year - first.year) * 12 + last.month - first.month
+    numbers = [first.year * 12 + first.month - 1 + step for step in range(0, span + 1, months)]
+    return [date(number // 12, number % 12 + 1, 1) for number in numbers]
+
+
+def customer_period_matrix(orders: DataFrame, period: str, periods: list[date] | None = None) -> DataFrame:
+    """The long form pivoted to one column per period, zero-filled.
+
+    The columns are all periods that the orders span. A caller that lists the periods gets these columns,
+    and `p_other` with what lies outside them, so that no purchase is lost.
+    """
     wide = customer_periods(orders, period).withColumn("period", F.date_format("period", "yyyy_MM"))
-    names = [p.strftime("%Y_%m") for p in periods]
+    names = [p.strftime("%Y_%m") for p in (spanned_periods(orders, period) if periods is None else periods)]
+    if periods is not None:
+        listed = F.col("period").isin(names)
+        wide = wide.withColumn("period", F.when(listed, F.col("period")).otherwise("other"))
+        names = [*names, "other"]
     pivoted = wide.groupBy("customer_id").pivot("period", names).agg(F.sum("purchase_count"))
     return pivoted.na.fill(0).withColumnsRenamed({name: f"p_{name}" for name in names})
 

@@ -20,13 +20,17 @@ def sold_lines(lines: DataFrame) -> DataFrame:
     return lines.where((F.col("quantity") > 0) & (F.col("unit_price") > 0) & F.col("description").isNotNull())
 
 
-def pricing_base(lines: DataFrame, min_lines: int = MIN_LINES) -> DataFrame:
-    """Sold lines of the descriptions that have enough of them."""
+def pricing_base(lines: DataFrame, key: list[str], min_lines: int = MIN_LINES) -> DataFrame:
+    """Sold lines of the descriptions that have enough of them.
+
+    `key` names the columns that tell the lines apart. The lines of a hot description are spread by them,
+    as equal lines, spread by their values, would all meet in one task.
+    """
     sold = sold_lines(lines)
     counts = sold.groupBy("description").agg(F.count("*").alias("n"))
     total = counts.agg(F.sum("n")).scalar()
     frequent = counts.where(F.col("n") >= min_lines)
-    return join_keyed(sold, frequent, ["description"], "n", total, sold.columns).drop("n")
+    return join_keyed(sold, frequent, ["description"], "n", total, key).drop("n", *key)
 
 
 def _price_rows(lines: DataFrame, min_lines: int) -> DataFrame:

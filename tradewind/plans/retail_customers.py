@@ -17,8 +17,8 @@ from ..functions.fixed_values import (
 )
 from ..functions.labels import keyword_category, season
 from ..functions.numbers import money_sum, ratio
+from ..sources.retail import LINE_ORDER
 
-LINE_ORDER = ["invoice_ts", "invoice_no", "line_no", "part_no", "line_quantity"]
 
 
 # --- seasons ----------------------------------------------------------------------

@@ -15,8 +15,8 @@ from ..functions.labels import weekday_name
 from ..functions.numbers import money_sum, pearson, ratio
 from ..functions.periods import period_start, week_end
 from ..operators.quantiles import exact_quantiles
+from ..sources.retail import LINE_ORDER
 
-LINE_ORDER = ["invoice_ts", "invoice_no", "line_no", "part_no", "line_quantity"]
 
 
 def supply_base(lines: DataFrame) -> DataFrame:

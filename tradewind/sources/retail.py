@@ -23,10 +23,6 @@ HEMISPHERES = {"AMERICA": "south", "AFRICA": "equator"}
 LINE_ORDER = ["invoice_ts", "invoice_no", "line_no", "part_no", "line_quantity"]
 
 
-def line_order(*columns: str) -> list[str]:
-    return [*columns, *(c for c in LINE_ORDER if c not in columns)]
-
-
 def _orders(spark: SparkSession, folder: str, with_place: bool) -> DataFrame:
     orders = table(spark, folder, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
     if not with_place:

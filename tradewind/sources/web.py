@@ -17,7 +17,6 @@ from ..operators.skew import join_keyed
 from .files import table
 
 DAY_ZERO = "2024-01-01"
-FIRST_DAY, LAST_DAY = "20240101", "20240131"
 
 CHANNELS = ["organic", "cpc", "cpm", "referral", "affiliate", "(none)"]
 CAMPAIGNS = ["(not set)", "Campaign A", "Campaign B", "Campaign C"]
@@ -99,11 +98,13 @@ def _day_column(day: str):
     return F.lit(f"{day[:4]}-{day[4:6]}-{day[6:]}").cast("date")
 
 
-def _events(spark: SparkSession, folder: str, first_day: str, last_day: str) -> DataFrame:
-    """Events of the date range; the bounds are on the raw timestamp, so the scan can skip."""
-    lower = _day_column(first_day).cast("timestamp_ntz")
-    upper = F.date_add(_day_column(last_day), 1).cast("timestamp_ntz")
-    events = table(spark, folder, "events").where((F.col("ts") >= lower) & (F.col("ts") < upper))
+def _events(spark: SparkSession, folder: str, first_day: str | None, last_day: str | None) -> DataFrame:
+    """Events of the date range; the bounds are on the raw timestamp, so the scan can skip. None leaves a side open."""
+    events = table(spark, folder, "events")
+    if first_day is not None:
+        events = events.where(F.col("ts") >= _day_column(first_day).cast("timestamp_ntz"))
+    if last_day is not None:
+        events = events.where(F.col("ts") < F.date_add(_day_column(last_day), 1).cast("timestamp_ntz"))
     day = F.datediff(F.to_date("ts"), F.lit(DAY_ZERO).cast("date")).cast("bigint")
     return events.select(
         "event_id",
@@ -119,7 +120,8 @@ def _events(spark: SparkSession, folder: str, first_day: str, last_day: str) ->
 def _with_keys(rows: DataFrame) -> DataFrame:
     """Visitor, visit and date of a (user_id, day): a visitor is a user within a block of days."""
     user, day = F.col("user_id"), F.col("day")
-    block = (day / (user % 10 + 1)).cast("bigint")
+    # Days before the first one are negative.
+    block = F.floor(day / (user % 10 + 1))
     date = F.date_add(F.lit(DAY_ZERO).cast("date"), day.cast("int"))
     return rows.withColumns(
         {
@@ -149,7 +151,7 @@ def _with_context(rows: DataFrame, spark: SparkSession, folder: str) -> DataFram
     return joined.withColumns(
         {
             "channel": _pick(CHANNELS, F.col("user_id") % 6),
-            "campaign": _pick(CAMPAIGNS, (F.col("user_id") + F.col("day")) % 4),
+            "campaign": _pick(CAMPAIGNS, F.pmod(F.col("user_id") + F.col("day"), F.lit(4))),
             "region": F.concat("country", F.lit("-"), (F.col("user_id") % 3).cast("string")),
         }
     )
@@ -158,11 +160,14 @@ def _with_context(rows: DataFrame, spark: SparkSession, folder: str) -> DataFram
 def event_hits(
     spark: SparkSession,
     folder: str,
-    first_day: str = FIRST_DAY,
-    last_day: str = LAST_DAY,
+    first_day: str | None = None,
+    last_day: str | None = None,
     session_totals: bool = False,
 ) -> DataFrame:
-    """Hits of the event table. Session totals cost a join, so they come only on request."""
+    """Hits of the event table, of all days unless the caller bounds them (`yyyyMMdd`, both included).
+
+    Session totals cost a join, so they come only on request.
+    """
     events = _events(spark, folder, first_day, last_day)
     kind = F.col("event_type")
     action = (
@@ -230,14 +235,15 @@ def event_products(hits: DataFrame, spark: SparkSession, folder: str, catalog: b
 
 
 def event_sessions(
-    spark: SparkSession, folder: str, first_day: str = FIRST_DAY, last_day: str = LAST_DAY
+    spark: SparkSession, folder: str, first_day: str | None = None, last_day: str | None = None
 ) -> DataFrame:
-    """One session per user and day.
+    """One session per user and day, of all days unless the caller bounds them.
 
+    Visit numbers count from the visitor's first visit in the table, whatever the first day.
     Totals are plain aggregates with map-side partials. The window that numbers a visitor's visits
     sees one row per day; Catalyst drops it from the plan of a job that does not use the numbers.
     """
-    events = _events(spark, folder, FIRST_DAY, last_day)
+    events = _events(spark, folder, None, last_day)
     seen = F.col("event_type").isin("view", "click")
     bought = F.col("event_type") == "purchase"
     sessions = events.groupBy("user_id", "day").agg(
@@ -251,7 +257,9 @@ def event_sessions(
     sessions = _with_keys(sessions)
     visits = Window.partitionBy("full_visitor_id").orderBy("day")
     number = F.row_number().over(visits).cast("bigint")
-    sessions = sessions.withColumn("visit_number", number).where(F.col("date").between(first_day, last_day))
+    sessions = sessions.withColumn("visit_number", number)
+    if first_day is not None:
+        sessions = sessions.where(F.col("date") >= first_day)
     epoch = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
     return _with_context(sessions, spark, folder).select(
         *KEYS,
