@@ -59,8 +59,8 @@ def fill(budget: int, lengths: np.ndarray, counts: np.ndarray) -> np.ndarray:
     chosen = np.zeros(len(lengths), dtype=np.int64)
     if budget <= 0 or not len(lengths):
         return chosen
-    # A sum over the budget may be nearer than the one below, but only by less than one length.
-    limit = int(budget + lengths.min())
+    # A sum over the budget may be the nearest, but none over twice the budget: taking nothing is nearer.
+    limit = 2 * int(budget)
     reached = np.zeros(limit + 1, dtype=bool)
     reached[0] = True
     via = np.full(limit + 1, -1, dtype=np.int64)

@@ -37,8 +37,8 @@ from .text import packed, slices
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 UNKNOWN_PENALTY = 10.0
-CACHED_WORDS = 250_000
-CHARS_AT_ONCE = 2_000_000
+CACHED_WORDS = 120_000
+CHARS_AT_ONCE = 1_000_000
 _UNITS = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 
 
@@ -178,7 +178,7 @@ def _with(batch: pa.RecordBatch, names: list[str], arrays: list[pa.Array]) -> pa
     return pa.RecordBatch.from_arrays([batch.column("_row"), *arrays], ["_row", *names])
 
 
-def _encode_batches(batches: Iterator[pa.RecordBatch], vocabulary, digest: bool) -> Iterator[pa.RecordBatch]:
+def _encode_batches(batches: Iterator[pa.RecordBatch], vocabulary, result: str) -> Iterator[pa.RecordBatch]:
     codec = _codec(vocabulary.value)
     for batch in batches:
         texts = batch.column("text").to_pylist()
@@ -186,15 +186,23 @@ def _encode_batches(batches: Iterator[pa.RecordBatch], vocabulary, digest: bool)
             ids = [None if t is None else codec.encode(t) for t in texts[start:end]]
             part = batch.slice(start, end - start)
             scores = pa.array([None if x is None else codec.score(x) for x in ids], pa.float64())
-            if digest:
+            if result == "digest":
                 yield _with(part, DIGEST, [*_digests(codec, texts[start:end], ids), scores])
             else:
-                yield _with(part, ["ids", "score"], [pa.array(ids, pa.list_(pa.int32())), scores])
+                names, arrays = ["ids", "score"], [pa.array(ids, pa.list_(pa.int32())), scores]
+                if result == "checked":
+                    names.append("round_trip")
+                    arrays.append(_round_trips(codec, texts[start:end], ids))
+                yield _with(part, names, arrays)
 
 
 DIGEST = ["n_chars", "n_pieces", "n_byte_pieces", "ids_sha256", "round_trip", "score"]
 
 
+def _round_trips(codec: Codec, texts: list[str | None], ids: list[np.ndarray | None]) -> pa.Array:
+    return pa.array([t is None or codec.decode(x) == t for t, x in zip(texts, ids, strict=True)], pa.bool_())
+
+
 def _digests(codec: Codec, texts: list[str | None], ids: list[np.ndarray | None]) -> list[pa.Array]:
     in_bytes = np.zeros(len(codec.bytes_of), dtype=bool)
     in_bytes[list(codec.byte_ids.values())] = True
@@ -205,7 +213,7 @@ def _digests(codec: Codec, texts: list[str | None], ids: list[np.ndarray | None]
         pa.array([len(x) for x in known], pa.int64()),
         pa.array([int(in_bytes[x].sum()) for x in known], pa.int64()),
         pa.array([hashlib.sha256(x.astype("<i4").tobytes()).hexdigest() for x in known], pa.string()),
-        pa.array([t is None or codec.decode(x) == t for t, x in zip(texts, known, strict=True)], pa.bool_()),
+        _round_trips(codec, texts, ids),
     ]
 
 
@@ -226,7 +234,22 @@ def encode(docs: DataFrame, model: str = MODEL) -> DataFrame:
     vocabulary = docs.sparkSession.sparkContext.broadcast(read_vocabulary(model))
     rows = docs.select(packed(docs, ["ids", "score"]), F.col("text"))
     added = [T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("score", T.DoubleType())]
-    return _mapped(rows, partial(_encode_batches, vocabulary=vocabulary, digest=False), added)
+    return _mapped(rows, partial(_encode_batches, vocabulary=vocabulary, result="ids"), added)
+
+
+def encode_checked(docs: DataFrame, model: str = MODEL) -> DataFrame:
+    """`docs` with `ids` and `score` in place of `text`, and whether decoding the ids gave the text back.
+
+    Encoding and decoding share a pass, so that a task needs one worker and carries each text once.
+    """
+    vocabulary = docs.sparkSession.sparkContext.broadcast(read_vocabulary(model))
+    rows = docs.select(packed(docs, ["text", "ids", "score", "round_trip"]), F.col("text"))
+    added = [
+        T.StructField("ids", T.ArrayType(T.IntegerType())),
+        T.StructField("score", T.DoubleType()),
+        T.StructField("round_trip", T.BooleanType()),
+    ]
+    return _mapped(rows, partial(_encode_batches, vocabulary=vocabulary, result="checked"), added)
 
 
 def decode(encoded: DataFrame, model: str = MODEL) -> DataFrame:
@@ -242,4 +265,4 @@ def encode_digests(docs: DataFrame, model: str = MODEL) -> DataFrame:
     rows = docs.select(F.struct("doc_id").alias("_row"), "text")
     kinds = [T.LongType(), T.LongType(), T.LongType(), T.StringType(), T.BooleanType(), T.DoubleType()]
     added = [T.StructField(name, kind) for name, kind in zip(DIGEST, kinds, strict=True)]
-    return _mapped(rows, partial(_encode_batches, vocabulary=vocabulary, digest=True), added)
+    return _mapped(rows, partial(_encode_batches, vocabulary=vocabulary, result="digest"), added)
