@@ -232,7 +232,7 @@ def test_audit_finds_every_kind(spark):
     second = second.withColumn("html", F.when(F.col("page_id") == 40, "<P>" + "y" * 40).otherwise(F.col("html")))
     found = warc_fixity.audit(*[warc_fixity.manifest(warc_fixity.records(p)) for p in (first, second)])
     counts = {r["status"]: r["count"] for r in found.groupBy("status").count().collect()}
-    assert counts == {"intact": 2492, "changed": 1, "missing": 1, "added": 1, "shifted": 8} | {"intact": 2502 - 11 + 1}
+    assert counts == {"intact": 2491, "changed": 1, "missing": 1, "added": 1, "shifted": 9}
     same = warc_fixity.audit(*[warc_fixity.manifest(warc_fixity.records(first))] * 2)
     assert same.where("status <> 'intact'").isEmpty() and same.count() == 2502
 

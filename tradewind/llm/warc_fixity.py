@@ -116,7 +116,7 @@ def _node(ordered: list[str]) -> list[Column]:
 
 
 def heights(*manifests: DataFrame) -> list[bool]:
-    """What the rounds from the leaves to one root join: True for neighbours in a segment, False for segments.
+    """What the rounds from the leaves to the root join: True for neighbours in a segment, False for segments.
 
     Replicas are compared at equal heights, so the heights follow the larger one.
     """
@@ -127,7 +127,8 @@ def heights(*manifests: DataFrame) -> list[bool]:
     while last > 0:
         rounds.append(True)
         last >>= FAN_BITS
-    while low != high:
+    # Segments of pages without an id are negative; they keep a root of their own beside the others.
+    while low != high and (low, high) != (-1, 0):
         rounds.append(False)
         low, high = low >> FAN_BITS, high >> FAN_BITS
     return rounds
