@@ -38,22 +38,20 @@ def customer_periods(orders: DataFrame, period: str) -> DataFrame:
 
 
 def spanned_periods(orders: DataFrame, period: str) -> list[date]:
-    """First days of all periods from the first order to the last; their number is bounded by the calendar."""
+    """First days of all periods of the years with orders, first to last; their number is bounded by the calendar."""
     known = orders.where(F.col("customer_id").isNotNull())
     start = period_start(F.col("order_date"), period)
     first, last = known.agg(F.min(start), F.max(start)).first()
     if first is None:
         return []
-    months = MONTHS[period]
-    span = (last.year - first.year) * 12 + last.month - first.month
-    numbers = [first.year * 12 + first.month - 1 + step for step in range(0, span + 1, months)]
-    return [date(number // 12, number % 12 + 1, 1) for number in numbers]
+    years = range(first.year, last.year + 1)
+    return [date(year, month, 1) for year in years for month in range(1, 13, MONTHS[period])]
 
 
 def customer_period_matrix(orders: DataFrame, period: str, periods: list[date] | None = None) -> DataFrame:
     """The long form pivoted to one column per period, zero-filled.
 
-    The columns are all periods that the orders span. A caller that lists the periods gets these columns,
+    The columns are all periods of the years that the orders span. A caller that lists the periods gets these columns,
     and `p_other` with what lies outside them, so that no purchase is lost.
     """
     wide = customer_periods(orders, period).withColumn("period", F.date_format("period", "yyyy_MM"))
