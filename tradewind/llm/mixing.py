@@ -112,6 +112,13 @@ def fit_source(lengths: np.ndarray, counts: np.ndarray, target: float) -> tuple[
             gap -= more * int(lengths[i])
     order = order[counts[order] > extra[order]]
     extra[order] += fill(min(gap, 4 * GAP), lengths[order], (counts - extra)[order])
+    if budget <= GAP and int((extra * lengths).sum()) != budget:
+        # A source with few documents may only be met by giving up the proportions.
+        some = np.flatnonzero(lengths > 0)
+        free = np.zeros_like(extra)
+        free[some] = fill(budget, lengths[some], counts[some])
+        if abs(int((free * lengths).sum()) - budget) < abs(int((extra * lengths).sum()) - budget):
+            extra = free
     return times, extra
 
 
