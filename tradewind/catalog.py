@@ -293,8 +293,8 @@ def _pricing() -> dict[str, Query]:
         ),
         "description_clusters": lambda s, d: clusters.description_clusters(_priced(s, d)),
         "cluster_samples": lambda s, d: clusters.cluster_samples(clusters.description_clusters(_priced(s, d))),
-        "elbow_wcss": lambda s, d: clusters.elbow_wcss(_priced(s, d)),
-        "category_elasticity": lambda s, d: clusters.category_elasticity(_priced(s, d)),
+        "elbow_wcss": lambda s, d: rounded(clusters.elbow_wcss(_priced(s, d)), "wcss", digits=4),
+        "category_elasticity": lambda s, d: rounded(clusters.category_elasticity(_priced(s, d)), "price_elasticity"),
     }
 
 
@@ -337,6 +337,7 @@ def _segments() -> dict[str, Query]:
             segments.cyclical_month(features(s, d)).groupBy("month", *segments.CYCLE).agg(F.count("*").alias("rows")),
             *segments.CYCLE,
         ),
+        "feature_covariance": lambda s, d: rounded(segments.feature_covariance(features(s, d)), "covariance"),
         "one_hot": lambda s, d: segments.one_hot_counts(features(s, d)),
         "pca_loadings": lambda s, d: fitted(s, d).loadings(),
         "pca_strong_loadings": lambda s, d: fitted(s, d).strong_loadings(),
@@ -344,6 +345,7 @@ def _segments() -> dict[str, Query]:
         "kmeans_segments": lambda s, d: fitted(s, d).segments(),
         "kmeans_segments_on_features": lambda s, d: fitted(s, d).segments(on="features"),
         "cluster_centers": lambda s, d: fitted(s, d).centers(),
+        "cluster_centers_on_features": lambda s, d: rounded(fitted(s, d).centers(on="features"), "value"),
     }
 
 

@@ -7,7 +7,6 @@ statistics and clustering see each distinct description once.
 import math
 
 from pyspark.ml import Pipeline
-from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import (
     CountVectorizerModel,
     ElementwiseProduct,
@@ -15,17 +14,17 @@ from pyspark.ml.feature import (
     RegexTokenizer,
     StopWordsRemover,
 )
+from pyspark.ml.functions import vector_to_array
 from pyspark.ml.linalg import Vectors
-from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..operators import kmeans
 from ..operators.lineage import cut_lineage
 from .pricing import MIN_LINES, price_elasticity, sold_lines
 
 MAX_TERMS = 500
 CLUSTERS = 8
-SEED = 42
 
 
 def description_vectors(
@@ -65,25 +64,35 @@ def description_vectors(
     return vectors.select("description", "weight", "features"), vocabulary
 
 
-def _fit(vectors: DataFrame, k: int, seed: int):
-    return KMeans(featuresCol="features", predictionCol="cluster", weightCol="weight", k=k, seed=seed).fit(vectors)
+def _points(vectors: DataFrame, dimensions: int) -> DataFrame:
+    """The vectors in sparse form, stored, as every step reads them."""
+    places = F.sequence(F.lit(0), F.lit(dimensions - 1))
+    dense = vectors.select(F.col("description").alias("key"), "weight", vector_to_array("features").alias("_dense"))
+    indices = F.filter(places, lambda i: F.get("_dense", i) != 0)
+    found = dense.withColumn("indices", indices)
+    values = F.transform("indices", lambda i: F.get("_dense", i))
+    return cut_lineage(found.select("key", "weight", "indices", values.alias("values")))
 
 
 def description_clusters(
-    lines: DataFrame, k: int = CLUSTERS, seed: int = SEED, terms: int = 3, min_lines: int = MIN_LINES
+    lines: DataFrame, k: int = CLUSTERS, terms: int = 3, min_lines: int = MIN_LINES
 ) -> DataFrame:
     """Cluster of every description, named by the heaviest terms of its centre."""
     vectors, vocabulary = description_vectors(lines, min_lines=min_lines)
-    model = _fit(vectors, k, seed)
+    points = _points(vectors, len(vocabulary))
+    centers = kmeans.fit(points, [k], len(vocabulary))[k]
     names = []
-    for number, center in enumerate(model.clusterCenters()):
+    for center in centers.round(kmeans.DIGITS):
         order = sorted(range(len(vocabulary)), key=lambda i: (-center[i], vocabulary[i]))
-        names.append((number, " / ".join(vocabulary[i] for i in order[:terms] if center[i] > 0)))
-    titles = lines.sparkSession.createDataFrame(names, "cluster int, category string")
-    # One title per cluster.
-    labeled = model.transform(vectors).join(F.broadcast(titles), "cluster")
+        names.append(" / ".join(vocabulary[i] for i in order[:terms] if center[i] > 0))
+    # One name per cluster.
+    titles = F.array(*[F.lit(name) for name in names])
+    labeled = points.withColumn("cluster", kmeans.nearest(centers))
     return labeled.select(
-        "description", F.col("cluster").cast("bigint").alias("cluster"), "category", F.col("weight").cast("bigint").alias("lines")
+        F.col("key").alias("description"),
+        "cluster",
+        F.get(titles, F.col("cluster").cast("int")).alias("category"),
+        F.col("weight").cast("bigint").alias("lines"),
     )
 
 
@@ -94,25 +103,17 @@ def cluster_samples(clusters: DataFrame, n: int = 10) -> DataFrame:
     return ranked.select("cluster", "category", F.col("position").cast("bigint").alias("position"), "description")
 
 
-def elbow_wcss(lines: DataFrame, max_k: int = 14, seed: int = SEED, min_lines: int = MIN_LINES) -> DataFrame:
-    """Within-cluster sum of squares for k = 1 .. max_k."""
-    vectors, _ = description_vectors(lines, min_lines=min_lines)
-    # One cluster has the mean as its centre: sum of squares minus the mean's share.
-    stats = vectors.select(
-        Summarizer.metrics("mean", "normL2").summary(F.col("features"), F.col("weight")).alias("s"),
-        F.sum("weight").alias("total"),
-    ).select("s.*", "total").first()
-    squares = sum(x * x for x in stats["normL2"].toArray())
-    mean = sum(x * x for x in stats["mean"].toArray())
-    costs = [(1, float(squares - stats["total"] * mean))]
-    for k in range(2, max_k + 1):
-        costs.append((k, float(_fit(vectors, k, seed).summary.trainingCost)))
-    return lines.sparkSession.createDataFrame(costs, "k bigint, wcss double")
+def elbow_wcss(lines: DataFrame, max_k: int = 14, min_lines: int = MIN_LINES) -> DataFrame:
+    """Within-cluster sum of squares for k = 1 .. max_k, all fitted in the same steps."""
+    vectors, vocabulary = description_vectors(lines, min_lines=min_lines)
+    points = _points(vectors, len(vocabulary))
+    centers = kmeans.fit(points, list(range(1, max_k + 1)), len(vocabulary))
+    return kmeans.costs(points, centers)
 
 
-def category_elasticity(lines: DataFrame, k: int = CLUSTERS, seed: int = SEED) -> DataFrame:
+def category_elasticity(lines: DataFrame, k: int = CLUSTERS) -> DataFrame:
     """Mean elasticity of the descriptions in each cluster."""
-    clusters = description_clusters(lines, k, seed).select("description", "category")
+    clusters = description_clusters(lines, k).select("description", "category")
     joined = price_elasticity(lines).join(clusters, "description", "left")
     return joined.where(F.col("category").isNotNull()).groupBy("category").agg(
         F.avg("price_elasticity").alias("price_elasticity"), F.count("*").alias("descriptions")

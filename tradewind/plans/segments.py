@@ -1,15 +1,18 @@
 """Feature building, principal components and k-means segments of the behaviour table."""
 
 import math
+from functools import cached_property
+from itertools import combinations_with_replacement
 
+import numpy as np
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import PCA, OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators import kmeans
 from ..operators.lineage import cut_lineage
 
 STANDARDIZED = ["visit_number", "time_on_site", "pageviews", "session_quality", "totals_revenue", "price"]
@@ -18,23 +21,25 @@ CYCLE = ["month_sin", "month_cos"]
 IDS = ["users", "visit_id", "transaction_id"]
 COMPONENTS = 5
 SEGMENTS = 4
-SEED = 42
 
 
 def feature_frame(behavior: DataFrame) -> DataFrame:
-    """The cleaned behaviour columns used for segmentation, without nulls among the features."""
+    """The cleaned behaviour columns used for segmentation, without nulls among the features.
+
+    Missing amounts, prices and counts are zero, missing categories are `Other`.
+    """
     main = F.coalesce(F.nullif(F.col("main_category"), F.lit("")), F.lit("Other"))
     return behavior.select(
         *IDS,
         "visit_number",
         F.coalesce("time_on_site", F.lit(0)).alias("time_on_site"),
         F.coalesce("pageviews", F.lit(0)).alias("pageviews"),
-        "session_quality",
+        F.coalesce("session_quality", F.lit(0)).alias("session_quality"),
         F.coalesce("totals_revenue", F.lit(0.0)).alias("totals_revenue"),
-        "transactions",
-        "price",
-        "action",
-        "continent",
+        F.coalesce("transactions", F.lit(0)).alias("transactions"),
+        F.coalesce("price", F.lit(0.0)).alias("price"),
+        F.coalesce("action", F.lit("Other")).alias("action"),
+        F.coalesce("continent", F.lit("Other")).alias("continent"),
         main.alias("main_category"),
         F.month(F.to_date("date", "yyyyMMdd")).cast("bigint").alias("month"),
     )
@@ -93,36 +98,66 @@ def one_hot_counts(features: DataFrame, columns: list[str] = CATEGORICAL) -> Dat
     return sums.select(F.explode(F.array(*cells)).alias("cell")).select("cell.*")
 
 
+def feature_covariance(features: DataFrame) -> DataFrame:
+    """Population covariance of every pair of numeric features, from one aggregate: what the components rest on."""
+    names = [*STANDARDIZED, "transactions", *CYCLE]
+    pairs = list(combinations_with_replacement(names, 2))
+    prepared = cyclical_month(standardize(features))
+    found = prepared.agg(
+        F.array(
+            *[
+                F.struct(F.lit(a).alias("feature"), F.lit(b).alias("other"), F.covar_pop(a, b).alias("covariance"))
+                for a, b in pairs
+            ]
+        ).alias("cells")
+    )
+    return found.select(F.explode("cells").alias("cell")).select("cell.*")
+
+
 class Segmentation:
-    """Fitted encoding, centring and principal components of a feature frame."""
+    """Encoding, centring, principal components and segments of a feature frame, fitted when first asked for."""
 
     def __init__(self, features: DataFrame, components: int = COMPONENTS):
         self.numeric = [*STANDARDIZED, "transactions", *CYCLE]
+        self.components = components
         # Indexing, centring, components and clustering each read the rows again.
-        prepared = cyclical_month(standardize(cut_lineage(features)))
+        self.prepared = cyclical_month(standardize(cut_lineage(features)))
+
+    @cached_property
+    def model(self) -> PipelineModel:
         stages = [
             *one_hot_stages(),
             VectorAssembler(inputCols=[*self.numeric, *[f"{c}_dummies" for c in CATEGORICAL]], outputCol="raw"),
             StandardScaler(inputCol="raw", outputCol="centred", withMean=True, withStd=False),
-            PCA(k=components, inputCol="centred", outputCol="scores"),
+            PCA(k=self.components, inputCol="centred", outputCol="scores"),
         ]
-        self.model: PipelineModel = Pipeline(stages=stages).fit(prepared)
-        self.rows = self.model.transform(prepared)
+        return Pipeline(stages=stages).fit(self.prepared)
+
+    @property
+    def rows(self) -> DataFrame:
+        return self.model.transform(self.prepared)
 
     @property
     def feature_names(self) -> list[str]:
         levels = dummy_names(self.model.stages[0])
         return [*self.numeric, *[f"{c}={level}" for c in CATEGORICAL for level in levels[c]]]
 
+    @cached_property
+    def signs(self) -> np.ndarray:
+        """An eigenvector has no direction of its own; its first heaviest loading is made positive."""
+        matrix = self.model.stages[-1].pc.toArray()
+        heaviest = np.argmax(np.abs(matrix).round(6), axis=0)
+        return np.where(matrix[heaviest, np.arange(matrix.shape[1])] < 0, -1.0, 1.0)
+
     def loadings(self) -> DataFrame:
         """Component by feature, one row each; as many rows as the matrix has cells."""
-        matrix = self.model.stages[-1].pc.toArray()
+        matrix = self.model.stages[-1].pc.toArray() * self.signs
         rows = [
             (f"PC{j + 1}", name, float(matrix[i, j]))
             for j in range(matrix.shape[1])
             for i, name in enumerate(self.feature_names)
         ]
-        return self.rows.sparkSession.createDataFrame(rows, "component string, feature string, loading double")
+        return self.prepared.sparkSession.createDataFrame(rows, "component string, feature string, loading double")
 
     def strong_loadings(self, threshold: float = 0.2) -> DataFrame:
         return self.loadings().where(F.abs("loading") > threshold)
@@ -131,26 +166,44 @@ class Segmentation:
         """Share of the variance per component and its running sum."""
         ratios = [float(x) for x in self.model.stages[-1].explainedVariance]
         rows = [(f"PC{i + 1}", r, sum(ratios[: i + 1])) for i, r in enumerate(ratios)]
-        return self.rows.sparkSession.createDataFrame(rows, "component string, ratio double, cumulative double")
+        return self.prepared.sparkSession.createDataFrame(rows, "component string, ratio double, cumulative double")
 
-    def _clustering(self, on: str, k: int, seed: int):
-        rows, column = self.rows, "scores"
+    def _points(self, on: str) -> DataFrame:
+        """Component scores, or with `on="features"` the first standardized columns, rounded to nine digits."""
         if on == "features":
-            first = self.numeric[:COMPONENTS]
-            rows, column = VectorAssembler(inputCols=first, outputCol="chosen").transform(rows), "chosen"
-        return KMeans(featuresCol=column, predictionCol="segment", k=k, seed=seed).fit(rows), rows
+            rows, values = self.prepared, [F.col(c).cast("double") for c in self.numeric[:COMPONENTS]]
+        else:
+            rows, scores = self.rows, vector_to_array("scores")
+            values = [F.get(scores, F.lit(i)) * float(sign) for i, sign in enumerate(self.signs)]
+        key = F.concat_ws("|", "users", "visit_id").alias("key")
+        return rows.select(
+            "users",
+            "visit_id",
+            "action",
+            key,
+            F.lit(1.0).alias("weight"),
+            F.array(*[F.lit(i) for i in range(len(values))]).alias("indices"),
+            # Adding zero turns a negative zero into zero.
+            F.array(*[F.round(v, kmeans.DIGITS) + 0.0 for v in values]).alias("values"),
+        )
+
+    def _clustering(self, on: str, k: int):
+        # Every step reads the points again.
+        points = cut_lineage(self._points(on))
+        dimensions = COMPONENTS if on == "features" else self.components
+        return kmeans.fit(points, [k], dimensions)[k], points
 
-    def segments(self, on: str = "scores", k: int = SEGMENTS, seed: int = SEED) -> DataFrame:
+    def segments(self, on: str = "scores", k: int = SEGMENTS) -> DataFrame:
         """Segment of every row, by centred component scores or, with `on="features"`, by the
         first five standardized columns."""
-        model, rows = self._clustering(on, k, seed)
-        return model.transform(rows).select("users", "visit_id", "action", F.col("segment").cast("bigint").alias("segment"))
+        centers, points = self._clustering(on, k)
+        return points.select("users", "visit_id", "action", kmeans.nearest(centers).alias("segment"))
 
-    def centers(self, on: str = "scores", k: int = SEGMENTS, seed: int = SEED) -> DataFrame:
-        model, rows = self._clustering(on, k, seed)
+    def centers(self, on: str = "scores", k: int = SEGMENTS) -> DataFrame:
+        centers, points = self._clustering(on, k)
         cells = [
             (segment, f"PC{i + 1}" if on == "scores" else self.numeric[i], float(value))
-            for segment, center in enumerate(model.clusterCenters())
+            for segment, center in enumerate(centers)
             for i, value in enumerate(center)
         ]
-        return rows.sparkSession.createDataFrame(cells, "segment bigint, dimension string, value double")
+        return points.sparkSession.createDataFrame(cells, "segment bigint, dimension string, value double")
