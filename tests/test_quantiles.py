@@ -43,6 +43,12 @@ def test_exact_even_when_every_bracket_misses(spark, monkeypatch):
     assert list(row) == pytest.approx(expected(values), rel=1e-12)
 
 
+def test_exact_over_many_magnitudes(spark):
+    values = [float(f"{sign}1e{e}") for e in range(-300, 301, 3) for sign in ("", "-")] + [1.7e308, -1.7e308]
+    row = quantiles.exact_quantiles(frame(spark, values), "x", {"a": 0.0, "d": 0.5, "g": 1.0}).first()
+    assert (row["a"], row["g"]) == (-1.7e308, 1.7e308) and row["d"] == pytest.approx(0)
+
+
 def test_no_values_give_null(spark):
     row = quantiles.exact_quantiles(frame(spark, []), "x", {"q": 0.5}).first()
     assert row["q"] is None

@@ -1,8 +1,10 @@
 import numpy as np
 import pytest
 from pyspark.ml.functions import vector_to_array
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
+from tradewind.operators import kmeans
 from tradewind.plans import clusters, segments
 
 
@@ -70,3 +72,42 @@ def test_wcss_of_one_cluster(spark):
     points = np.array([r["f"] for r in data for _ in range(int(r["weight"]))])
     expected = ((points - points.mean(axis=0)) ** 2).sum()
     assert clusters.elbow_wcss(lines, max_k=2, min_lines=1).orderBy("k").first()["wcss"] == pytest.approx(expected)
+
+
+def _partitioned(spark, count, job):
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    coalescing = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.shuffle.partitions", str(count))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        return sorted(map(repr, job().collect()))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", coalescing)
+
+
+@pytest.mark.parametrize("name", ["description_clusters", "kmeans_segments"])
+def test_clusters_do_not_depend_on_the_partitioning(spark, folder, name):
+    job = lambda: entry.queries()[name](spark, folder)
+    assert _partitioned(spark, 3, job) == _partitioned(spark, 13, job)
+
+
+def test_missing_categories_and_amounts_do_not_stop_the_fit(spark, folder):
+    behavior = entry.queries()["clean_behavior"](spark, folder)
+    hole = F.col("start_time") % 3 == 0
+    holes = {c: F.when(~hole, F.col(c)) for c in ("price", "continent", "action", "session_quality", "transactions")}
+    features = segments.feature_frame(behavior.withColumns(holes))
+    fitted = segments.Segmentation(features)
+    assert fitted.segments().count() == features.count()
+    assert "continent=Other" in fitted.feature_names and "action=Other" in fitted.feature_names
+
+
+def test_fewer_points_than_clusters(spark):
+    schema = "key string, weight double, indices array<int>, values array<double>"
+    rows = [("a", 1.0, [0], [1.0]), ("b", 2.0, [0], [1.0]), ("c", 1.0, [1], [3.0])]
+    centers = kmeans.fit(spark.createDataFrame(rows, schema), [1, 4], 2)
+    assert sorted(map(tuple, centers[4])) == [(0.0, 3.0), (1.0, 0.0)]
+    assert centers[1].tolist() == [[0.75, 0.75]]
+    none = spark.createDataFrame([], schema)
+    assert len(kmeans.fit(none, [2], 2)[2]) == 0
+    assert none.select(kmeans.nearest(np.zeros((0, 2)))).count() == 0

@@ -2,7 +2,8 @@
 
 `percentile` keeps every distinct value of a group in one task, which is right for bounded domains
 only. Here a fixed-size sketch brackets each wanted rank, one pass counts what lies below the
-bracket, and only the few values inside it are ordered. All columns share the two passes.
+bracket, and the few values inside it are counted again by `CHUNKS` equal ranges of it. Only the range
+that holds the rank is ordered. All columns share the passes.
 """
 
 from pyspark.sql import Column, DataFrame, Window
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 SKETCH_ACCURACY = 10000
 # Bracket half-width in units of the sketch's own rank error.
 SAFETY = 4
+CHUNKS = 4096
 
 
 def _long(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -31,6 +33,7 @@ def _quantiles(long: DataFrame, by_column: Column, wanted: dict[str, float]) ->
     """One row per column with its quantiles; `by_column` maps a column to a struct with its sketch."""
     counted = long.groupBy("column", "value").agg(F.count("*").alias("freq"))
     measures = [F.sum("freq").alias("n"), F.any_value("sketch").alias("sketch")]
+    measures += [F.min("value").alias("least"), F.max("value").alias("most")]
     for i in range(len(wanted)):
         below = F.when(F.col("value") < F.get("sketch", F.lit(2 * i)), F.col("freq"))
         upto = F.when(F.col("value") <= F.get("sketch", F.lit(2 * i + 1)), F.col("freq"))
@@ -45,7 +48,7 @@ def _quantiles(long: DataFrame, by_column: Column, wanted: dict[str, float]) ->
         position = F.lit(probability) * (F.col("n") - 1)
         lower, upper = F.floor(position), F.ceil(position)
         sound = (F.col(f"below_{i}") <= lower) & (upper < F.col(f"upto_{i}"))
-        # A bracket that misses its rank opens to the whole column.
+        # A bracket that misses its rank opens to the whole column, of which a range is ordered as well.
         brackets.append(
             F.struct(
                 F.lit(name).alias("name"),
@@ -53,8 +56,8 @@ def _quantiles(long: DataFrame, by_column: Column, wanted: dict[str, float]) ->
                 upper.alias("upper"),
                 (position - lower).alias("fraction"),
                 F.when(sound, F.col(f"below_{i}")).otherwise(0).alias("below"),
-                F.when(sound, F.get("sketch", F.lit(2 * i))).otherwise(float("-inf")).alias("low"),
-                F.when(sound, F.get("sketch", F.lit(2 * i + 1))).otherwise(float("inf")).alias("high"),
+                F.when(sound, F.get("sketch", F.lit(2 * i))).otherwise(F.col("least")).alias("low"),
+                F.when(sound, F.get("sketch", F.lit(2 * i + 1))).otherwise(F.col("most")).alias("high"),
             )
         )
     lists = _by_column(counts.select("column", F.array(*brackets).alias("brackets")), "brackets")
@@ -62,18 +65,31 @@ def _quantiles(long: DataFrame, by_column: Column, wanted: dict[str, float]) ->
     # The plain form would filter on the list below the grouping, and end the reuse of its shuffle.
     near = mine.select("column", "value", "freq", F.explode_outer("mine").alias("b"))
     near = near.where(F.col("value").between(F.col("b.low"), F.col("b.high")))
-    ordered = Window.partitionBy("column", "b.name").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
-    ranked = near.withColumn("until", F.col("b.below") + F.sum("freq").over(ordered))
+    # Halves keep the width of a bracket finite.
+    low, width = F.col("b.low") / 2, F.col("b.high") / 2 - F.col("b.low") / 2
+    place = F.least(F.floor((F.col("value") / 2 - low) / width * CHUNKS), F.lit(CHUNKS - 1))
+    near = near.withColumn("chunk", F.when(width > 0, place).otherwise(0)).withColumn("name", F.col("b.name"))
+    sizes = near.groupBy("column", "name", "chunk").agg(F.sum("freq").alias("size"), F.any_value("b").alias("of"))
+    by_chunk = Window.partitionBy("column", "name").orderBy("chunk").rowsBetween(Window.unboundedPreceding, 0)
+    end = F.col("of.below") + F.sum("size").over(by_chunk)
+    sizes = sizes.withColumn("end", end).withColumn("before", F.col("end") - F.col("size"))
+    held = [(F.col("before") <= F.col(r)) & (F.col(r) < F.col("end")) for r in ("of.lower", "of.upper")]
+    # Two ranges per quantile at most.
+    held = sizes.where(held[0] | held[1]).select("column", "name", "chunk", "before")
+    inside = near.join(F.broadcast(held), ["column", "name", "chunk"])
+    ordered = Window.partitionBy("column", "name", "chunk").orderBy("value")
+    until = F.col("before") + F.sum("freq").over(ordered.rowsBetween(Window.unboundedPreceding, 0))
+    ranked = inside.withColumn("until", until)
     since = F.col("until") - F.col("freq")
 
     def at(name, rank):
-        holds = (F.col("b.name") == name) & (since <= F.col(rank)) & (F.col(rank) < F.col("until"))
+        holds = (F.col("name") == name) & (since <= F.col(rank)) & (F.col(rank) < F.col("until"))
         return F.max(F.when(holds, F.col("value")))
 
     picked = []
     for name in wanted:
         low, high = at(name, "b.lower"), at(name, "b.upper")
-        fraction = F.max(F.when(F.col("b.name") == name, F.col("b.fraction")))
+        fraction = F.max(F.when(F.col("name") == name, F.col("b.fraction")))
         picked.append((low + (high - low) * fraction).alias(name))
     return ranked.groupBy("column").agg(*picked)
 
