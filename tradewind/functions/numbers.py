@@ -18,11 +18,6 @@ def money_sum(amount: Column) -> Column:
     return F.sum(amount.cast("decimal(18,2)")).cast("double")
 
 
-def money_avg(amount: Column) -> Column:
-    total = F.sum(amount.cast("decimal(18,2)")).cast("double")
-    return F.try_divide(total, F.count(amount).cast("double"))
-
-
 def ratio(part: Column, whole: Column) -> Column:
     """Double quotient, null when the divisor is zero or either side is null."""
     return F.try_divide(part.cast("double"), whole.cast("double"))
