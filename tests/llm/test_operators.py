@@ -116,6 +116,27 @@ def test_fill_is_the_best_bounded_knapsack():
         assert abs(int((chosen * lengths).sum()) - budget) == min(abs(s - budget) for s in sums)
 
 
+def test_mix_of_a_very_long_document_and_many_short_ones_meets_its_target():
+    lengths, counts = np.array([5_000_000, 100]), np.array([1, 100_000])
+    times, extra = mixing.fit_source(lengths, counts, 7_500_000.0)
+    assert times == 0 and (extra <= counts).all() and (extra * lengths).sum() == 7_500_000
+    # The gap stays above the program's bound: one more of the shortest that is left, if that is nearer.
+    assert mixing.fit_source(np.array([400_000]), np.array([3]), 700_000.0)[1].tolist() == [2]
+    assert mixing.fit_source(np.array([400_000]), np.array([3]), 500_000.0)[1].tolist() == [1]
+
+
+def test_narrowing_takes_all_that_fits():
+    rng = np.random.default_rng(5)
+    for _ in range(20):
+        lengths = np.unique(np.r_[rng.integers(1, 300, 20), rng.integers(100_000, 3_000_000, 3)])
+        counts = np.where(lengths < 300, rng.integers(2_000, 40_000, len(lengths)), 1)
+        target = float(round((lengths * counts).sum() * rng.uniform(0.1, 0.9)))
+        _, extra = mixing.fit_source(lengths, counts, target)
+        assert (extra >= 0).all() and (extra <= counts).all()
+        miss, left = target - (extra * lengths).sum(), lengths[counts > extra]
+        assert not miss or not len(left) or abs(miss) <= left.min()
+
+
 def test_mix_meets_targets_and_is_repeatable(docs):
     rows = mixing.mixed_sizes(docs).join(docs.select("doc_id", "source"), "doc_id")
     lists = rows.groupBy("source").agg(

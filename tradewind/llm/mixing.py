@@ -27,7 +27,7 @@ from .text import packed, row_key, words
 WEIGHTS = (5, 2, 1)
 MAX_REPEATS = 3
 SEED = 7
-# Largest gap the dynamic program works on; a larger one is narrowed by further proportional picks.
+# Largest gap the dynamic program works on; a larger one is narrowed by further picks first.
 GAP = 60_000
 
 
@@ -100,18 +100,27 @@ def fit_source(lengths: np.ndarray, counts: np.ndarray, target: float) -> tuple[
     wanted = counts * (budget / size)
     extra = np.where(lengths > 0, np.minimum(np.floor(wanted).astype(np.int64), counts), 0)
     gap = budget - int((extra * lengths).sum())
-    order = np.lexsort((lengths, -(wanted - extra)))
-    order = order[(lengths[order] > 0) & (counts[order] > extra[order])]
-    # Largest remainders first; what still fits leaves a gap no wider than the program's bound, or takes all.
-    for i in order:
-        if gap <= GAP:
+    by_remainder = np.lexsort((lengths, -(wanted - extra)))
+    # Largest remainders first, in passes, until the gap is within the program's bound or nothing left fits it.
+    while gap > GAP:
+        order = by_remainder[(lengths[by_remainder] > 0) & (counts[by_remainder] > extra[by_remainder])]
+        order = order[lengths[order] <= gap]
+        if not len(order):
             break
-        if lengths[i] <= gap:
-            more = min(int(counts[i] - extra[i]), max(1, (gap - GAP) // int(lengths[i] * len(order))))
-            extra[i] += more
-            gap -= more * int(lengths[i])
-    order = order[counts[order] > extra[order]]
-    extra[order] += fill(min(gap, 4 * GAP), lengths[order], (counts - extra)[order])
+        for i in order:
+            if gap <= GAP:
+                break
+            if lengths[i] <= gap:
+                more = min(int(counts[i] - extra[i]), max(1, (gap - GAP) // int(lengths[i] * len(order))))
+                extra[i] += more
+                gap -= more * int(lengths[i])
+    order = by_remainder[(lengths[by_remainder] > 0) & (counts[by_remainder] > extra[by_remainder])]
+    if gap <= GAP:
+        extra[order] += fill(gap, lengths[order], (counts - extra)[order])
+    elif len(order):
+        # All that is left is longer than the gap, so no two of them are nearer than the shortest alone or nothing.
+        i = order[np.argmin(lengths[order])]
+        extra[i] += int(lengths[i]) - gap < gap
     if budget <= GAP and int((extra * lengths).sum()) != budget:
         # A source with few documents may only be met by giving up the proportions.
         some = np.flatnonzero(lengths > 0)
