@@ -193,6 +193,26 @@ def test_surrogates_of_many_entities_stay_distinct(spark):
     assert not {r["surrogate"] for r in found} & {r["norm"] for r in found}
 
 
+def test_a_full_format_still_gives_everyone_a_surrogate(spark):
+    norms = [f"1|{i:03d}" for i in range(1000)] + [f"12|{i:02d}" for i in range(60)] + [f"49|{i:03d}" for i in range(300)]
+    norms += [f"7|{i:02d}" for i in range(99)] + ["|4915112345678"]
+    found = {r["norm"]: r["surrogate"] for r in pii.assign(spark.createDataFrame([("PHONE", n) for n in norms], "kind string, norm string")).collect()}
+    assert sorted(found) == sorted(norms) and len(set(found.values())) == len(norms)
+    for norm, other in found.items():
+        assert other != norm and other.split("|")[0] == norm.split("|")[0] and len(other) == len(norm)
+    # Real values of others serve only where nothing else is free.
+    real = Counter(norm.split("|")[0] for norm, other in found.items() if other in found)
+    assert real == {"1": 1000, "12": 20, "7": 98}
+
+
+def test_values_of_formats_are_distinct_and_keep_them(spark):
+    forms = [("PHONE", "1|3", 1000), ("CARD", "15|3|valid", 500), ("CARD", "15|3|other", 500), ("SSN", "", 500), ("IP", "", 70_000)]
+    for kind, form, n in forms:
+        value = pii._value_at(F.lit(kind), F.lit(form), F.col("id"))
+        rows = spark.range(n).select(value.alias("v")).select("v", pii._format(F.lit(kind), F.col("v")).alias("f")).collect()
+        assert len({r["v"] for r in rows}) == n and {r["f"] for r in rows} == {form}
+
+
 def test_edited_neighbours(docs):
     rows = sorted(((r["doc_id"], r["text"]) for r in docs.collect()), reverse=True)
     found = {r["doc_id"]: r for r in order_minhash.edited_neighbours(docs).collect()}

@@ -10,7 +10,9 @@ Each entity gets a surrogate drawn from a keyed hash:
 * the same entity has the same surrogate in all documents, whatever its layout: "+1 (017) 555-7713" and
   "+1 017 555 7713" are one phone, "Mr. Smith" and "Mr. John Smith" share a surname;
 * different entities have different surrogates. Draws are checked against each other and against all real
-  values, and the losers draw again.
+  values, and the losers draw again. Where the real values of a format of fixed length fill a large part of it,
+  its free values are dealt by rank instead; only when these are used up does an entity get the real value of
+  another one.
 
 The dictionary of entities is a distributed table, as it grows with the corpus. A document looks up its own
 entities only, and only documents that have some are shuffled.
@@ -20,16 +22,19 @@ an empty table gives an empty table; all columns but `text` pass through, and an
 is replaced.
 """
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.lineage import cut_lineage
 from .text import packed
 
 KEY = "tradewind"
-MAX_ROUNDS = 64
-# Rounds after which a surrogate may equal some other entity's real value, for value spaces that are nearly full.
-LENIENT_AFTER = 12
+# A format is crowded, and its values are dealt instead of drawn, if 1 / CROWDED of them are real. In all others
+# at least every second draw is free, so the rounds end; this many without any winner would be an error.
+CROWDED = 5
+MAX_IDLE = 64
+# Values of a crowded format are listed in blocks of this many.
+BLOCK = 1 << 16
 
 MALE = ["Mr", "Mister", "Herr", "Herrn", "Monsieur", "Señor", "Sr", "Sir", "Г-н", "Господин", "Κύριος"]
 FEMALE = ["Mrs", "Ms", "Miss", "Frau", "Madame", "Mme", "Mlle", "Señora", "Sra", "Madam", "Г-жа", "Госпожа", "Κυρία"]
@@ -181,7 +186,8 @@ def _luhn_sum(digits: Column, extra: int) -> Column:
 def _card_like(norm: Column, digest: Column) -> Column:
     body = F.concat(F.substr(norm, F.lit(1), F.lit(1)), F.substr(_like(norm, digest), F.lit(2), F.length(norm) - 2))
     check = ((10 - _luhn_sum(body, 1) % 10) % 10).cast("string")
-    other = (_byte(digest, 31) % 10).cast("string")
+    # An invalid number stays invalid, so that both kinds of card have values of their own.
+    other = ((check.cast("int") + 1 + _byte(digest, 31) % 9) % 10).cast("string")
     return F.concat(body, F.when(_luhn_sum(norm, 0) % 10 == 0, check).otherwise(other))
 
 
@@ -243,29 +249,126 @@ def surrogate(kind: Column, norm: Column, attempt: Column, key: str) -> Column:
     )
 
 
+# --- formats of a fixed length -------------------------------------------------------
+
+
+def _format(kind: Column, norm: Column) -> Column:
+    """What a surrogate keeps of a value of fixed length; null for kinds whose later draws get longer or are long."""
+    phone = F.concat(F.substring_index(norm, "|", 1), F.lit("|"), F.length(F.substring_index(norm, "|", -1)).cast("string"))
+    valid = F.when(_luhn_sum(norm, 0) % 10 == 0, "valid").otherwise("other")
+    card = F.concat_ws("|", F.length(norm).cast("string"), F.substr(norm, F.lit(1), F.lit(1)), valid)
+    return F.when(kind == "PHONE", phone).when(kind == "CARD", card).when(kind.isin("SSN", "IP"), F.lit(""))
+
+
+def _space(kind: Column, form: Column) -> Column:
+    """How many values a format has, as a double."""
+    card = F.pow(F.lit(10.0), F.substring_index(form, "|", 1).try_cast("double") - 2)
+    return (
+        F.when(kind == "PHONE", F.pow(F.lit(10.0), F.substring_index(form, "|", -1).try_cast("double")))
+        .when(kind == "CARD", F.when(form.endswith("valid"), card).otherwise(9 * card))
+        .when(kind == "SSN", F.lit(1e9))
+        .otherwise(F.lit(223.0 * 256 * 256 * 254))
+    )
+
+
+def _value_at(kind: Column, form: Column, i: Column) -> Column:
+    """The i-th value of a format, in normal form."""
+
+    def digits(number: Column, length: Column) -> Column:
+        return F.substr(F.concat(F.repeat(F.lit("0"), length), number.cast("string")), -length)
+
+    def length(at: int) -> Column:
+        return F.substring_index(form, "|", at).try_cast("int")
+
+    phone = F.concat(F.substring_index(form, "|", 1), F.lit("|"), digits(i, length(-1)))
+    size = length(1)
+    first = F.substring_index(F.substring_index(form, "|", 2), "|", -1)
+    valid = form.endswith("valid")
+    body = F.concat(first, digits(F.when(valid, i).otherwise(F.floor(i / 9).cast("bigint")), size - 2))
+    check = (10 - _luhn_sum(body, 1) % 10) % 10
+    card = F.concat(body, F.when(valid, check).otherwise((check + 1 + i % 9) % 10).cast("string"))
+    octets = [F.floor(i / (256 * 256 * 254)) % 223 + 1, F.floor(i / (256 * 254)) % 256, F.floor(i / 254) % 256, i % 254 + 1]
+    ip = F.concat_ws(".", *[octet.cast("bigint").cast("string") for octet in octets])
+    return F.when(kind == "PHONE", phone).when(kind == "CARD", card).when(kind == "SSN", digits(i, F.lit(9))).otherwise(ip)
+
+
+def _ranked(values: DataFrame, key: str) -> DataFrame:
+    """`values` (kind, _format, norm) with their keyed rank in the format from 0 in `_rank`, and its size in `_n`.
+
+    Ranked in two steps, by hash buckets and within a bucket, as a format may hold most of the entities.
+    """
+    group = ["kind", "_format"]
+    values = cut_lineage(values.withColumn("_draw", _draw(F.col("kind"), F.col("norm"), F.lit(0), key, "rank")))
+    # As many rows as there are crowded formats, which their codes and lengths bound.
+    values = values.join(F.broadcast(values.groupBy(*group).agg(F.count("*").alias("_n"))), group)
+    start = F.conv(F.substr("_draw", F.lit(1), F.lit(8)), 16, 10).cast("bigint")
+    values = values.withColumn("_bucket", start % F.ceil(F.sqrt("_n")).cast("bigint"))
+    sizes = values.groupBy(*group, "_bucket").agg(F.count("*").alias("_c"))
+    until = F.sum("_c").over(Window.partitionBy(*group).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, 0))
+    values = values.join(sizes.withColumn("_before", until - F.col("_c")).drop("_c"), [*group, "_bucket"])
+    own = F.row_number().over(Window.partitionBy(*group, "_bucket").orderBy("_draw", "norm"))
+    return values.select(*group, "norm", "_n", (F.col("_before") + own - 1).alias("_rank"))
+
+
+def _dealt(crowded: DataFrame, entities: DataFrame, key: str) -> DataFrame:
+    """(kind, norm, surrogate) of the entities (kind, _format, norm) of crowded formats (kind, _format, _space).
+
+    By rank, entities get the values that are not real. Those left over pass their real values round.
+    """
+    group = ["kind", "_format"]
+    tasks = int(entities.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    last = F.col("_space").cast("bigint") - 1
+    blocks = crowded.select(*group, last.alias("_last"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor(last / BLOCK))).alias("_b"))
+    first = F.col("_b") * BLOCK
+    numbers = F.explode(F.sequence(first, F.least(F.col("_last"), first + (BLOCK - 1)))).alias("_i")
+    listed = blocks.repartition(tasks, *group, "_b").select(*group, numbers)
+    listed = listed.select(*group, _value_at(F.col("kind"), F.col("_format"), F.col("_i")).alias("norm"))
+    free = _ranked(listed.join(entities.select("kind", "norm"), ["kind", "norm"], "left_anti"), key)
+    own = cut_lineage(_ranked(entities, key))
+    free = cut_lineage(free.select(*group, "_rank", F.col("norm").alias("surrogate"), F.col("_n").alias("_free")))
+    counts = F.broadcast(free.groupBy(*group).agg(F.max("_free").alias("_free")))
+    got = own.join(free.drop("_free"), [*group, "_rank"])
+    rest = own.join(counts, group, "left").withColumn("_free", F.coalesce("_free", F.lit(0))).where("_rank >= _free")
+    following = F.when(F.col("_rank") < F.col("_n") - 1, F.col("_rank") + 1)
+    following = following.when(F.col("_n") - F.col("_free") > 1, F.col("_free")).otherwise(0)
+    passed = own.select(*group, "_rank", F.col("norm").alias("surrogate"))
+    passed = rest.withColumn("_rank", following).join(passed, [*group, "_rank"])
+    columns = ["kind", "norm", "surrogate"]
+    return cut_lineage(got.select(*columns).union(passed.select(*columns)))
+
+
 def assign(entities: DataFrame, key: str = KEY) -> DataFrame:
     """(kind, norm, surrogate) of distinct entities (kind, norm); surrogates of a kind are distinct.
 
     Every round the open entities draw. Of those that draw the same, the smallest wins; a draw that is
-    taken or real loses. Losers draw again.
+    taken or real loses. Losers draw again. Entities of crowded formats are dealt their surrogates before.
     """
     # A draw costs far more than its bytes suggest, so the number of tasks is set rather than left to their size.
     tasks = int(entities.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    real = entities.select("kind", F.col("norm").alias("surrogate"))
     pending, taken = cut_lineage(entities.repartition(tasks, "kind", "norm")), None
-    for attempt in range(MAX_ROUNDS):
+    real = pending.select("kind", F.col("norm").alias("surrogate"))
+    formed = pending.withColumn("_format", _format(F.col("kind"), F.col("norm")))
+    crowded = formed.where("_format is not null").groupBy("kind", "_format").agg(F.count("*").alias("n"))
+    crowded = crowded.withColumn("_space", _space(F.col("kind"), F.col("_format"))).where(F.col("n") * CROWDED > F.col("_space"))
+    crowded = cut_lineage(crowded.select("kind", "_format", "_space"))
+    if not crowded.isEmpty():
+        group, few = ["kind", "_format"], F.broadcast(crowded)
+        taken = _dealt(crowded, formed.join(few, group, "left_semi").select("kind", "_format", "norm"), key)
+        pending = cut_lineage(formed.join(few, group, "left_anti").select("kind", "norm"))
+    attempt = idle = 0
+    while taken is None or not pending.isEmpty():
         drawn = surrogate(F.col("kind"), F.col("norm"), F.lit(attempt), key)
         drawn = pending.select("kind", "norm", drawn.alias("surrogate")).where("norm != surrogate")
-        if attempt < LENIENT_AFTER:
-            drawn = drawn.join(real, ["kind", "surrogate"], "left_anti")
+        drawn = drawn.join(real, ["kind", "surrogate"], "left_anti")
         if taken is not None:
             drawn = drawn.join(taken, ["kind", "surrogate"], "left_anti")
         won = cut_lineage(drawn.groupBy("kind", "surrogate").agg(F.min("norm").alias("norm")).select("kind", "norm", "surrogate"))
         taken = won if taken is None else taken.union(won)
         pending = cut_lineage(pending.join(won, ["kind", "norm"], "left_anti"))
-        if pending.isEmpty():
-            return taken
-    raise RuntimeError("some kind of entity has more values than surrogates")
+        attempt, idle = attempt + 1, idle + 1 if won.isEmpty() else 0
+        if idle == MAX_IDLE:
+            raise RuntimeError(f"no surrogate was free in {MAX_IDLE} rounds")
+    return taken
 
 
 def _pour(shape: Column, kind: Column, value: Column) -> Column:
