@@ -193,6 +193,36 @@ def test_surrogates_of_many_entities_stay_distinct(spark):
     assert not {r["surrogate"] for r in found} & {r["norm"] for r in found}
 
 
+NAMES = [
+    ("Mr. J. Smith left.", r"Mr\. [A-Z]\. \w+ left\."),
+    ("Mr. John Q. Smith left.", r"Mr\. \w+ [A-Z]\. \w+ left\."),
+    ("Mr J Smith left.", r"Mr [A-Z] \w+ left\."),
+    ("Dr. J.-P. Sartre, Dr. J.R.R. Tolkien", r"Dr\. [A-Z]\.-[A-Z]\. \w+, Dr\. [A-Z]\.[A-Z]\.[A-Z]\. \w+"),
+    ("Mrs. Anna Maria Luisa Teresa Smith left", r"Mrs\. \w+ \w+ \w+ \w+ \w+ left"),
+    ("Frau von Berg und Sra. de la Cruz", r"Frau von \w+ und Sra\. de la \w+"),
+    ("Sr. Karl y Sra. Berg Mr. Smith", r"Sr\. \w+ y Sra\. \w+ Mr\. \w+"),
+    ("Herr Karl von der Heide, Mr. d'Artagnan, Frau zur Heide", r"Herr \w+ von der \w+, Mr\. \w+, Frau zur \w+"),
+    ("als Herr Schmidt das Buch las", r"als Herr \w+ das Buch las"),
+    ("Herr Prof. Dr. Schmidt kam", r"Herr Prof\. Dr\. \w+ kam"),
+    ("card 3782 822463 10005, 3782-822463-10005", r"card (\d{4}) (\d{6}) (\d{5}), \1-\2-\3"),
+]
+GONE = r"\b(?:Smith|John|Q|Sartre|Tolkien|Anna|Maria|Luisa|Teresa|Berg|Cruz|Karl|Heide|Artagnan|Schmidt|822463)\b"
+
+
+def test_names_and_cards_of_every_form_are_replaced(spark):
+    rows = [(i, text) for i, (text, _) in enumerate(NAMES)]
+    found = {r["doc_id"]: r["text"] for r in pii.replace_entities(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    for i, (_, left) in enumerate(NAMES):
+        assert re.fullmatch(left, found[i]) and not re.search(GONE, found[i]), found[i]
+
+
+def test_all_initials_have_their_own(spark):
+    rows = [("INITIAL", c) for c in "abcdefghijklmnopqrstuvwxyzéö" + "бвг"]
+    found = {r["norm"]: r["surrogate"] for r in pii.assign(spark.createDataFrame(rows, "kind string, norm string")).collect()}
+    assert sorted(found) == sorted(n for _, n in rows) and len(set(found.values())) == len(rows)
+    assert all(norm != other for norm, other in found.items())
+
+
 def test_a_full_format_still_gives_everyone_a_surrogate(spark):
     norms = [f"1|{i:03d}" for i in range(1000)] + [f"12|{i:02d}" for i in range(60)] + [f"49|{i:03d}" for i in range(300)]
     norms += [f"7|{i:02d}" for i in range(99)] + ["|4915112345678"]

@@ -6,7 +6,8 @@ Each entity gets a surrogate drawn from a keyed hash:
 
 * type and format stay: digits for digits with the same separators, a valid Luhn digit for a valid one, the
   country code of a phone, the top-level domain of an address, octets in range;
-* names keep gender (from the form of address), script (Latin, Cyrillic, Greek) and capitals;
+* names keep gender (from the form of address), script (Latin, Cyrillic, Greek) and capitals; initials are letters
+  for letters, particles ("von", "de la") stay;
 * the same entity has the same surrogate in all documents, whatever its layout: "+1 (017) 555-7713" and
   "+1 017 555 7713" are one phone, "Mr. Smith" and "Mr. John Smith" share a surname;
 * different entities have different surrogates. Draws are checked against each other and against all real
@@ -40,8 +41,16 @@ MALE = ["Mr", "Mister", "Herr", "Herrn", "Monsieur", "Señor", "Sr", "Sir", "Г-
 FEMALE = ["Mrs", "Ms", "Miss", "Frau", "Madame", "Mme", "Mlle", "Señora", "Sra", "Madam", "Г-жа", "Госпожа", "Κυρία"]
 NEUTRAL = ["Dr", "Prof", "Mx"]
 _TITLES = "|".join(sorted(MALE + FEMALE + NEUTRAL, key=len, reverse=True))
+# Words in lower case before a surname; they stay, as they tell no one apart. Some are articles or prepositions that may
+# stand behind a whole name, so they count only right behind the form of address or another such word.
+_LINKS = "von und zu|von|van|vom|de|del|della|dello|degli|dei|di|da|do|dos|du|la|el|al|bin|bint|ibn|ben|abu|af|av|ap|y|e|ter|фон|ван|де|да|ибн"
+_ARTICLES = "der|den|dem|des|das|las|le|les|los|lo|het|zu|zum|zur|auf|vor|ten|te|i|дер|цу"
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1?\d?\d)"
 _NO_WORD_BEFORE, _NO_WORD_AFTER = r"(?<![\p{L}\p{N}])", r"(?![\p{L}\p{N}])"
+# One or more forms of address, as in "Herr Prof. Dr."; a word, initials with or without one behind, or a bare initial.
+_ADDRESS = rf"(?:{_TITLES})(?:\.? (?:{_TITLES})(?![\p{{L}}'’\-]))*"
+_NAME_WORD = r"(?:[dDlL]['’])?\p{Lu}[\p{L}'’\-]+"
+_NAME_PART = rf"(?!(?:{_TITLES})(?![\p{{L}}'’\-]))(?:(?:\p{{Lu}}\.-?)+(?:{_NAME_WORD})?|{_NAME_WORD}|\p{{Lu}}(?= \p{{L}}|{_NO_WORD_AFTER}))"
 PATTERNS = {
     "EMAIL": r"(?<![\p{L}\p{N}._%+\-])[\p{L}\p{N}._%+\-]++@(?:[\p{L}\p{N}\-]+\.)+\p{L}{2,}",
     "SECRET": _NO_WORD_BEFORE + r"(?:[0-9a-f]{32,128}|[0-9A-F]{32,128}|AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}"
@@ -49,14 +58,14 @@ PATTERNS = {
     "IBAN": _NO_WORD_BEFORE + r"[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?" + _NO_WORD_AFTER,
     "SSN": r"(?<![\p{L}\p{N}\-])\d{3}-\d{2}-\d{4}(?![\p{L}\p{N}\-])",
     "IP": r"(?<![\p{L}\p{N}.])" + rf"{_OCTET}(?:\.{_OCTET}){{3}}" + r"(?![\p{L}\p{N}]|\.\d)",
-    "CARD": _NO_WORD_BEFORE + r"(?:\d{13,19}|\d{4}([ \-])\d{4}\1\d{4}\1\d{1,7})" + _NO_WORD_AFTER,
+    "CARD": _NO_WORD_BEFORE + r"(?:\d{13,19}|\d{4}([ \-])(?:\d{4}\1\d{4}\1\d{1,7}|\d{6}\1\d{4,5}))" + _NO_WORD_AFTER,
     "PHONE": r"(?:(?<![\p{L}\p{N}+])\+\d{1,3}[ .\-]?(?:\(\d{1,4}\)|\d{1,4})(?:[ .\-]?\d{2,4}){1,4}"
     r"|(?<![\p{L}\p{N}])(?:\(\d{3}\) ?|\d{3}[.\-])\d{3}[.\-]\d{4})" + _NO_WORD_AFTER,
-    "NAME": _NO_WORD_BEFORE + rf"(?:{_TITLES})\.?(?: \p{{Lu}}[\p{{L}}'’\-]+){{1,3}}",
+    "NAME": _NO_WORD_BEFORE + rf"{_ADDRESS}\.?(?: (?:{_ARTICLES}))*(?: (?:(?:{_LINKS}) (?:(?:{_ARTICLES}) )*)*{_NAME_PART})+",
 }
 ANY = "|".join(f"(?:{pattern})" for pattern in PATTERNS.values())
 # No pattern matches without one of these; most documents are done with one cheap look.
-_MAYBE = rf"[0-9@]|{_NO_WORD_BEFORE}(?:{_TITLES})\.? \p{{Lu}}"
+_MAYBE = rf"[0-9@]|{_NO_WORD_BEFORE}(?:{_TITLES})\.? \p{{L}}"
 
 # Parts of invented names by script; (male, female, neutral) endings of given names.
 SYLLABLES = {
@@ -88,18 +97,25 @@ def _piece(kind, norm: Column, shape: Column) -> Column:
 
 
 def _name_pieces(match: Column) -> Column:
-    """Form of address as it is, given names by gender, the last word as surname."""
+    """Forms of address and particles as they are, given names by gender, initials, the last word as surname."""
     title = F.regexp_extract(match, rf"^({_TITLES})", 1)
     gender = F.when(title.isin(MALE), "GIVEN_M").when(title.isin(FEMALE), "GIVEN_F").otherwise("GIVEN_N")
-    parts = F.split(match, " ")
+    token = F.lit(r"\p{L}[\p{L}'’\-]*|[^\p{L}]+")
+    tokens = F.regexp_extract_all(match, token, F.lit(0))
+    titles = F.size(F.regexp_extract_all(F.regexp_extract(match, rf"^{_ADDRESS}", 0), token, F.lit(0)))
+
+    def own(part, i):
+        return (i >= titles) & part.rlike(r"^(?:\p{Lu}|[dl]['’])")
+
+    # An initial is one letter, with the hyphen of a double one or without.
+    last = F.array_max(F.transform(tokens, lambda part, i: F.when(own(part, i) & part.rlike(r"^\p{L}[\p{L}'’\-]*\p{L}"), i).otherwise(-1)))
 
     def piece(part, i):
-        kind = F.when(i == 0, F.lit(None).cast("string")).when(i == F.size(parts) - 1, "SURNAME").otherwise(gender)
-        space = F.array(_piece(None, F.lit(None).cast("string"), F.lit(" ")))
-        own = F.array(_piece(kind, F.lower(part), part))
-        return F.when(i == 0, own).otherwise(F.concat(space, own))
+        word = F.when(i == last, "SURNAME").otherwise(gender)
+        kind = F.when(own(part, i), F.when(part.rlike(r"^\p{L}[\-'’]*$"), "INITIAL").otherwise(word))
+        return _piece(kind, F.when(kind.isNotNull(), F.lower(part)), part)
 
-    return F.flatten(F.transform(parts, piece))
+    return F.transform(tokens, piece)
 
 
 def _pieces(match: Column) -> Column:
@@ -238,7 +254,7 @@ def surrogate(kind: Column, norm: Column, attempt: Column, key: str) -> Column:
         F.when(kind == "EMAIL", _email_like(norm, digest, attempt, key))
         .when(kind == "PHONE", _phone_like(norm, digest))
         .when(kind == "CARD", _card_like(norm, digest))
-        .when(kind == "SSN", _like(norm, digest))
+        .when(kind.isin("SSN", "INITIAL"), _like(norm, digest))
         .when(kind == "IP", _ip_like(digest))
         .when(kind == "IBAN", iban)
         .when(kind == "SECRET", secret)
@@ -257,7 +273,16 @@ def _format(kind: Column, norm: Column) -> Column:
     phone = F.concat(F.substring_index(norm, "|", 1), F.lit("|"), F.length(F.substring_index(norm, "|", -1)).cast("string"))
     valid = F.when(_luhn_sum(norm, 0) % 10 == 0, "valid").otherwise("other")
     card = F.concat_ws("|", F.length(norm).cast("string"), F.substr(norm, F.lit(1), F.lit(1)), valid)
-    return F.when(kind == "PHONE", phone).when(kind == "CARD", card).when(kind.isin("SSN", "IP"), F.lit(""))
+    script = F.when(norm.rlike("[а-яё]"), "cyrillic").when(norm.rlike("[α-ωά-ώ]"), "greek").otherwise("latin")
+    initial = F.concat(script, F.regexp_replace(norm, r"^\p{L}", "|"))
+    fixed = F.when(kind == "PHONE", phone).when(kind == "CARD", card).when(kind == "INITIAL", initial)
+    return fixed.when(kind.isin("SSN", "IP"), F.lit(""))
+
+
+def _alphabet(form: Column) -> Column:
+    alphabets = dict(_CLASSES)
+    by_script = F.when(form.startswith("cyrillic"), alphabets[r"[а-яё]"]).when(form.startswith("greek"), alphabets[r"[α-ωά-ώ]"])
+    return by_script.otherwise(alphabets[r"[a-z]"])
 
 
 def _space(kind: Column, form: Column) -> Column:
@@ -266,6 +291,7 @@ def _space(kind: Column, form: Column) -> Column:
     return (
         F.when(kind == "PHONE", F.pow(F.lit(10.0), F.substring_index(form, "|", -1).try_cast("double")))
         .when(kind == "CARD", F.when(form.endswith("valid"), card).otherwise(9 * card))
+        .when(kind == "INITIAL", F.length(_alphabet(form)).cast("double"))
         .when(kind == "SSN", F.lit(1e9))
         .otherwise(F.lit(223.0 * 256 * 256 * 254))
     )
@@ -289,7 +315,9 @@ def _value_at(kind: Column, form: Column, i: Column) -> Column:
     card = F.concat(body, F.when(valid, check).otherwise((check + 1 + i % 9) % 10).cast("string"))
     octets = [F.floor(i / (256 * 256 * 254)) % 223 + 1, F.floor(i / (256 * 254)) % 256, F.floor(i / 254) % 256, i % 254 + 1]
     ip = F.concat_ws(".", *[octet.cast("bigint").cast("string") for octet in octets])
-    return F.when(kind == "PHONE", phone).when(kind == "CARD", card).when(kind == "SSN", digits(i, F.lit(9))).otherwise(ip)
+    letter = F.concat(F.substr(_alphabet(form), (i + 1).cast("int"), F.lit(1)), F.substring_index(form, "|", -1))
+    fixed = F.when(kind == "PHONE", phone).when(kind == "CARD", card).when(kind == "INITIAL", letter)
+    return fixed.when(kind == "SSN", digits(i, F.lit(9))).otherwise(ip)
 
 
 def _ranked(values: DataFrame, key: str) -> DataFrame:
