@@ -216,6 +216,15 @@ def test_names_and_cards_of_every_form_are_replaced(spark):
         assert re.fullmatch(left, found[i]) and not re.search(GONE, found[i]), found[i]
 
 
+def test_keys_of_letters_only_are_replaced(spark):
+    keys = ["sk-" + "aBcDeFgHiJ" * 2, "ghp_" + "abcdefghijkl" * 3, "AKIA" + "ABCDEFGHIJKLMNOP", "abcdef" * 6, "FEDCBA" * 6]
+    rows = [(i, f"the key is {key} indeed") for i, key in enumerate(keys)]
+    found = pii.replace_entities(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    assert len(found) == len(keys)
+    for row in found:
+        assert keys[row["doc_id"]] not in row["text"] and row["n_entities"] == 1
+
+
 def test_all_initials_have_their_own(spark):
     rows = [("INITIAL", c) for c in "abcdefghijklmnopqrstuvwxyzéö" + "бвг"]
     found = {r["norm"]: r["surrogate"] for r in pii.assign(spark.createDataFrame(rows, "kind string, norm string")).collect()}

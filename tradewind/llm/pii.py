@@ -65,7 +65,7 @@ PATTERNS = {
 }
 ANY = "|".join(f"(?:{pattern})" for pattern in PATTERNS.values())
 # No pattern matches without one of these; most documents are done with one cheap look.
-_MAYBE = rf"[0-9@]|{_NO_WORD_BEFORE}(?:{_TITLES})\.? \p{{L}}"
+_MAYBE = rf"[0-9@]|{_NO_WORD_BEFORE}(?:{_TITLES})\.? \p{{L}}|sk-[A-Za-z]|gh[pousr]_[A-Za-z]|AKIA[A-Z]|[a-f]{{32}}|[A-F]{{32}}"
 
 # Parts of invented names by script; (male, female, neutral) endings of given names.
 SYLLABLES = {
