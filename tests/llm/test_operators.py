@@ -163,6 +163,40 @@ def test_language_of_held_out_documents(docs):
     assert found.where("lang = lang_pred").count() > 0.95 * found.count()
 
 
+def test_filter_grows_with_the_fullest_language(spark, monkeypatch):
+    for members in (1_000, 300_000, 3_000_000, 50_000_000):
+        bits = language_id.slot_bits(members)
+        assert (1 - math.exp(-members * language_id.HASHES / 2**bits)) ** language_id.HASHES <= language_id.FALSE_POSITIVES
+    # A filter of 2**10 slots at least has to grow for these, and answers like the table.
+    monkeypatch.setattr(language_id, "SLOT_BITS", 10)
+    rng = random.Random(3)
+    rows = [(i, "".join(rng.choices("abcdefghij" if i % 2 else "hijklmnopq", k=400)), "xy"[i % 2]) for i in range(200)]
+    rows += [(300 + i, text, lang) for i, (text, lang) in enumerate([("", "x"), (None, "x"), ("zzz", "x"), ("hi", "x")])]
+    labelled = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    known = language_id.learn(labelled)
+    assert known.slots.shape[1] > 2**10 and max(known.false_positives()) <= language_id.FALSE_POSITIVES
+    # Decided here, as workers do not see the patch.
+    filtered = language_id.decide([text or "" for _, text, _ in rows], known, known.false_positives())
+    filtered = {i: answer for (i, _, _), answer in zip(rows, filtered, strict=True)}
+    monkeypatch.setattr(language_id, "FILTER_BYTES", 0)
+    table = language_id.learn(labelled)
+    assert isinstance(table, language_id.Table)
+    joined = {r["doc_id"]: r for r in language_id.identify(labelled, table).collect()}
+    assert len(joined) == len(rows)
+    for i, _, lang in rows[:200]:
+        assert joined[i]["lang_pred"] == filtered[i][0] == lang
+        assert abs(joined[i]["score"] - filtered[i][1]) < 0.05
+    # Nothing of the last one was learned.
+    most = known.languages[np.argmax(known.learned)]
+    assert [(joined[i]["lang_pred"], joined[i]["score"]) for i in (300, 301, 302)] == [("und", 0.0), ("und", 0.0), (most, 0.5)]
+
+
+def test_ngrams_seen_once_count_in_a_small_language(spark):
+    rows = [(1, "abcdefghijklm", "x"), (2, "nopqrstuvwxyz", "y"), (3, "nopqrstuvwxyz", "y")]
+    known = language_id.learn(spark.createDataFrame(rows, "doc_id bigint, text string, lang string"))
+    assert all(known.learned)
+
+
 def test_surrogates_are_consistent_and_distinct(spark):
     rows = [
         (1, "Mr. John Smith met Mrs. Anna SMITH; call +1 017 555 7713 or +1 (017) 555-7713, 10.1.2.3"),
