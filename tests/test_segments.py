@@ -4,7 +4,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from tradewind.operators import kmeans
+from tradewind.operators import eigen, kmeans
 from tradewind.plans import clusters, segments
 
 
@@ -20,8 +20,16 @@ def test_scores_have_population_moments(spark, folder):
         assert frame[column].std(ddof=0) == pytest.approx(1)
 
 
+def _matrix(fitted):
+    """The features row by row, dummies written out by hand."""
+    frame = fitted.rows.toPandas()
+    columns = [frame[c].astype(float) for c in fitted.numeric]
+    columns += [(frame[c] == level).astype(float) for c in segments.CATEGORICAL for level in fitted.levels[c]]
+    return np.array(columns).T, np.array(frame["scores"].tolist())
+
+
 def test_loadings_equal_singular_vectors_up_to_sign(fitted):
-    matrix = np.array([r[0] for r in fitted.rows.select(vector_to_array("raw")).collect()])
+    matrix, _ = _matrix(fitted)
     centred = matrix - matrix.mean(axis=0)
     _, singular, vectors = np.linalg.svd(centred, full_matrices=False)
     loadings = fitted.loadings().toPandas().pivot(index="component", columns="feature", values="loading")
@@ -32,9 +40,40 @@ def test_loadings_equal_singular_vectors_up_to_sign(fitted):
     assert ratios == pytest.approx((singular**2 / (singular**2).sum())[:5])
 
 
-def test_scores_are_centred(fitted):
-    scores = np.array([r[0] for r in fitted.rows.select(vector_to_array("scores")).collect()])
+def test_moments_equal_those_of_the_rows(fitted):
+    matrix, _ = _matrix(fitted)
+    mean, covariance = fitted.moments
+    assert mean == pytest.approx(matrix.mean(axis=0), abs=1e-9)
+    assert covariance == pytest.approx(np.cov(matrix.T, ddof=0), abs=2e-9)
+
+
+def test_scores_are_centred_projections(fitted):
+    matrix, scores = _matrix(fitted)
     assert scores.mean(axis=0) == pytest.approx(np.zeros(5), abs=1e-8)
+    assert scores == pytest.approx((matrix - matrix.mean(axis=0)) @ fitted.model[1], abs=1e-8)
+
+
+@pytest.mark.parametrize("p", [0, 1, 2, 3, 8, 27, 40])
+def test_jacobi(p):
+    sample = np.random.default_rng(p).standard_normal((p + 2, p))
+    matrix = sample.T @ sample
+    values, vectors = eigen.jacobi(matrix)
+    assert values == pytest.approx(np.linalg.eigvalsh(matrix)[::-1] if p else [])
+    assert vectors.T @ vectors == pytest.approx(np.eye(p), abs=1e-10)
+    assert matrix @ vectors == pytest.approx(vectors * values, abs=1e-9)
+
+
+@pytest.mark.parametrize("p", [2, 3, 10, 27])
+def test_a_sweep_pairs_all(p):
+    rounds = [eigen.opponents(p, t) for t in range(p - 1 + p % 2)]
+    assert all((other[other] == np.arange(p)).all() for other in rounds)
+    assert len({(i, int(j)) for other in rounds for i, j in enumerate(other) if i < j}) == p * (p - 1) // 2
+
+
+def test_equal_and_constant_features_have_components():
+    values, vectors = eigen.jacobi(np.array([[2.0, 2.0, 0.0], [2.0, 2.0, 0.0], [0.0, 0.0, 0.0]]))
+    assert values == pytest.approx([4, 0, 0])
+    assert vectors[:, 0] == pytest.approx([0.5**0.5, 0.5**0.5, 0])
 
 
 def test_first_level_is_dropped(fitted):
@@ -86,10 +125,10 @@ def _partitioned(spark, count, job):
         spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", coalescing)
 
 
-@pytest.mark.parametrize("name", ["description_clusters", "kmeans_segments"])
-def test_clusters_do_not_depend_on_the_partitioning(spark, folder, name):
+@pytest.mark.parametrize("name", ["description_clusters", "kmeans_segments", "pca_loadings", "pca_explained_variance"])
+def test_models_do_not_depend_on_the_partitioning(spark, folder, name):
     job = lambda: entry.queries()[name](spark, folder)
-    assert _partitioned(spark, 3, job) == _partitioned(spark, 13, job)
+    assert _partitioned(spark, 3, job) == _partitioned(spark, 8, job) == _partitioned(spark, 50, job)
 
 
 def test_missing_categories_and_amounts_do_not_stop_the_fit(spark, folder):

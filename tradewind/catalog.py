@@ -339,12 +339,12 @@ def _segments() -> dict[str, Query]:
         ),
         "feature_covariance": lambda s, d: rounded(segments.feature_covariance(features(s, d)), "covariance"),
         "one_hot": lambda s, d: segments.one_hot_counts(features(s, d)),
-        "pca_loadings": lambda s, d: fitted(s, d).loadings(),
-        "pca_strong_loadings": lambda s, d: fitted(s, d).strong_loadings(),
-        "pca_explained_variance": lambda s, d: fitted(s, d).explained(),
+        "pca_loadings": lambda s, d: rounded(fitted(s, d).loadings(), "loading"),
+        "pca_strong_loadings": lambda s, d: rounded(fitted(s, d).strong_loadings(), "loading"),
+        "pca_explained_variance": lambda s, d: rounded(fitted(s, d).explained(), "ratio", "cumulative"),
         "kmeans_segments": lambda s, d: fitted(s, d).segments(),
         "kmeans_segments_on_features": lambda s, d: fitted(s, d).segments(on="features"),
-        "cluster_centers": lambda s, d: fitted(s, d).centers(),
+        "cluster_centers": lambda s, d: rounded(fitted(s, d).centers(), "value"),
         "cluster_centers_on_features": lambda s, d: rounded(fitted(s, d).centers(on="features"), "value"),
     }
 

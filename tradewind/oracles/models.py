@@ -38,11 +38,123 @@ spot AS MATERIALIZED (
 cell AS (SELECT pid, unnest(range({len(DIMENSIONS)})) AS i, unnest(vec) AS v FROM spot)"""
 
 
+NUMERIC = [*Z, "transactions", "month_sin", "month_cos"]
+DUMMIES = ["main_category", "continent", "action"]
+SWEEPS = 10
+COMPONENTS = 5
+
+
+def _levels_of(block: int, name: str) -> str:
+    return f"""SELECT {block} AS block, row_number() OVER (ORDER BY {name} DESC) AS spot, '{name}=' || {name} AS name
+  FROM (SELECT DISTINCT {name} FROM numeric WHERE {name} <> (SELECT min({name}) FROM numeric))"""
+
+
+PCA = f"""
+numeric AS MATERIALIZED (
+  SELECT row_number() OVER () AS row, users, visit_id,
+    {", ".join(f"(CAST({c} AS DOUBLE) - avg({c}) OVER ()) / stddev_pop({c}) OVER () AS {c}" for c in Z)},
+    CAST(transactions AS DOUBLE) AS transactions, sin(2 * pi() * month / 12) AS month_sin,
+    cos(2 * pi() * month / 12) AS month_cos, {", ".join(DUMMIES)}
+  FROM features
+),
+feature AS MATERIALIZED (
+  SELECT name, CAST(row_number() OVER (ORDER BY block, spot) - 1 AS BIGINT) AS i FROM (
+    SELECT 0 AS block, unnest(range({len(NUMERIC)})) AS spot, unnest({NUMERIC}) AS name
+    UNION ALL {" UNION ALL ".join(_levels_of(b, c) for b, c in enumerate(DUMMIES, 1))})
+),
+value AS MATERIALIZED (
+  {" UNION ALL ".join(f"SELECT row, i, {c} AS x FROM numeric JOIN feature ON name = '{c}'" for c in NUMERIC)}
+  UNION ALL
+  {" UNION ALL ".join(f"SELECT row, i, 1.0 AS x FROM numeric JOIN feature ON name = '{c}=' || {c}" for c in DUMMIES)}
+),
+size AS (SELECT count(*) AS n FROM numeric),
+mean AS MATERIALIZED (SELECT i, sum(x) / (SELECT n FROM size) AS m FROM value GROUP BY i),
+shared AS MATERIALIZED (
+  SELECT one.i, two.i AS j, sum(one.x * two.x) / (SELECT n FROM size) AS s
+  FROM value one JOIN value two ON one.row = two.row GROUP BY ALL
+),
+covariance AS MATERIALIZED (
+  SELECT one.i, two.i AS j, round(COALESCE(s, 0) - one.m * two.m, 9) + 0.0 AS c
+  FROM mean one CROSS JOIN mean two LEFT JOIN shared ON shared.i = one.i AND shared.j = two.i
+),
+jacobi AS MATERIALIZED (
+  WITH RECURSIVE step AS (
+    SELECT 0 AS t, p, p - 1 + p % 2 AS rounds, {SWEEPS} * (p - 1 + p % 2) AS steps, a,
+      [CASE WHEN x // p = x % p THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END FOR x IN range(p * p)] AS v
+    FROM (SELECT list(c ORDER BY i, j) AS a, (SELECT count(*) FROM feature) AS p FROM covariance)
+    UNION ALL
+    SELECT t, p, rounds, steps,
+      [own[x // p + 1] * own[x % p + 1] * a[x + 1]
+        + own[x // p + 1] * crossed[x % p + 1] * a[(x // p) * p + other[x % p + 1] + 1]
+        + crossed[x // p + 1] * own[x % p + 1] * a[other[x // p + 1] * p + x % p + 1]
+        + crossed[x // p + 1] * crossed[x % p + 1] * a[other[x // p + 1] * p + other[x % p + 1] + 1]
+        FOR x IN range(p * p)] AS a,
+      [own[x % p + 1] * v[x + 1] + crossed[x % p + 1] * v[(x // p) * p + other[x % p + 1] + 1] FOR x IN range(p * p)] AS v
+    FROM (
+      SELECT *, [CASE WHEN tangent[k + 1] IS NULL THEN 1.0 ELSE 1 / sqrt(tangent[k + 1] * tangent[k + 1] + 1) END FOR k IN range(p)] AS own,
+        [CASE WHEN tangent[k + 1] IS NULL THEN 0.0
+          ELSE (CASE WHEN k < other[k + 1] THEN -1 ELSE 1 END) * tangent[k + 1] / sqrt(tangent[k + 1] * tangent[k + 1] + 1) END
+          FOR k IN range(p)] AS crossed
+      FROM (
+        SELECT *, [CASE WHEN theta[k + 1] IS NOT NULL
+            THEN (CASE WHEN theta[k + 1] < 0 THEN -1 ELSE 1 END) / (abs(theta[k + 1]) + sqrt(theta[k + 1] * theta[k + 1] + 1)) END
+          FOR k IN range(p)] AS tangent
+        FROM (
+          SELECT *, [CASE WHEN other[k + 1] <> k AND abs(a[least(k, other[k + 1]) * p + greatest(k, other[k + 1]) + 1]) > 1e-60
+              THEN (a[greatest(k, other[k + 1]) * (p + 1) + 1] - a[least(k, other[k + 1]) * (p + 1) + 1])
+                / (2 * a[least(k, other[k + 1]) * p + greatest(k, other[k + 1]) + 1]) END
+            FOR k IN range(p)] AS theta
+          FROM (
+            SELECT t + 1 AS t, p, rounds, steps, a, v, [
+                CASE WHEN k = p - 1 AND p % 2 = 0 THEN t % rounds
+                  WHEN (2 * t - k + 2 * rounds) % rounds = k THEN (CASE WHEN p % 2 = 1 THEN k ELSE p - 1 END)
+                  ELSE (2 * t - k + 2 * rounds) % rounds END
+                FOR k IN range(p)] AS other
+            FROM step WHERE t < steps))))
+  )
+  SELECT p, a, v FROM step ORDER BY t DESC LIMIT 1
+),
+component AS MATERIALIZED (
+  SELECT k, row_number() OVER (ORDER BY value DESC, k) AS j, value FROM (
+    SELECT unnest(range(p)) AS k, unnest([a[x * (p + 1) + 1] FOR x IN range(p)]) AS value FROM jacobi)
+  QUALIFY j <= {COMPONENTS}
+),
+raw_loading AS MATERIALIZED (
+  SELECT j, i, name, (SELECT v FROM jacobi)[i * (SELECT p FROM jacobi) + k + 1] AS x FROM component CROSS JOIN feature
+),
+direction AS MATERIALIZED (
+  SELECT j, CASE WHEN x < 0 THEN -1 ELSE 1 END AS sign FROM raw_loading
+  QUALIFY row_number() OVER (PARTITION BY j ORDER BY round(abs(x), 6) DESC, i) = 1
+),
+loading AS MATERIALIZED (SELECT j, i, name, x * sign AS x FROM raw_loading JOIN direction USING (j)),
+ratio AS (
+  SELECT j, value / (SELECT sum(c) FROM covariance WHERE i = j) AS ratio FROM component
+)"""
+
+SCORE_POINTS = """
+score AS MATERIALIZED (
+  SELECT row, j, round(sum(value.x * loading.x) - max(middle), 9) + 0.0 AS x
+  FROM value JOIN loading USING (i)
+  JOIN (SELECT j, sum(m * x) AS middle FROM mean JOIN loading USING (i) GROUP BY j) USING (j)
+  GROUP BY row, j
+),
+placed AS MATERIALIZED (
+  SELECT users, visit_id, action, vec
+  FROM numeric JOIN (SELECT row, list(x ORDER BY j) AS vec FROM score GROUP BY row) USING (row)
+),
+spot AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY h, vec) AS pid, h, weight, vec FROM (
+    SELECT vec, min(('0x' || substr(md5(concat_ws('|', users, visit_id)), 1, 15))::BIGINT) AS h, count(*) AS weight
+    FROM placed GROUP BY vec)
+),
+cell AS (SELECT pid, unnest(range(len(vec))) AS i, unnest(vec) AS v FROM spot)"""
+
+
 def lloyd(ks: list[int], steps: int = STEPS) -> str:
     """Centres c<steps> (k, cluster, i, v) and nearest centres a<steps> (pid, k, cluster, d) of spot and cell."""
     parts = [
         f"""
-seed AS (SELECT pid, row_number() OVER (ORDER BY h) - 1 AS cluster FROM spot QUALIFY cluster < {max(ks)}),
+seed AS (SELECT pid, row_number() OVER (ORDER BY h, pid) - 1 AS cluster FROM spot QUALIFY cluster < {max(ks)}),
 norm AS MATERIALIZED (SELECT pid, sum(v * v) AS n2 FROM cell GROUP BY pid),
 c0 AS MATERIALIZED (
   SELECT r.k, s.cluster, d.i, COALESCE(c.v, 0) AS v
@@ -137,6 +249,49 @@ FROM elastic JOIN clustered USING (description) GROUP BY category""",
             "price_elasticity",
         ),
         "feature_covariance": rounded(levels(covariances, BEHAVIOR, FEATURES, numeric), "covariance"),
+        "pca_loadings": rounded(
+            levels("SELECT 'PC' || j AS component, name AS feature, x AS loading FROM loading", BEHAVIOR, FEATURES, PCA),
+            "loading",
+        ),
+        "pca_strong_loadings": rounded(
+            levels(
+                "SELECT 'PC' || j AS component, name AS feature, x AS loading FROM loading WHERE abs(x) > 0.2",
+                BEHAVIOR,
+                FEATURES,
+                PCA,
+            ),
+            "loading",
+        ),
+        "pca_explained_variance": rounded(
+            levels(
+                "SELECT 'PC' || j AS component, ratio, sum(ratio) OVER (ORDER BY j) AS cumulative FROM ratio",
+                BEHAVIOR,
+                FEATURES,
+                PCA,
+            ),
+            "ratio",
+            "cumulative",
+        ),
+        "kmeans_segments": levels(
+            f"""SELECT users, visit_id, action, a.cluster AS segment
+FROM placed JOIN spot USING (vec) JOIN a{STEPS} a ON a.pid = spot.pid""",
+            BEHAVIOR,
+            FEATURES,
+            PCA,
+            SCORE_POINTS,
+            four,
+        ),
+        "cluster_centers": rounded(
+            levels(
+                f"SELECT cluster AS segment, 'PC' || (i + 1) AS dimension, v AS value FROM c{STEPS}",
+                BEHAVIOR,
+                FEATURES,
+                PCA,
+                SCORE_POINTS,
+                four,
+            ),
+            "value",
+        ),
         "kmeans_segments_on_features": levels(
             f"""SELECT users, visit_id, action, a.cluster AS segment
 FROM placed JOIN spot USING (vec) JOIN a{STEPS} a ON a.pid = spot.pid""",

@@ -1,18 +1,19 @@
 """Feature building, principal components and k-means segments of the behaviour table."""
 
+import json
 import math
 from functools import cached_property
 from itertools import combinations_with_replacement
 
 import numpy as np
-from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.feature import PCA, OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
+from pyspark.ml import Pipeline
+from pyspark.ml.feature import OneHotEncoder, StringIndexer
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.stat import Summarizer
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import kmeans
+from ..operators import eigen, kmeans
 from ..operators.lineage import cut_lineage
 
 STANDARDIZED = ["visit_number", "time_on_site", "pageviews", "session_quality", "totals_revenue", "price"]
@@ -21,6 +22,8 @@ CYCLE = ["month_sin", "month_cos"]
 IDS = ["users", "visit_id", "transaction_id"]
 COMPONENTS = 5
 SEGMENTS = 4
+# Sums that come out the same in any order.
+MOMENT = "decimal(38,12)"
 
 
 def feature_frame(behavior: DataFrame) -> DataFrame:
@@ -115,43 +118,98 @@ def feature_covariance(features: DataFrame) -> DataFrame:
 
 
 class Segmentation:
-    """Encoding, centring, principal components and segments of a feature frame, fitted when first asked for."""
+    """Components and segments of a feature frame, fitted when first asked for.
+
+    The features are the numeric columns and a dummy for every level of the categories but the first. All
+    second moments come from one aggregate by combination of levels, in decimals, so that neither the components
+    nor the segments depend on the partitioning. What the driver holds is one row per combination of levels.
+    """
 
     def __init__(self, features: DataFrame, components: int = COMPONENTS):
         self.numeric = [*STANDARDIZED, "transactions", *CYCLE]
         self.components = components
-        # Indexing, centring, components and clustering each read the rows again.
+        # Moments and every step of the clustering read the rows again.
         self.prepared = cyclical_month(standardize(cut_lineage(features)))
 
     @cached_property
-    def model(self) -> PipelineModel:
-        stages = [
-            *one_hot_stages(),
-            VectorAssembler(inputCols=[*self.numeric, *[f"{c}_dummies" for c in CATEGORICAL]], outputCol="raw"),
-            StandardScaler(inputCol="raw", outputCol="centred", withMean=True, withStd=False),
-            PCA(k=self.components, inputCol="centred", outputCol="scores"),
-        ]
-        return Pipeline(stages=stages).fit(self.prepared)
+    def _combinations(self) -> list:
+        """Levels, number of rows, and sums of the numeric columns and of their products."""
+        values = {c: F.col(c).cast("double") for c in self.numeric}
+        sums = [F.sum(v.cast(MOMENT)).cast("double").alias(c) for c, v in values.items()]
+        for a, b in combinations_with_replacement(self.numeric, 2):
+            sums.append(F.sum((values[a] * values[b]).cast(MOMENT)).cast("double").alias(f"{a}*{b}"))
+        return self.prepared.groupBy(*CATEGORICAL).agg(F.count("*").alias("rows"), *sums).collect()
 
-    @property
-    def rows(self) -> DataFrame:
-        return self.model.transform(self.prepared)
+    @cached_property
+    def levels(self) -> dict[str, list[str]]:
+        """Levels with a dummy: all but the first of a category, the last one first."""
+        return {c: sorted({r[c] for r in self._combinations}, key=str.encode, reverse=True)[:-1] for c in CATEGORICAL}
 
     @property
     def feature_names(self) -> list[str]:
-        levels = dummy_names(self.model.stages[0])
-        return [*self.numeric, *[f"{c}={level}" for c in CATEGORICAL for level in levels[c]]]
+        return [*self.numeric, *[f"{c}={level}" for c in CATEGORICAL for level in self.levels[c]]]
 
     @cached_property
-    def signs(self) -> np.ndarray:
-        """An eigenvector has no direction of its own; its first heaviest loading is made positive."""
-        matrix = self.model.stages[-1].pc.toArray()
-        heaviest = np.argmax(np.abs(matrix).round(6), axis=0)
-        return np.where(matrix[heaviest, np.arange(matrix.shape[1])] < 0, -1.0, 1.0)
+    def moments(self) -> tuple[np.ndarray, np.ndarray]:
+        """Means and rounded population covariances of all features."""
+        at = {name: i for i, name in enumerate(self.feature_names)}
+        p, q = len(at), len(self.numeric)
+        first, second = np.zeros(p), np.zeros((p, p))
+        # In a fixed order, so that the sums over combinations are the same every time.
+        rows = sorted(self._combinations, key=lambda r: [r[c].encode() for c in CATEGORICAL])
+        n = sum(r["rows"] for r in rows)
+        pairs = list(combinations_with_replacement(range(q), 2))
+        for r in rows:
+            sums = np.array([r[c] for c in self.numeric])
+            dummies = [at[name] for c in CATEGORICAL if (name := f"{c}={r[c]}") in at]
+            first[:q] += sums
+            first[dummies] += r["rows"]
+            for i, j in pairs:
+                second[i, j] += r[f"{self.numeric[i]}*{self.numeric[j]}"]
+            for d in dummies:
+                second[:q, d] += sums
+                second[d, [e for e in dummies if e >= d]] += r["rows"]
+        upper = np.triu(second)
+        whole = upper + np.triu(second, 1).T
+        mean = first / max(n, 1)
+        return mean, np.round(whole / max(n, 1) - np.outer(mean, mean), kmeans.DIGITS) + 0.0
+
+    @cached_property
+    def model(self) -> tuple[np.ndarray, np.ndarray]:
+        """Shares of the variance, largest first, and the components as columns."""
+        covariance = self.moments[1]
+        values, vectors = eigen.jacobi(covariance)
+        total = np.trace(covariance)
+        return values[: self.components] / (total or 1.0), vectors[:, : self.components]
+
+    @property
+    def rows(self) -> DataFrame:
+        """The features with `scores`, the centred component scores."""
+        return self.prepared.withColumn("scores", F.array(*self._scores()))
+
+    def _scores(self) -> list[Column]:
+        vectors = self.model[1]
+        mean, q = self.moments[0], len(self.numeric)
+        weights, start = {}, q
+        for c in CATEGORICAL:
+            end = start + len(self.levels[c])
+            by_level = {level: row.tolist() for level, row in zip(self.levels[c], vectors[start:end], strict=True)}
+            # Folded to one literal when the plan is optimized.
+            weights[c] = F.try_element_at(F.from_json(F.lit(json.dumps(by_level)), "map<string,array<double>>"), F.col(c))
+            start = end
+        found = []
+        for j in range(vectors.shape[1]):
+            score = F.lit(-float(mean @ vectors[:, j]))
+            for i, name in enumerate(self.numeric):
+                score = score + F.col(name).cast("double") * float(vectors[i, j])
+            for c in CATEGORICAL:
+                score = score + F.coalesce(F.get(weights[c], F.lit(j)), F.lit(0.0))
+            found.append(score)
+        return found
 
     def loadings(self) -> DataFrame:
         """Component by feature, one row each; as many rows as the matrix has cells."""
-        matrix = self.model.stages[-1].pc.toArray() * self.signs
+        matrix = self.model[1]
         rows = [
             (f"PC{j + 1}", name, float(matrix[i, j]))
             for j in range(matrix.shape[1])
@@ -164,19 +222,18 @@ class Segmentation:
 
     def explained(self) -> DataFrame:
         """Share of the variance per component and its running sum."""
-        ratios = [float(x) for x in self.model.stages[-1].explainedVariance]
+        ratios = [float(x) for x in self.model[0]]
         rows = [(f"PC{i + 1}", r, sum(ratios[: i + 1])) for i, r in enumerate(ratios)]
         return self.prepared.sparkSession.createDataFrame(rows, "component string, ratio double, cumulative double")
 
     def _points(self, on: str) -> DataFrame:
         """Component scores, or with `on="features"` the first standardized columns, rounded to nine digits."""
         if on == "features":
-            rows, values = self.prepared, [F.col(c).cast("double") for c in self.numeric[:COMPONENTS]]
+            values = [F.col(c).cast("double") for c in self.numeric[:COMPONENTS]]
         else:
-            rows, scores = self.rows, vector_to_array("scores")
-            values = [F.get(scores, F.lit(i)) * float(sign) for i, sign in enumerate(self.signs)]
+            values = self._scores()
         key = F.concat_ws("|", "users", "visit_id").alias("key")
-        return rows.select(
+        return self.prepared.select(
             "users",
             "visit_id",
             "action",
@@ -190,7 +247,7 @@ class Segmentation:
     def _clustering(self, on: str, k: int):
         # Every step reads the points again.
         points = cut_lineage(self._points(on))
-        dimensions = COMPONENTS if on == "features" else self.components
+        dimensions = COMPONENTS if on == "features" else self.model[1].shape[1]
         return kmeans.fit(points, [k], dimensions)[k], points
 
     def segments(self, on: str = "scores", k: int = SEGMENTS) -> DataFrame:
