@@ -12,12 +12,12 @@ from pyspark.sql import functions as F
 
 from .functions import fixed_values as fixed
 from .functions.categories import category_levels
-from .operators import quantiles
+from .operators import eager, quantiles
 from .operators import retention as periods
 from .plans import cleaning, clusters, funnel, marketing, pricing, retail_customers, retention, sales
 from .plans import segments, supply, visitors
 from .sources.listings import listings
-from .sources.retail import LINE_ORDER, retail_invoices, retail_lines, spending_lines
+from .sources.retail import LINE_ORDER, retail_invoices, retail_items, retail_lines, spending_lines
 from .sources.web import event_hits, event_products, event_sessions
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -213,11 +213,15 @@ def _ordered_customer_lines(spark, folder):
 
 def _retail_customers() -> dict[str, Query]:
     r = retail_customers
-    season_columns = ["invoice_date", "country", "hemisphere", "description", "quantity"]
+    season_columns = ["invoice_date", "country", "hemisphere", "part_no", "quantity"]
     return {
         "season_label": lambda s, d: r.season_label(retail_lines(s, d, "invoice_date", "country", "hemisphere")),
-        "keyword_category": lambda s, d: r.keyword_categories(retail_lines(s, d, "description"), COLD, OUTDOOR),
-        "seasonal_sales": lambda s, d: r.seasonal_sales(retail_lines(s, d, *season_columns), COLD, OUTDOOR),
+        "keyword_category": lambda s, d: r.keyword_categories(
+            retail_lines(s, d, "part_no"), COLD, OUTDOOR, items=retail_items(s, d)
+        ),
+        "seasonal_sales": lambda s, d: r.seasonal_sales(
+            retail_lines(s, d, *season_columns), COLD, OUTDOOR, items=retail_items(s, d)
+        ),
         "impulsive_customers": lambda s, d: r.impulsive_customers(retail_lines(s, d, "customer_id", "invoice_no", "invoice_date")),
         "loyal_items": lambda s, d: r.loyal_items(_customer_lines(s, d)),
         "repeat_item_descriptions": lambda s, d: r.repeat_item_descriptions(_customer_lines(s, d, "description")),
@@ -233,32 +237,43 @@ SUPPLY_COLUMNS = [
     "stock_code", "description", "quantity", "unit_price", "total_price", "customer_id", "country", "invoice_date",
     *LINE_ORDER,
 ]
+ITEM_COLUMNS = {"description", "unit_price", "total_price"}
 
 
 def _supply() -> dict[str, Query]:
     def base(spark, folder):
         return supply.supply_base(retail_lines(spark, folder, *SUPPLY_COLUMNS))
 
+    def by_item(job, *arguments, **options):
+        """The job on lines that are added up by item before they are joined with the items."""
+
+        def query(spark, folder):
+            lines = retail_lines(spark, folder, *[c for c in SUPPLY_COLUMNS if c not in ITEM_COLUMNS])
+            items = supply.sold_items(retail_items(spark, folder))
+            return job(supply.supply_base(lines), *arguments, items=items, **options)
+
+        return query
+
     def demand(spark, folder):
         return retail_lines(spark, folder, "stock_code", "quantity", "invoice_date")
 
-    jobs = {"supply_base": base}
+    jobs = {"supply_base": base, "customer_value": lambda s, d: supply.customer_value(base(s, d))}
     for job in [
         supply.weekly_sales_velocity, supply.purchase_gaps, supply.country_quantity, supply.country_summary,
-        supply.top_items, supply.underperforming_items, supply.customer_value, supply.orders_by_hour,
-        supply.orders_by_weekday, supply.orders_by_month,
+        supply.top_items, supply.underperforming_items, supply.orders_by_hour, supply.orders_by_weekday,
+        supply.orders_by_month,
     ]:
-        jobs[job.__name__] = lambda s, d, job=job: job(base(s, d))
+        jobs[job.__name__] = by_item(job)
     for job, columns in [
         (supply.stockout_tier_mean, ["mean_stockout_rate"]),
         (supply.stockout_quantity_corr, ["correlation"]),
     ]:
-        jobs[job.__name__] = lambda s, d, job=job, c=columns: rounded(job(base(s, d), STOCKOUT_RULES), *c)
+        jobs[job.__name__] = lambda s, d, job=by_item(job, STOCKOUT_RULES), c=columns: rounded(job(s, d), *c)
     jobs |= {
-        "stockout_rate": lambda s, d: supply.stockout_rate(base(s, d), STOCKOUT_RULES),
-        "country_stockout": lambda s, d: supply.country_stockout(base(s, d), STOCKOUT_RULES),
-        "weekly_sales_velocity_documented": lambda s, d: supply.weekly_sales_velocity(base(s, d), documented=True),
-        "velocity_tier": lambda s, d: supply.velocity_tier(supply.weekly_sales_velocity(base(s, d))),
+        "stockout_rate": by_item(supply.stockout_rate, STOCKOUT_RULES),
+        "country_stockout": by_item(supply.country_stockout, STOCKOUT_RULES),
+        "weekly_sales_velocity_documented": by_item(supply.weekly_sales_velocity, documented=True),
+        "velocity_tier": lambda s, d: supply.velocity_tier(jobs["weekly_sales_velocity"](s, d)),
         "weekly_demand_stats": lambda s, d: rounded(supply.weekly_demand_stats(demand(s, d)), "demand_std"),
         "inventory_policy": lambda s, d: rounded(
             supply.inventory_policy(demand(s, d)), "demand_std", "eoq", "safety_stock", "reorder_point"
@@ -281,20 +296,30 @@ def _priced(spark, folder, *more):
 
 
 def _pricing() -> dict[str, Query]:
+    def by_item(job):
+        """The job on lines that are added up by item before they are joined with the items."""
+
+        def query(spark, folder):
+            lines = retail_lines(spark, folder, "part_no", "quantity", "paid_price")
+            return job(lines.withColumnRenamed("paid_price", "unit_price"), items=retail_items(spark, folder).drop("unit_price"))
+
+        return query
+
+    def by_item_rounded(job, *columns, digits=6):
+        return lambda s, d: rounded(by_item(job)(s, d), *columns, digits=digits)
+
     return {
         "pricing_base": lambda s, d: pricing.pricing_base(_priced(s, d, *LINE_KEY), LINE_KEY),
-        "price_points": lambda s, d: pricing.price_points(_priced(s, d)),
-        "price_elasticity": lambda s, d: rounded(pricing.price_elasticity(_priced(s, d)), "price_elasticity"),
-        "product_summary": lambda s, d: rounded(pricing.product_summary(_priced(s, d)), "avg_unit_price"),
-        "demand_category": lambda s, d: pricing.demand_category(_priced(s, d)),
-        "competition": lambda s, d: pricing.competition(_priced(s, d)),
-        "adjusted_price": lambda s, d: rounded(
-            pricing.adjusted_price(_priced(s, d)), "price_elasticity", "avg_unit_price", "adjusted_price"
-        ),
-        "description_clusters": lambda s, d: clusters.description_clusters(_priced(s, d)),
-        "cluster_samples": lambda s, d: clusters.cluster_samples(clusters.description_clusters(_priced(s, d))),
-        "elbow_wcss": lambda s, d: rounded(clusters.elbow_wcss(_priced(s, d)), "wcss", digits=4),
-        "category_elasticity": lambda s, d: rounded(clusters.category_elasticity(_priced(s, d)), "price_elasticity"),
+        "price_points": by_item(pricing.price_points),
+        "price_elasticity": by_item_rounded(pricing.price_elasticity, "price_elasticity"),
+        "product_summary": by_item_rounded(pricing.product_summary, "avg_unit_price"),
+        "demand_category": by_item(pricing.demand_category),
+        "competition": by_item(pricing.competition),
+        "adjusted_price": by_item_rounded(pricing.adjusted_price, "price_elasticity", "avg_unit_price", "adjusted_price"),
+        "description_clusters": by_item(clusters.description_clusters),
+        "cluster_samples": lambda s, d: clusters.cluster_samples(by_item(clusters.description_clusters)(s, d)),
+        "elbow_wcss": by_item_rounded(clusters.elbow_wcss, "wcss", digits=4),
+        "category_elasticity": by_item_rounded(clusters.category_elasticity, "price_elasticity"),
     }
 
 
@@ -308,6 +333,11 @@ def _cleaning() -> dict[str, Query]:
     def raw(spark, folder):
         return retail_lines(spark, folder, *raw_columns, "invoice_ts")
 
+    def item_quantities(spark, folder):
+        """Quantity and price of the lines, equal ones of an item as one row."""
+        lines, items = retail_lines(spark, folder, "part_no", "quantity"), retail_items(spark, folder)
+        return eager.sum_by(lines, ["quantity", "unit_price"], {"lines": F.lit(1).cast("bigint")}, items)
+
     return {
         "clean_retail": lambda s, d: cleaning.clean_retail(raw(s, d), **RETAIL_RULES),
         "retail_outliers": lambda s, d: cleaning.retail_outliers(raw(s, d), OUTLIER_DESCRIPTIONS, OUTLIER_QUANTITIES),
@@ -316,7 +346,7 @@ def _cleaning() -> dict[str, Query]:
         "profile_null_counts": lambda s, d: cleaning.null_counts(raw(s, d)),
         "profile_countries": lambda s, d: cleaning.distinct_values(retail_lines(s, d, "country"), "country"),
         "profile_describe": lambda s, d: rounded(
-            quantiles.describe(retail_lines(s, d, "quantity", "unit_price"), ["quantity", "unit_price"]), "mean", "std"
+            quantiles.describe(item_quantities(s, d), ["quantity", "unit_price"], "lines"), "mean", "std"
         ),
         "profile_date_span": lambda s, d: cleaning.date_span(retail_lines(s, d, "invoice_date"), "invoice_date"),
         "profile_currency": lambda s, d: cleaning.first_characters(listings(s, d), "actual_price"),

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.numbers import percent, ratio
 from ..functions.periods import period_number, period_start
+from .distinct import distinct_counts
 
 
 # Calendar months in a period of the matrix.
@@ -20,11 +21,8 @@ MONTHS = {"month": 1, "quarter": 3}
 def period_activity(orders: DataFrame, period: str) -> DataFrame:
     """Distinct orders and distinct customers per period."""
     start = period_start(F.col("order_date"), period)
-    return (
-        orders.where(F.col("order_date").isNotNull())
-        .groupBy(start.alias("period"))
-        .agg(F.countDistinct("order_id").alias("orders"), F.countDistinct("customer_id").alias("customers"))
-    )
+    counted = {"orders": F.col("order_id"), "customers": F.col("customer_id")}
+    return distinct_counts(orders.where(F.col("order_date").isNotNull()), [start.alias("period")], counted)
 
 
 def customer_periods(orders: DataFrame, period: str) -> DataFrame:

@@ -21,21 +21,22 @@ from pyspark.sql import functions as F
 
 from ..operators import kmeans
 from ..operators.lineage import cut_lineage
-from .pricing import MIN_LINES, price_elasticity, sold_lines
+from .pricing import MIN_LINES, price_elasticity, sold_by
 
 MAX_TERMS = 500
 CLUSTERS = 8
 
 
 def description_vectors(
-    lines: DataFrame, max_terms: int = MAX_TERMS, min_lines: int = MIN_LINES
+    lines: DataFrame, max_terms: int = MAX_TERMS, min_lines: int = MIN_LINES, items: DataFrame | None = None
 ) -> tuple[DataFrame, list[str]]:
     """Unit-length TF-IDF vectors (smoothed, plus one) of the distinct descriptions sold often enough.
 
     Returns the vectors with their line counts and the vocabulary: the most frequent terms over all
     lines. Only those terms and their document counts, at most `max_terms` rows, reach the driver.
     """
-    documents = sold_lines(lines).groupBy("description").agg(F.count("*").cast("double").alias("weight"))
+    documents = sold_by(lines, ["description"], items)
+    documents = documents.select("description", F.col("lines").cast("double").alias("weight"))
     documents = documents.where(F.col("weight") >= min_lines)
     # Term statistics and every clustering read the documents again; the lines are read once.
     documents = cut_lineage(documents)
@@ -75,10 +76,10 @@ def _points(vectors: DataFrame, dimensions: int) -> DataFrame:
 
 
 def description_clusters(
-    lines: DataFrame, k: int = CLUSTERS, terms: int = 3, min_lines: int = MIN_LINES
+    lines: DataFrame, k: int = CLUSTERS, terms: int = 3, min_lines: int = MIN_LINES, items: DataFrame | None = None
 ) -> DataFrame:
     """Cluster of every description, named by the heaviest terms of its centre."""
-    vectors, vocabulary = description_vectors(lines, min_lines=min_lines)
+    vectors, vocabulary = description_vectors(lines, min_lines=min_lines, items=items)
     points = _points(vectors, len(vocabulary))
     centers = kmeans.fit(points, [k], len(vocabulary))[k]
     names = []
@@ -103,18 +104,20 @@ def cluster_samples(clusters: DataFrame, n: int = 10) -> DataFrame:
     return ranked.select("cluster", "category", F.col("position").cast("bigint").alias("position"), "description")
 
 
-def elbow_wcss(lines: DataFrame, max_k: int = 14, min_lines: int = MIN_LINES) -> DataFrame:
+def elbow_wcss(
+    lines: DataFrame, max_k: int = 14, min_lines: int = MIN_LINES, items: DataFrame | None = None
+) -> DataFrame:
     """Within-cluster sum of squares for k = 1 .. max_k, all fitted in the same steps."""
-    vectors, vocabulary = description_vectors(lines, min_lines=min_lines)
+    vectors, vocabulary = description_vectors(lines, min_lines=min_lines, items=items)
     points = _points(vectors, len(vocabulary))
     centers = kmeans.fit(points, list(range(1, max_k + 1)), len(vocabulary))
     return kmeans.costs(points, centers)
 
 
-def category_elasticity(lines: DataFrame, k: int = CLUSTERS) -> DataFrame:
+def category_elasticity(lines: DataFrame, k: int = CLUSTERS, items: DataFrame | None = None) -> DataFrame:
     """Mean elasticity of the descriptions in each cluster."""
-    clusters = description_clusters(lines, k).select("description", "category")
-    joined = price_elasticity(lines).join(clusters, "description", "left")
+    clusters = description_clusters(lines, k, items=items).select("description", "category")
+    joined = price_elasticity(lines, items=items).join(clusters, "description", "left")
     return joined.where(F.col("category").isNotNull()).groupBy("category").agg(
         F.avg("price_elasticity").alias("price_elasticity"), F.count("*").alias("descriptions")
     )

@@ -11,6 +11,8 @@ from ..functions.fixed_values import (
     ORGANIC_YEARLY_COST,
 )
 from ..functions.numbers import micros, percent, ratio, zero
+from ..operators.distinct import distinct_counts
+from ..operators.quantiles import grouped_quantiles
 from ..operators.shares import with_percent
 
 NOT_SET = "(not set)"
@@ -96,27 +98,11 @@ def campaign_engagement(sessions: DataFrame) -> DataFrame:
 
 
 def campaign_engagement_boxplot(sessions: DataFrame) -> DataFrame:
-    """Five-number summary of pages and seconds per campaign.
-
-    Values are counted before the percentiles. Both are whole numbers of one visit, which ends at
-    midnight: a group holds at most 86,400 distinct values.
-    """
-    metrics = F.array(
-        *[F.struct(F.lit(m).alias("metric"), F.col(m).alias("value")) for m in ("pageviews", "time_on_site")]
-    )
-    long = campaign_engagement(sessions).select("campaign", F.explode(metrics).alias("m")).select("campaign", "m.*")
-    counted = long.groupBy("campaign", "metric", "value").agg(F.count("*").alias("freq"))
-    quartiles = F.percentile("value", [0.25, 0.5, 0.75], F.col("freq"))
-    boxes = counted.groupBy("campaign", "metric").agg(
-        F.min("value").alias("min"), quartiles.alias("q"), F.max("value").alias("max")
-    )
-    return boxes.select(
-        "campaign",
-        "metric",
-        "min",
-        *[F.get("q", F.lit(i)).alias(name) for i, name in enumerate(["q1", "median", "q3"])],
-        "max",
-    )
+    """Five-number summary of pages and seconds per campaign."""
+    wanted = {"min": 0.0, "q1": 0.25, "median": 0.5, "q3": 0.75, "max": 1.0}
+    boxes = grouped_quantiles(campaign_engagement(sessions), ["pageviews", "time_on_site"], wanted, ["campaign"])
+    whole = {c: F.col(c).cast("bigint") for c in ("min", "max")}
+    return boxes.withColumnRenamed("column", "metric").withColumns(whole)
 
 
 def return_rate_daily(sessions: DataFrame) -> DataFrame:
@@ -168,11 +154,11 @@ def campaign_info(sessions: DataFrame) -> DataFrame:
 
 
 def _channel_categories(products: DataFrame) -> DataFrame:
-    rows = products.groupBy("channel", "category").agg(
-        F.countDistinct("full_visitor_id").alias("total_users"),
-        F.count("*").alias("total_sessions"),
-        F.countDistinct("transaction_id").alias("total_transactions"),
-        F.sum(zero(F.col("product_revenue"))).alias("amount"),
+    rows = distinct_counts(
+        products,
+        [F.col("channel"), F.col("category")],
+        {"total_users": F.col("full_visitor_id"), "total_transactions": F.col("transaction_id")},
+        {"total_sessions": F.lit(1).cast("bigint"), "amount": zero(F.col("product_revenue"))},
     )
     return rows.select("*", *[c.alias(name) for name, c in category_levels(F.col("category")).items()])
 

@@ -17,6 +17,7 @@ from ..functions.fixed_values import (
 )
 from ..functions.labels import keyword_category, season
 from ..functions.numbers import money_sum, ratio
+from ..operators.eager import sum_by
 from ..sources.retail import LINE_ORDER
 
 
@@ -48,17 +49,30 @@ def season_label(lines: DataFrame) -> DataFrame:
 
 
 def keyword_categories(
-    lines: DataFrame, cold: list[str] = COLD_KEYWORDS, outdoor: list[str] = OUTDOOR_KEYWORDS
+    lines: DataFrame,
+    cold: list[str] = COLD_KEYWORDS,
+    outdoor: list[str] = OUTDOOR_KEYWORDS,
+    items: DataFrame | None = None,
 ) -> DataFrame:
-    counted = lines.groupBy("description").agg(F.count("*").alias("lines"))
+    """Lines and category of every description; with `items`, descriptions come from there."""
+    counted = sum_by(lines, ["description"], {"lines": F.lit(1).cast("bigint")}, items)
     return counted.withColumn("category", keyword_category(F.col("description"), cold, outdoor))
 
 
 def seasonal_sales(
-    lines: DataFrame, cold: list[str] = COLD_KEYWORDS, outdoor: list[str] = OUTDOOR_KEYWORDS
+    lines: DataFrame,
+    cold: list[str] = COLD_KEYWORDS,
+    outdoor: list[str] = OUTDOOR_KEYWORDS,
+    items: DataFrame | None = None,
 ) -> DataFrame:
+    """Quantity by season and category; with `items`, each item is put in its category once."""
     category = keyword_category(F.col("description"), cold, outdoor)
-    return with_season(lines).groupBy("season", category.alias("category")).agg(F.sum("quantity").alias("quantity"))
+    lines = with_season(lines)
+    if items is None:
+        lines = lines.withColumn("category", category)
+    else:
+        items = items.withColumn("category", category)
+    return sum_by(lines, ["season", "category"], {"quantity": F.col("quantity")}, items)
 
 
 # --- impulse ----------------------------------------------------------------------

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from ..functions.categories import LEVELS, category_levels, main_category
 from ..functions.fixed_values import PURCHASE_ACTION, REGIONAL_CATEGORIES
 from ..functions.numbers import micros, percent, zero
+from ..operators.distinct import distinct_counts
 from ..operators.shares import top_n_and_other, totals_of, with_percent
 
 
@@ -157,14 +158,14 @@ def product_preference(products: DataFrame) -> DataFrame:
 
 def kpi_overview(products: DataFrame) -> DataFrame:
     """Store-wide totals. Visit ids collide between visitors; they are counted alone all the same."""
-    buyer = F.when(F.col("product_revenue") > 0, F.col("full_visitor_id"))
-    return products.agg(
-        F.countDistinct("full_visitor_id").alias("total_users"),
-        F.countDistinct("visit_id").alias("total_sessions"),
-        F.countDistinct("transaction_id").alias("total_transactions"),
-        micros(F.sum(zero(F.col("product_revenue")))).alias("total_revenue"),
-        F.countDistinct(buyer).alias("users_with_purchase"),
-    )
+    counted = {
+        "total_users": F.col("full_visitor_id"),
+        "total_sessions": F.col("visit_id"),
+        "total_transactions": F.col("transaction_id"),
+        "users_with_purchase": F.when(F.col("product_revenue") > 0, F.col("full_visitor_id")),
+    }
+    found = distinct_counts(products, [], counted, {"total_revenue": zero(F.col("product_revenue"))})
+    return found.withColumn("total_revenue", micros(F.col("total_revenue")))
 
 
 def _places(sessions: DataFrame) -> DataFrame:

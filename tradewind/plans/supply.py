@@ -1,6 +1,10 @@
-"""Sales velocity, stockouts, inventory policy and demand forecasts."""
+"""Sales velocity, stockouts, inventory policy and demand forecasts.
 
-from pyspark.sql import DataFrame, Window
+With `items` (`part_no`, `description`), lines are added up by item before they meet the item table; the
+filter on prices is then one on the items (`sold_items`).
+"""
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.fixed_values import (
@@ -14,30 +18,41 @@ from ..functions.fixed_values import (
 from ..functions.labels import weekday_name
 from ..functions.numbers import money_sum, pearson, ratio
 from ..functions.periods import period_start, week_end
+from ..operators.eager import ITEM, sum_by
 from ..operators.quantiles import exact_quantiles
 from ..sources.retail import LINE_ORDER
 
 
 
 def supply_base(lines: DataFrame) -> DataFrame:
-    return lines.where(
-        (F.col("quantity") > 0) & (F.col("unit_price") > 0) & (F.col("country") != "Unspecified")
-    )
+    """Lines sold at a price to a known country; lines without prices are left to `sold_items`."""
+    sold = lines.where((F.col("quantity") > 0) & (F.col("country") != "Unspecified"))
+    return sold.where(F.col("unit_price") > 0) if "unit_price" in lines.columns else sold
+
+
+def sold_items(items: DataFrame) -> DataFrame:
+    return items.where(F.col("unit_price") > 0)
 
 
 # --- velocity ---------------------------------------------------------------------
 
 
-def weekly_sales_velocity(base: DataFrame, documented: bool = False) -> DataFrame:
+def weekly_sales_velocity(base: DataFrame, documented: bool = False, items: DataFrame | None = None) -> DataFrame:
     """Mean over weeks of weekly quantity divided by the weeks in which the item sold.
 
     That divides by weeks twice; `documented=True` gives total quantity per selling week instead.
     The window sees one row per item, description and week.
     """
-    week = period_start(F.col("invoice_date"), "week")
-    # A join on the item would add this filter to one of its readers, and end the reuse of the shuffle.
-    known = base.where(F.col("stock_code").isNotNull() & F.col("description").isNotNull())
-    weekly = known.groupBy("stock_code", "description", week.alias("week")).agg(F.sum("quantity").alias("quantity"))
+    known = base.where(F.col("stock_code").isNotNull()).withColumn("week", period_start(F.col("invoice_date"), "week"))
+    if items is None:
+        known = known.where(F.col("description").isNotNull())
+    else:
+        items = items.where(F.col("description").isNotNull())
+    weekly = sum_by(known, ["stock_code", "description", "week"], {"quantity": F.col("quantity")}, items)
+    return _velocity(weekly, documented)
+
+
+def _velocity(weekly: DataFrame, documented: bool) -> DataFrame:
     item = Window.partitionBy("stock_code")
     ranked = weekly.withColumn("week_rank", F.dense_rank().over(item.orderBy("week")))
     ranked = ranked.withColumn("item_weeks", F.max("week_rank").over(item))
@@ -59,90 +74,123 @@ def velocity_tier(velocity: DataFrame) -> DataFrame:
 # --- stockouts --------------------------------------------------------------------
 
 
-def purchase_gaps(base: DataFrame) -> DataFrame:
+def item_days(base: DataFrame, items: DataFrame | None = None, with_first: bool = True) -> DataFrame:
+    """Quantity and, if asked for, the first line of every item, description and day."""
+    own = ["stock_code", "description"] if items is None else [ITEM, "stock_code"]
+    sums = [F.sum("quantity").alias("quantity")]
+    if with_first:
+        sums.append(F.min(F.struct(*LINE_ORDER, "country")).alias("first"))
+    days = base.where(F.col("stock_code").isNotNull()).groupBy(*own, "invoice_date").agg(*sums)
+    return days if items is None else days.join(items.select(ITEM, "description"), ITEM)
+
+
+def purchase_gaps(base: DataFrame, items: DataFrame | None = None) -> DataFrame:
     """Lines that follow the item's previous line by at least a day, with the days between.
 
     Only the first line of an item's day can have a gap, so lines are reduced to one per item and
     day before the window.
     """
-    first = F.min_by("country", F.struct(*LINE_ORDER))
-    known = base.where(F.col("stock_code").isNotNull())
-    days = known.groupBy("stock_code", "invoice_date").agg(first.alias("country"))
+    return _gaps(item_days(base, items))
+
+
+def _gaps(item_days: DataFrame) -> DataFrame:
+    days = item_days.select("stock_code", "invoice_date").distinct()
+    if "first" in item_days.columns:
+        first = F.min("first")["country"].alias("country")
+        days = item_days.groupBy("stock_code", "invoice_date").agg(first)
     previous = F.lag("invoice_date").over(Window.partitionBy("stock_code").orderBy("invoice_date"))
     gap = F.datediff("invoice_date", previous).cast("bigint")
     return days.withColumn("time_gap", gap).where(F.col("time_gap") > 0)
 
 
-def _tier_gaps(base: DataFrame, rules: list[tuple]) -> DataFrame:
-    """Gap lines of the items in each tier that have enough of them, flagged as stockouts."""
+def _tier_gaps(base: DataFrame, rules: list[tuple], items: DataFrame | None, with_country: bool) -> DataFrame:
+    """Gap lines of the items in each tier that have enough of them, flagged as stockouts.
+
+    Velocities and gaps come from the same days. Both branches ask for all columns, none of which is ever null:
+    with a column less, Spark would plan another aggregate and read the lines again.
+    """
     spark = base.sparkSession
     dim = spark.createDataFrame([(t, int(n), int(d)) for t, n, d in rules], "tier string, min_lines bigint, days bigint")
-    tiers = velocity_tier(weekly_sales_velocity(base)).select("stock_code", "tier").distinct()
+    days = item_days(base, items, with_country).where(F.col("quantity").isNotNull())
+    if with_country:
+        days = days.where(F.col("first").isNotNull())
+    sold = days.where(F.col("description").isNotNull())
+    week = period_start(F.col("invoice_date"), "week")
+    weekly = sold.groupBy("stock_code", "description", week.alias("week")).agg(F.sum("quantity").alias("quantity"))
+    tiers = velocity_tier(_velocity(weekly, False)).select("stock_code", "tier").distinct()
     # `dim` has one row per tier.
-    joined = purchase_gaps(base).join(tiers, "stock_code").join(F.broadcast(dim), "tier")
+    joined = _gaps(days).join(tiers, "stock_code").join(F.broadcast(dim), "tier")
     lines = F.count("*").over(Window.partitionBy("stock_code", "tier"))
     kept = joined.withColumn("lines", lines).where(F.col("lines") > F.col("min_lines"))
     return kept.withColumn("stockout", F.col("time_gap") > F.col("days"))
 
 
-def stockout_rate(base: DataFrame, rules: list[tuple] = STOCKOUT_RULES) -> DataFrame:
+def stockout_rate(
+    base: DataFrame, rules: list[tuple] = STOCKOUT_RULES, items: DataFrame | None = None
+) -> DataFrame:
     """Share of an item's gap lines that look like a stockout, where there is any."""
-    items = _tier_gaps(base, rules).groupBy("tier", "stock_code").agg(
+    found = _tier_gaps(base, rules, items, False).groupBy("tier", "stock_code").agg(
         F.count("*").alias("total_purchases"), F.count_if("stockout").alias("total_stockouts")
     )
     rate = ratio(F.col("total_stockouts"), F.col("total_purchases"))
-    return items.where(F.col("total_stockouts") > 0).withColumn("stockout_rate", rate)
+    return found.where(F.col("total_stockouts") > 0).withColumn("stockout_rate", rate)
 
 
-def stockout_tier_mean(base: DataFrame, rules: list[tuple] = STOCKOUT_RULES) -> DataFrame:
-    return stockout_rate(base, rules).groupBy("tier").agg(F.avg("stockout_rate").alias("mean_stockout_rate"))
+def stockout_tier_mean(
+    base: DataFrame, rules: list[tuple] = STOCKOUT_RULES, items: DataFrame | None = None
+) -> DataFrame:
+    return stockout_rate(base, rules, items).groupBy("tier").agg(F.avg("stockout_rate").alias("mean_stockout_rate"))
 
 
 # --- countries --------------------------------------------------------------------
 
 
-def country_quantity(base: DataFrame) -> DataFrame:
-    sums = base.groupBy("country").agg(F.sum("quantity").alias("quantity"))
+def country_quantity(base: DataFrame, items: DataFrame | None = None) -> DataFrame:
+    sums = sum_by(base, ["country"], {"quantity": F.col("quantity")}, items)
     return sums.withColumn("log_quantity", F.log(F.col("quantity").cast("double")))
 
 
-def country_stockout(base: DataFrame, rules: list[tuple] = STOCKOUT_RULES) -> DataFrame:
-    return _tier_gaps(base, rules).groupBy("country").agg(
+def country_stockout(
+    base: DataFrame, rules: list[tuple] = STOCKOUT_RULES, items: DataFrame | None = None
+) -> DataFrame:
+    return _tier_gaps(base, rules, items, True).groupBy("country").agg(
         ratio(F.count_if("stockout"), F.count("*")).alias("stockout_rate"),
         F.avg("time_gap").alias("avg_time_gap"),
     )
 
 
-def country_summary(base: DataFrame) -> DataFrame:
-    items = base.groupBy("country", "stock_code").agg(F.sum("quantity").alias("quantity"))
-    return items.groupBy("country").agg(
+def country_summary(base: DataFrame, items: DataFrame | None = None) -> DataFrame:
+    sold = sum_by(base, ["country", "stock_code"], {"quantity": F.col("quantity")}, items)
+    return sold.groupBy("country").agg(
         F.sum("quantity").alias("total_quantity"),
         F.avg("quantity").alias("avg_quantity_per_item"),
         F.count("*").alias("items"),
     )
 
 
-def stockout_quantity_corr(base: DataFrame, rules: list[tuple] = STOCKOUT_RULES) -> DataFrame:
-    joined = country_stockout(base, rules).join(country_summary(base), "country")
+def stockout_quantity_corr(
+    base: DataFrame, rules: list[tuple] = STOCKOUT_RULES, items: DataFrame | None = None
+) -> DataFrame:
+    joined = country_stockout(base, rules, items).join(country_summary(base, items), "country")
     return joined.agg(pearson(F.col("stockout_rate"), F.col("total_quantity")).alias("correlation"))
 
 
 # --- items and customers ----------------------------------------------------------
 
 
-def _item_quantity(base: DataFrame) -> DataFrame:
-    return base.groupBy("stock_code").agg(F.sum("quantity").alias("quantity"))
+def _item_quantity(base: DataFrame, items: DataFrame | None) -> DataFrame:
+    return sum_by(base, ["stock_code"], {"quantity": F.col("quantity")}, items)
 
 
-def top_items(base: DataFrame, n: int = 10) -> DataFrame:
-    return _item_quantity(base).orderBy(F.desc("quantity"), "stock_code").limit(n)
+def top_items(base: DataFrame, n: int = 10, items: DataFrame | None = None) -> DataFrame:
+    return _item_quantity(base, items).orderBy(F.desc("quantity"), "stock_code").limit(n)
 
 
-def underperforming_items(base: DataFrame) -> DataFrame:
+def underperforming_items(base: DataFrame, items: DataFrame | None = None) -> DataFrame:
     """Items that sold less than the first quartile."""
-    items = _item_quantity(base)
-    bound = exact_quantiles(items, "quantity", {"q1": 0.25}).scalar()
-    return items.where(F.col("quantity") < bound)
+    sold = _item_quantity(base, items)
+    bound = exact_quantiles(sold, "quantity", {"q1": 0.25}).scalar()
+    return sold.where(F.col("quantity") < bound)
 
 
 def customer_value(base: DataFrame) -> DataFrame:
@@ -157,21 +205,25 @@ def customer_value(base: DataFrame) -> DataFrame:
 # --- order times ------------------------------------------------------------------
 
 
-def orders_by_hour(base: DataFrame) -> DataFrame:
-    return base.groupBy(F.hour("invoice_ts").cast("bigint").alias("hour")).agg(F.count("*").alias("lines"))
+def _lines_by(base: DataFrame, name: str, value: Column, items: DataFrame | None) -> DataFrame:
+    return sum_by(base.withColumn(name, value), [name], {"lines": F.lit(1).cast("bigint")}, items)
+
+
+def orders_by_hour(base: DataFrame, items: DataFrame | None = None) -> DataFrame:
+    return _lines_by(base, "hour", F.hour("invoice_ts").cast("bigint"), items)
 
 
-def orders_by_weekday(base: DataFrame) -> DataFrame:
+def orders_by_weekday(base: DataFrame, items: DataFrame | None = None) -> DataFrame:
     """Lines per weekday, Monday first; a day without lines shows zero."""
-    counts = base.groupBy(weekday_name(F.col("invoice_date")).alias("weekday")).agg(F.count("*").alias("n"))
+    counts = _lines_by(base, "weekday", weekday_name(F.col("invoice_date")), items).withColumnRenamed("lines", "n")
     days = base.sparkSession.createDataFrame(list(enumerate(WEEKDAYS)), "day_no bigint, weekday string")
     # Seven rows on either side.
     joined = days.join(F.broadcast(counts), "weekday", "left")
     return joined.select("day_no", "weekday", F.coalesce("n", F.lit(0)).alias("lines")).orderBy("day_no")
 
 
-def orders_by_month(base: DataFrame) -> DataFrame:
-    return base.groupBy(F.month("invoice_ts").cast("bigint").alias("month")).agg(F.count("*").alias("lines"))
+def orders_by_month(base: DataFrame, items: DataFrame | None = None) -> DataFrame:
+    return _lines_by(base, "month", F.month("invoice_ts").cast("bigint"), items)
 
 
 # --- inventory --------------------------------------------------------------------

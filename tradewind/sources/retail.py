@@ -52,6 +52,13 @@ def retail_lines(spark: SparkSession, folder: str, *columns: str) -> DataFrame:
     return lines.select(*[LINE_COLUMNS[name]().alias(name) for name in columns])
 
 
+def retail_items(spark: SparkSession, folder: str) -> DataFrame:
+    """The items that lines name in `part_no`, one row each, for jobs that add up lines before they join."""
+    return table(spark, folder, "part").select(
+        F.col("p_partkey").alias("part_no"), F.col("p_name").alias("description"), F.col("p_retailprice").alias("unit_price")
+    )
+
+
 def retail_invoices(spark: SparkSession, folder: str) -> DataFrame:
     """One row per purchase invoice, without cancellations.
 
