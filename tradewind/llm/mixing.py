@@ -3,8 +3,9 @@
 Documents are counted by source and exact length in words. Sources share the total by weight; a target never
 exceeds `MAX_REPEATS` times its source, and what is over is shared anew. Per source, every document is taken
 a whole number of times; for the rest of the budget each length first gets its proportional count, and a
-bounded-knapsack dynamic program over the lengths that are left closes the gap, mostly to the word. Then the
-wanted number of documents of each length is chosen by a seeded hash.
+bounded-knapsack dynamic program over the lengths that are left closes the gap, mostly to the word. Large
+gaps are closed on a grid of exact sums, then on finer ones. Then the wanted number of documents of each length
+is chosen by a seeded hash.
 
 What a task holds of a source is one row per distinct length, so it is bounded by the longest document.
 Documents are ranked within a source and length in two steps, by hash buckets and within a bucket, so that
@@ -27,8 +28,9 @@ from .text import packed, row_key, words
 WEIGHTS = (5, 2, 1)
 MAX_REPEATS = 3
 SEED = 7
-# Largest gap the dynamic program works on; a larger one is narrowed by further picks first.
-GAP = 60_000
+# Cells of the dynamic program, whatever the budget.
+CELLS = 1 << 17
+RESERVE = CELLS // 4
 
 
 def shares(sizes: list[int], weights: list[float], most: int = MAX_REPEATS) -> list[float]:
@@ -50,85 +52,115 @@ def shares(sizes: list[int], weights: list[float], most: int = MAX_REPEATS) -> l
     return targets
 
 
-def fill(budget: int, lengths: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """How many of each length to take, so that the sum is as near to the budget as any choice gets.
+def fill(budget: int, lengths: np.ndarray, counts: np.ndarray, below: bool = False) -> np.ndarray:
+    """How many of each length to take, so that the sum is as near to the budget as the grid can tell.
 
-    Bounded knapsack: counts are split into powers of two. `via` remembers the part that first reached a
-    sum; the sum without it was reached before, so one array leads all the way back.
+    With `below`, the sum does not exceed the budget, so that what it lacks can be filled on a finer grid.
+
+    Bounded knapsack: counts are split into powers of two, and a part is added to all sums reached so far. Sums
+    are kept in `CELLS` cells; each keeps the first sum that fell into it, exactly, with the part that led there
+    and the cell before. The search ends with a sum in the budget's own cell. Up to half of `CELLS` words a cell is
+    one sum and no choice is nearer; above, a cell is up to `2 * budget / CELLS` words wide.
     """
     chosen = np.zeros(len(lengths), dtype=np.int64)
     if budget <= 0 or not len(lengths):
         return chosen
+    # All sums are multiples of what the lengths have in common.
+    common = int(np.gcd.reduce(lengths))
+    goal = common * round(budget / common)
     # A sum over the budget may be the nearest, but none over twice the budget: taking nothing is nearer.
     limit = 2 * int(budget)
-    reached = np.zeros(limit + 1, dtype=bool)
-    reached[0] = True
-    via = np.full(limit + 1, -1, dtype=np.int64)
+    width = -(-(limit + 1) // CELLS)
+    cells = limit // width + 1
+    reached = np.full(cells, -1, dtype=np.int64)
+    via = np.full(cells, -1, dtype=np.int64)
+    previous = np.zeros(cells, dtype=np.int64)
+    reached[0] = 0
+    filled = np.zeros(1, dtype=np.int64)
     parts = []
+    middle = goal // width - int(below and width > 1)
     for i, (length, count) in enumerate(zip(lengths.tolist(), counts.tolist(), strict=True)):
         left, multiple = min(count, limit // length), 1
-        while left > 0 and not reached[budget]:
+        while left > 0 and reached[middle] < 0:
             multiple = min(multiple, left)
-            weight = length * multiple
-            new = reached[: limit + 1 - weight] & ~reached[weight:]
-            via[weight:][new] = len(parts)
-            reached[weight:] |= new
-            parts.append((i, multiple, weight))
+            sums, before = reached[filled] + length * multiple, filled
+            hit = np.flatnonzero(sums == goal)
+            if len(hit):
+                return _way_back(chosen, parts, via, previous, int(before[hit[0]]), (i, multiple))
+            fits = sums <= limit
+            sums, before = sums[fits], before[fits]
+            # A sum, once in its cell, stays there: others lead back through it.
+            new = reached[sums // width] < 0
+            sums, before = sums[new], before[new]
+            at, first = np.unique(sums // width, return_index=True)
+            reached[at], via[at], previous[at] = sums[first], len(parts), before[first]
+            filled = np.r_[filled, at]
+            parts.append((i, multiple))
             left, multiple = left - multiple, multiple * 2
-        if reached[budget]:
+        if reached[middle] >= 0:
             break
-    sums = np.flatnonzero(reached)
-    at = int(sums[np.argmin(np.abs(sums - budget))])
+    filled.sort()
+    if below:
+        filled = filled[reached[filled] <= budget]
+    nearest = filled[np.argmin(np.abs(reached[filled] - budget))]
+    return _way_back(chosen, parts, via, previous, int(nearest), None)
+
+
+def _way_back(chosen, parts, via, previous, at: int, last: tuple[int, int] | None) -> np.ndarray:
+    """The lengths taken on the way to a cell, and by a `last` part from there."""
+    if last is not None:
+        chosen[last[0]] += last[1]
     while at:
-        i, multiple, weight = parts[via[at]]
+        i, multiple = parts[via[at]]
         chosen[i] += multiple
-        at -= weight
+        at = int(previous[at])
     return chosen
 
 
 def fit_source(lengths: np.ndarray, counts: np.ndarray, target: float) -> tuple[int, np.ndarray]:
-    """Times all documents are taken, and how many of each length are taken once more."""
+    """Times all documents are taken, and how many of each length are taken once more.
+
+    The proportional counts, rounded down, then the program over the documents left. If that does not meet the
+    budget, a sum somewhat below it is filled up on a finer grid; and the program runs over all documents anew, since
+    few documents may only meet a budget out of proportion. The nearest of all these is taken.
+    """
     size = int((lengths * counts).sum())
-    extra = np.zeros(len(lengths), dtype=np.int64)
+    nothing = np.zeros(len(lengths), dtype=np.int64)
     if not size:
-        return 0, extra
+        return 0, nothing
     # A target that is a multiple of the size but for rounding is that multiple.
     times = int((target + 0.5) // size)
     budget = int(round(target - times * size))
     if budget <= 0 or times >= MAX_REPEATS:
-        return min(times, MAX_REPEATS), extra
+        return min(times, MAX_REPEATS), nothing
     wanted = counts * (budget / size)
     extra = np.where(lengths > 0, np.minimum(np.floor(wanted).astype(np.int64), counts), 0)
-    gap = budget - int((extra * lengths).sum())
+
+    def miss(taken):
+        return budget - int((taken * lengths).sum())
+
     by_remainder = np.lexsort((lengths, -(wanted - extra)))
-    # Largest remainders first, in passes, until the gap is within the program's bound or nothing left fits it.
-    while gap > GAP:
+    def filled(taken, order, reserve=0):
+        more = np.zeros_like(taken)
+        more[order] = fill(miss(taken) - reserve, lengths[order], (counts - taken)[order], reserve > 0)
+        return taken + more
+
+    tried = [extra]
+    while miss(extra) > 0:
         order = by_remainder[(lengths[by_remainder] > 0) & (counts[by_remainder] > extra[by_remainder])]
-        order = order[lengths[order] <= gap]
-        if not len(order):
+        tried.append(filled(extra, order))
+        if not miss(tried[-1]):
+            break
+        # What is left open is large enough for an exact grid to close it.
+        under = filled(extra, order, reserve=RESERVE)
+        if not (under > extra).any():
             break
-        for i in order:
-            if gap <= GAP:
-                break
-            if lengths[i] <= gap:
-                more = min(int(counts[i] - extra[i]), max(1, (gap - GAP) // int(lengths[i] * len(order))))
-                extra[i] += more
-                gap -= more * int(lengths[i])
-    order = by_remainder[(lengths[by_remainder] > 0) & (counts[by_remainder] > extra[by_remainder])]
-    if gap <= GAP:
-        extra[order] += fill(gap, lengths[order], (counts - extra)[order])
-    elif len(order):
-        # All that is left is longer than the gap, so no two of them are nearer than the shortest alone or nothing.
-        i = order[np.argmin(lengths[order])]
-        extra[i] += int(lengths[i]) - gap < gap
-    if budget <= GAP and int((extra * lengths).sum()) != budget:
-        # A source with few documents may only be met by giving up the proportions.
-        some = np.flatnonzero(lengths > 0)
-        free = np.zeros_like(extra)
-        free[some] = fill(budget, lengths[some], counts[some])
-        if abs(int((free * lengths).sum()) - budget) < abs(int((extra * lengths).sum()) - budget):
-            extra = free
-    return times, extra
+        tried.append(under)
+        extra = under
+    if all(miss(t) for t in tried):
+        tried.append(filled(nothing, np.flatnonzero(lengths > 0)))
+    # The first of equals, which keeps more of the proportions.
+    return times, min(tried, key=lambda t: abs(miss(t)))
 
 
 def _fit_group(rows: pd.DataFrame) -> pd.DataFrame:
