@@ -81,16 +81,16 @@ def slot_bits(members: int) -> int:
     return max(SLOT_BITS, math.ceil(math.log2(max(1, members) * HASHES / -math.log1p(-share))))
 
 
-@lru_cache(maxsize=1)
-def _letters() -> np.ndarray:
-    kinds = (unicodedata.category(chr(code))[0] for code in range(0x110000))
-    return np.fromiter((kind in "LM" for kind in kinds), dtype=bool, count=0x110000)
+@lru_cache(maxsize=2)
+def _letters(kinds: str) -> np.ndarray:
+    found = (unicodedata.category(chr(code))[0] in kinds for code in range(0x110000))
+    return np.fromiter(found, dtype=bool, count=0x110000)
 
 
 def grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Hashes of the letter n-grams of all texts, the index of the text of each, and which texts have letters.
 
-    Letters are in lower case; a run of anything else is one blank. Blanks stand only at the edge of an
+    Marks belong to the letters they stand on, but a text of marks alone has none. Letters are in lower case; a run of anything else is one blank. Blanks stand only at the edge of an
     n-gram, so that no n-gram spans words, or texts.
     """
     lowered = [text.lower() for text in texts]
@@ -98,13 +98,14 @@ def grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     codes = np.frombuffer(joined.encode("utf-32-le"), dtype="<u4")
     owner = np.repeat(np.arange(len(texts), dtype=np.int32), [len(text) + 1 for text in lowered])
     owner = np.r_[owner, np.int32(max(0, len(texts) - 1))]
-    letter = _letters()[codes]
+    has_letters = np.zeros(len(texts), dtype=bool)
+    # The character behind a text separates it from the next one.
+    has_letters[np.r_[np.int32(0), owner[:-1]][_letters("L")[codes]]] = True
+    letter = _letters("LM")[codes]
     keep = letter | np.r_[True, letter[:-1]]
     codes = np.where(letter, codes, 32)[keep].astype(np.uint64)
     # The separator before a text counts as part of the one before; the owner of an n-gram is its second place.
     owner, letter = np.r_[np.int32(0), owner[:-1]][keep], letter[keep]
-    has_letters = np.zeros(len(texts), dtype=bool)
-    has_letters[owner[letter]] = True
     hashes, owners = [], []
     for size in SIZES:
         n = len(codes) - size + 1
