@@ -38,6 +38,8 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 UNKNOWN_PENALTY = 10.0
 CACHED_WORDS = 120_000
+# Longer units are not kept, so that the cache is bounded in bytes as well.
+CACHED_LENGTH = 64
 CHARS_AT_ONCE = 1_000_000
 _UNITS = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 
@@ -113,11 +115,12 @@ class Codec:
         last: list[tuple[int, int, float] | None] = [None] * (n + 1)
         # Where every character is a piece, every position is reached by the time a piece starts there.
         foreign = [] if self.single.issuperset(marked) else [i for i, c in enumerate(marked) if c not in self.single]
+        foreign.reverse()
 
         def pass_foreign(until):
             # A character that is no piece can always be passed, at the price of an unknown one.
-            while foreign and foreign[0] < until:
-                at = foreign.pop(0)
+            while foreign and foreign[-1] < until:
+                at = foreign.pop()
                 score = best[at] + self.unknown_score
                 if score > best[at + 1]:
                     best[at + 1], last[at + 1] = score, (-1, 1, score)
@@ -140,6 +143,9 @@ class Codec:
         return path
 
     def _search_word(self, unit: str) -> bytes:
+        if len(unit) > CACHED_LENGTH:
+            # Where nothing separates words, a unit is a passage that hardly comes up again.
+            return array("i", self.search(unit)).tobytes()
         found = self.older.get(unit) or array("i", self.search(unit)).tobytes()
         # Two generations: words that come up again outlive the turn.
         if len(self.cache) >= CACHED_WORDS:
