@@ -4,6 +4,7 @@ The callables only wire sources to jobs and pass the parameters that suit the ta
 floating sums depend on the order of the rows are rounded here, so that results can be compared.
 """
 
+import uuid
 from collections.abc import Callable
 from datetime import date
 
@@ -14,11 +15,14 @@ from .functions import fixed_values as fixed
 from .functions.categories import category_levels
 from .operators import eager, quantiles
 from .operators import retention as periods
+from .operators.lineage import shared_folder
 from .plans import cleaning, clusters, funnel, marketing, pricing, retail_customers, retention, sales
 from .plans import segments, supply, visitors
+from .sources import files
 from .sources.listings import listings
 from .sources.retail import LINE_ORDER, retail_invoices, retail_items, retail_lines, spending_lines
-from .sources.web import event_hits, event_products, event_sessions
+from .sources.web import event_hits, event_products, event_sessions, flat_hits, flat_products, flat_sessions
+from .sources.web import fold_sessions
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -353,6 +357,47 @@ def _cleaning() -> dict[str, Query]:
     }
 
 
+def _nested() -> dict[str, Query]:
+    """Jobs on sessions that were folded, written by day and read back with the fields they need."""
+
+    def stored(spark, folder, *fields):
+        path = f"{shared_folder(spark)}/sessions-{uuid.uuid4().hex}"
+        files.write_web_sessions(fold_sessions(spark, folder), path)
+        return files.read_web_sessions(spark, path, "00010101", "99991231", list(fields))
+
+    return {
+        "nested_conversion_funnel": lambda s, d: funnel.conversion_funnel(
+            flat_products(flat_hits(stored(s, d, "v2ProductCategory")))
+        ),
+        "nested_session_metrics": lambda s, d: visitors.session_metrics(flat_sessions(stored(s, d))),
+    }
+
+
+def _behavior_csv() -> dict[str, Query]:
+    """Behaviour rows written as CSV, some with a day that does not exist or a time that is none, and read back."""
+
+    def stored(spark, folder):
+        rows = cleaning.behavior_table(_sold_products(spark, folder))
+        visit = F.col("visit_id")
+        damaged = rows.withColumns(
+            {
+                "date": F.when(visit % 97 == 13, "20240230").otherwise(F.col("date")),
+                "start_time": F.when(visit % 101 == 7, "n/a").otherwise(F.col("start_time").cast("string")),
+            }
+        )
+        path = f"{shared_folder(spark)}/behavior-{uuid.uuid4().hex}"
+        files.write_csv(damaged.select(*files.BEHAVIOR_CSV.fieldNames()), path)
+        return files.read_behavior_csv(spark, path)
+
+    visit = ["users", "visit_id", F.col("date").alias("visit_date"), F.col("start_time").alias("visit_start")]
+    return {
+        "csv_accepted_visits": lambda s, d: files.accepted(stored(s, d)).groupBy(*visit).agg(
+            F.count("*").alias("rows"), F.sum("price").alias("price_micros")
+        ),
+        "csv_refused_rows": lambda s, d: files.refused_rows(stored(s, d)),
+    }
+
+
 def _segments() -> dict[str, Query]:
     def features(spark, folder):
         return segments.feature_frame(_behavior(spark, folder))
@@ -391,4 +436,6 @@ def queries() -> dict[str, Query]:
         **_pricing(),
         **_cleaning(),
         **_segments(),
+        **_nested(),
+        **_behavior_csv(),
     }

@@ -473,6 +473,22 @@ features AS (
 )"""
 
 
+def _behavior_csv() -> dict[str, str]:
+    return {
+        "csv_accepted_visits": levels(
+            """SELECT users, visit_id, CAST(strptime(date, '%Y%m%d') AS DATE) AS visit_date,
+  make_timestamp(start_time * 1000000) AS visit_start, count(*) AS rows, CAST(sum(round(price * 1000000)) AS BIGINT) AS price_micros
+FROM behavior WHERE visit_id % 97 <> 13 AND visit_id % 101 <> 7 GROUP BY ALL""",
+            BEHAVIOR,
+        ),
+        "csv_refused_rows": levels(
+            """SELECT CASE WHEN visit_id % 97 = 13 THEN 'bad date' ELSE 'bad start_time' END AS reason, count(*) AS rows
+FROM behavior WHERE visit_id % 97 = 13 OR visit_id % 101 = 7 GROUP BY ALL""",
+            BEHAVIOR,
+        ),
+    }
+
+
 def _cleaning() -> dict[str, str]:
     raw = ["invoice_no", "stock_code", "description", "quantity", "unit_price", "customer_id", "country", "invoice_ts"]
 
@@ -548,4 +564,4 @@ FROM part WHERE p_size <> 7 AND p_size <> 9""",
 
 
 def queries() -> dict[str, str]:
-    return {**_retention_queries(), **_customers(), **_supply(), **_pricing(), **_cleaning()}
+    return {**_retention_queries(), **_customers(), **_supply(), **_pricing(), **_cleaning(), **_behavior_csv()}

@@ -185,6 +185,20 @@ FROM sessions v LEFT JOIN (SELECT visitor, visit_id FROM hits WHERE action = '6'
         "top_customers": web(top),
         "top_customers_10": web(top + " ORDER BY transactions DESC NULLS LAST, time_on_site DESC, pageviews DESC, users LIMIT 10"),
         "session_metrics": web("SELECT * FROM metrics", METRICS.format(quality=-1)),
+        "nested_session_metrics": web("SELECT * FROM metrics", METRICS.format(quality=-1)),
+        "nested_conversion_funnel": products(
+            f"""SELECT {FUNNEL_ACTION} AS action, {FUNNEL_CATEGORY} AS category, count(visitor) AS users
+FROM (SELECT visitor, hit.action, unnest(hit.categories) AS category FROM (SELECT visitor, unnest(hits) AS hit FROM folded))
+WHERE action <> '0' AND action <> '3' AND action <> '4' GROUP BY ALL""",
+            """
+folded AS (
+  SELECT visitor, day, list(struct_pack(action := action, categories := categories)) AS hits
+  FROM (
+    SELECT h.visitor, h.day, h.event_id, h.action, list(p.category) FILTER (p.event_id IS NOT NULL) AS categories
+    FROM hits h LEFT JOIN products p ON p.event_id = h.event_id GROUP BY ALL)
+  GROUP BY visitor, day
+)""",
+        ),
         "session_correlation": rounded(
             web(correlations(METRIC_NAMES, "metrics"), METRICS.format(quality=-1)), "correlation"
         ),

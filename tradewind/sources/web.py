@@ -64,6 +64,9 @@ _PRODUCT_FIELDS = {
 
 
 def flat_sessions(nested: DataFrame) -> DataFrame:
+    """One row per visit. A visit folded into several rows has its totals on each; the first one counts."""
+    if "part" in nested.columns:
+        nested = nested.where(F.coalesce("part", F.lit(0)) == 0)
     return nested.select(*[F.col(path).alias(name) for name, path in _SESSION_FIELDS.items()])
 
 
@@ -200,13 +203,21 @@ def event_hits(
     return hits
 
 
-def event_products(hits: DataFrame, spark: SparkSession, folder: str, catalog: bool = True) -> DataFrame:
-    """Products of the hits; `catalog=False` leaves out category and price, and the join for them."""
+def event_products(
+    hits: DataFrame, spark: SparkSession, folder: str, catalog: bool = True, all_hits: bool = False
+) -> DataFrame:
+    """Products of the hits; `catalog=False` leaves out category and price, and the join for them.
+
+    With `all_hits`, a hit without a product is a row without a `position`.
+    """
     second = F.col("k") % 3 == 0
-    # Errors carry no product. Drop them before the explode, where the scan can use the filter.
-    rows = hits.where(F.col("event_type") != "error").withColumn(
-        "position", F.explode(F.when(second, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0))))
-    )
+    positions = F.when(second, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
+    sold = F.col("event_type") != "error"
+    if all_hits:
+        rows = hits.withColumn("position", F.explode_outer(F.when(sold, positions)))
+    else:
+        # Errors carry no product. Drop them before the explode, where the scan can use the filter.
+        rows = hits.where(sold).withColumn("position", F.explode(positions))
     items = F.when(second, 2).otherwise(1)
     rows = rows.withColumns(
         {
@@ -226,7 +237,8 @@ def event_products(hits: DataFrame, spark: SparkSession, folder: str, catalog: b
         F.concat(F.lit("Home/"), F.col("p_type"), F.lit("/"), F.col("p_brand"), F.lit("/")).alias("part_path"),
         F.round(F.col("p_retailprice") * 1e6).cast("bigint").alias("product_price"),
     )
-    joined = rows.withColumn("part_no", part_no).join(parts, F.col("part_no") == F.col("p_partkey"))
+    kind = "left" if all_hits else "inner"
+    joined = rows.withColumn("part_no", part_no).join(parts, F.col("part_no") == F.col("p_partkey"), kind)
     fixed = ["(not set)", "Home/", "Drinkware", "${escCatTitle}", "Wearables/Men's T-Shirts"]
     fixed.append("Home/Office/Writing Instruments/")
     digit = F.col("k") % 10
@@ -278,3 +290,60 @@ def event_sessions(
         F.col("revenue").alias("total_transaction_revenue"),
         F.when(F.col("seen") > 0, F.least(F.lit(100), F.col("hit_count") * 10)).cast("bigint").alias("session_quality"),
     )
+
+
+# --- folding into nested sessions -------------------------------------------------
+
+# Hits in one nested row, about; a visit with more of them is folded into several rows.
+HITS_A_ROW = 500
+
+
+def fold_sessions(spark: SparkSession, folder: str) -> DataFrame:
+    """Nested sessions of the event table: hits in the row of their visit, products in their hit.
+
+    A row holds about `HITS_A_ROW` hits: a longer visit is dealt by hash to `part`s, each with the totals of the
+    visit, so that no task gathers a visit of any length. (Part 0 would be empty with a chance below 1e-100.)
+    """
+    hits = event_hits(spark, folder, session_totals=True)
+    rows = event_products(hits, spark, folder, all_hits=True)
+    parts = F.ceil(F.col("session_hit_count") / HITS_A_ROW)
+    rows = rows.withColumn("part", F.pmod(F.xxhash64("event_id"), parts).cast("int"))
+    # One shuffle for both groupings.
+    visit = ["user_id", "day", "part"]
+    product = F.struct("position", *[F.col(name).alias(path) for name, path in _PRODUCT_FIELDS.items()])
+    listed = F.sort_array(F.collect_list(F.when(F.col("position").isNotNull(), product)))
+    session = [*KEYS, *CONTEXT, *[f"session_{name}" for name in TOTALS]]
+    by_hit = rows.repartition(*visit).groupBy(*visit, "event_id").agg(
+        F.any_value(F.struct("action", "transaction_id", "transaction_revenue")).alias("of"),
+        F.any_value(F.struct(*session)).alias("s"),
+        F.transform(listed, lambda p: p.dropFields("position")).alias("product"),
+    )
+    paid = F.struct(
+        F.col("of.transaction_id").alias("transactionId"), F.col("of.transaction_revenue").alias("transactionRevenue")
+    )
+    hit = F.struct(
+        "event_id",
+        F.struct(F.col("of.action").alias("action_type")).alias("eCommerceAction"),
+        F.when(F.col("of.transaction_id").isNotNull(), paid).alias("transaction"),
+        "product",
+    )
+    by_visit = by_hit.groupBy(*visit).agg(F.any_value("s").alias("s"), F.sort_array(F.collect_list(hit)).alias("hits"))
+
+    def fields(struct):
+        names = {path.split(".")[1]: name for name, path in _SESSION_FIELDS.items() if path.startswith(f"{struct}.")}
+        return F.struct(
+            *[F.col(f"s.{'session_' * (name in TOTALS)}{name}").alias(path) for path, name in names.items()]
+        ).alias(struct)
+
+    return by_visit.select(
+        F.col("s.full_visitor_id").alias("fullVisitorId"),
+        F.col("s.visit_id").alias("visitId"),
+        F.col("s.session_visit_number").alias("visitNumber"),
+        F.col("s.date").alias("date"),
+        F.col("s.session_visit_start_time").alias("visitStartTime"),
+        fields("totals"),
+        fields("trafficSource"),
+        fields("geoNetwork"),
+        F.transform("hits", lambda h: h.dropFields("event_id")).alias("hits"),
+        "part",
+    )
