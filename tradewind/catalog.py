@@ -389,11 +389,13 @@ def _behavior_csv() -> dict[str, Query]:
         files.write_csv(damaged.select(*files.BEHAVIOR_CSV.fieldNames()), path)
         return files.read_behavior_csv(spark, path)
 
-    visit = ["users", "visit_id", F.col("date").alias("visit_date"), F.col("start_time").alias("visit_start")]
+    def visits(rows):
+        named = rows.withColumnsRenamed({"date": "visit_date", "start_time": "visit_start"})
+        counts = [F.count("*").alias("rows"), F.sum("price").alias("price_micros")]
+        return named.groupBy("users", "visit_id", "visit_date", "visit_start").agg(*counts)
+
     return {
-        "csv_accepted_visits": lambda s, d: files.accepted(stored(s, d)).groupBy(*visit).agg(
-            F.count("*").alias("rows"), F.sum("price").alias("price_micros")
-        ),
+        "csv_accepted_visits": lambda s, d: visits(files.accepted(stored(s, d))),
         "csv_refused_rows": lambda s, d: files.refused_rows(stored(s, d)),
     }
 
