@@ -131,3 +131,15 @@ def test_quantiles_share_the_counted_values(spark, folder):
     frame = QUERIES["purchases_per_user_describe"](spark, folder)
     frame.collect()
     assert scans(frame, "events") == 1
+
+
+@pytest.mark.parametrize("name", ["monthly_churn_by_country", "new_vs_returning", "campaign_info"])
+def test_no_sort_of_raw_rows_for_extremes(spark, folder, name):
+    frame = QUERIES[name](spark, folder)
+    frame.collect()
+    for kind, node in nodes(frame):
+        if kind == "SortAggregate":
+            # What is sorted was grouped and shuffled before.
+            assert "Exchange" in node.child().toString() or "ShuffleQueryStage" in node.child().toString()
+            inner = node.child().toString()
+            assert "HashAggregate" in inner[: inner.index("FileScan")]

@@ -1,6 +1,6 @@
 """Channel and campaign jobs."""
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.categories import LEVELS, category_levels, lookup
@@ -120,6 +120,11 @@ def return_rate_monthly(sessions: DataFrame) -> DataFrame:
     return daily.groupBy("campaign", month.alias("month")).agg(F.avg("return_rate").alias("return_rate"))
 
 
+def _day_number() -> Column:
+    """A `yyyyMMdd` day as the number it spells, whose extremes a hash aggregate can hold."""
+    return F.col("date").try_cast("int")
+
+
 def new_vs_returning(sessions: DataFrame) -> DataFrame:
     """Distinct new and returning visitors per campaign; new means on the visitor's first day.
 
@@ -127,7 +132,7 @@ def new_vs_returning(sessions: DataFrame) -> DataFrame:
     the window sees at most one row per campaign and no distinct count or self-join is needed.
     """
     spans = sessions.groupBy("full_visitor_id", "campaign").agg(
-        F.min("date").alias("first_day"), F.max("date").alias("last_day")
+        F.min(_day_number()).alias("first_day"), F.max(_day_number()).alias("last_day")
     )
     first = F.min("first_day").over(Window.partitionBy("full_visitor_id"))
     named = spans.withColumn("first_visit", first).where(F.col("campaign") != NOT_SET)
@@ -147,8 +152,8 @@ def campaign_info(sessions: DataFrame) -> DataFrame:
         micros(F.sum("transaction_revenue")).alias("total_revenue"),
     )
     dates = sessions.groupBy("campaign").agg(
-        F.to_date(F.min("date"), "yyyyMMdd").alias("first_visit_date"),
-        F.to_date(F.max("date"), "yyyyMMdd").alias("last_visit_date"),
+        F.to_date(F.min(_day_number()).cast("string"), "yyyyMMdd").alias("first_visit_date"),
+        F.to_date(F.max(_day_number()).cast("string"), "yyyyMMdd").alias("last_visit_date"),
     )
     return metrics.join(dates, "campaign")
 

@@ -25,14 +25,18 @@ def web_orders(hits: DataFrame) -> DataFrame:
 def monthly_churn_by_country(lines: DataFrame, idle_days: int = 30) -> DataFrame:
     """Lines followed by more than `idle_days` without another line of the customer, per country.
 
-    Only the last line of a customer's day can be followed by such a gap. Lines are first reduced to
-    one row per customer, day and country, which carries all that both counts need: one scan, and
-    windows over at most the days of the calendar.
+    Only the last line of a customer's day can be followed by such a gap; of lines at the same time, the last by
+    invoice and line number counts. Lines are first reduced to invoices, by counters that a hash aggregate
+    holds, then to one row per customer, day and country, which carries all that both counts need: one scan,
+    and windows over at most the days of the calendar.
     """
     lines = lines.withColumn("country", F.coalesce("country", F.lit("Unknown")))
-    order = F.struct("invoice_ts", "invoice_no", "line_no", "part_no", "line_quantity")
-    days = lines.groupBy("customer_id", "invoice_date", "country").agg(
-        F.count("*").alias("lines"), F.min("invoice_ts").alias("first_ts"), F.max(order).alias("last_line")
+    invoices = lines.groupBy("customer_id", "invoice_date", "country", "invoice_ts", "invoice_no").agg(
+        F.count("*").alias("lines"), F.max("line_no").alias("line_no")
+    )
+    order = F.struct("invoice_ts", "invoice_no", "line_no")
+    days = invoices.groupBy("customer_id", "invoice_date", "country").agg(
+        F.sum("lines").alias("lines"), F.min("invoice_ts").alias("first_ts"), F.max(order).alias("last_line")
     )
     # One shuffle by customer serves both windows.
     days = days.repartition("customer_id")
