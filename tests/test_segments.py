@@ -141,6 +141,47 @@ def test_missing_categories_and_amounts_do_not_stop_the_fit(spark, folder):
     assert "continent=Other" in fitted.feature_names and "action=Other" in fitted.feature_names
 
 
+def _best_of_ten(points, weights, k):
+    """Lowest cost of ten plain starts with draws by distance, each followed to its end."""
+    draw, best = np.random.default_rng(42), float("inf")
+    for _ in range(10):
+        centers = points[draw.choice(len(points), p=weights / weights.sum())][None]
+        while len(centers) < k:
+            d = ((points[:, None] - centers[None]) ** 2).sum(axis=2).min(axis=1) * weights
+            centers = np.vstack([centers, points[draw.choice(len(points), p=d / d.sum())]])
+        for _ in range(100):
+            d = ((points[:, None] - centers[None]) ** 2).sum(axis=2)
+            near = d.argmin(axis=1)
+            moved = np.array([
+                np.average(points[near == c], axis=0, weights=weights[near == c]) if (near == c).any() else centers[c]
+                for c in range(k)
+            ])
+            if np.allclose(moved, centers):
+                break
+            centers = moved
+        best = min(best, float((d.min(axis=1) * weights).sum()))
+    return best
+
+
+@pytest.mark.parametrize("k", [4, 8])
+def test_one_start_of_several_is_about_as_good_as_ten(spark, fitted, k):
+    points = fitted._points("scores")
+    rows = points.groupBy("values").agg(F.sum("weight").alias("weight")).collect()
+    data, weights = np.array([r["values"] for r in rows]), np.array([r["weight"] for r in rows])
+    cost = kmeans.costs(points, kmeans.fit(points, [k], 5, steps=50)).first()["wcss"]
+    assert cost <= 1.05 * _best_of_ten(data, weights, k)
+
+
+def test_starts_are_nested_and_cheap(spark):
+    schema = "key string, weight double, indices array<int>, values array<double>"
+    corners = [(f"{x}{y}{i}", 1.0, [0, 1], [float(x), float(y)]) for x in (0, 100) for y in (0, 100) for i in range(20)]
+    points = kmeans.distinct_points(spark.createDataFrame(corners, schema))
+    assert points.count() == 4 and points.agg(F.sum("weight")).first()[0] == 80
+    found = kmeans.seeds(points, [1, 2, 4, 9], 2)
+    assert [len(found[k]) for k in (1, 2, 4, 9)] == [1, 2, 4, 4]
+    assert {tuple(c) for c in found[4]} == {(x, y) for x in (0.0, 100.0) for y in (0.0, 100.0)}
+
+
 def test_fewer_points_than_clusters(spark):
     schema = "key string, weight double, indices array<int>, values array<double>"
     rows = [("a", 1.0, [0], [1.0]), ("b", 2.0, [0], [1.0]), ("c", 1.0, [1], [3.0])]

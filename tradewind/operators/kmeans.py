@@ -1,9 +1,11 @@
 """k-means whose result depends on the rows alone, not on their order or partitioning.
 
-A point is a sparse vector (`indices`, `values`) with a `weight` and a `key`. The start is taken from the
-points with the smallest hashes of their keys, sums are decimal, and distances are compared after rounding,
-the first of equal clusters winning. A step is one aggregate, and the driver sees one row per cluster and
-dimension. Several numbers of clusters share the steps.
+A point is a sparse vector (`indices`, `values`) with a `weight` and a `key`. The start is drawn by keyed hashes,
+each centre with a chance in proportion to weight and squared distance from the ones before: of points that race
+with exponential times of these rates, the first one is such a draw, so a draw is one aggregate, and several
+starts share it. The start whose centres are nearest to the points goes on. Sums are decimal, and distances are
+compared after rounding, the first of equal clusters winning. A step is one aggregate over the distinct points,
+and the driver sees one row per cluster and dimension. Several numbers of clusters share the steps.
 """
 
 import json
@@ -12,8 +14,13 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .lineage import cut_lineage
+
 STEPS = 20
+STARTS = 8
 DIGITS = 9
+# Digits at which the costs of starts are compared.
+COST_DIGITS = 6
 _SUM = "decimal(28,12)"
 
 
@@ -22,14 +29,39 @@ def key_hash(key: Column) -> Column:
     return F.conv(F.substr(F.md5(key), F.lit(1), F.lit(15)), 16, 10).cast("bigint")
 
 
-def seeds(points: DataFrame, k: int, dimensions: int) -> np.ndarray:
-    """Up to `k` distinct points, those with the smallest key hashes, as dense rows."""
-    distinct = points.groupBy("indices", "values").agg(F.min(key_hash(F.col("key"))).alias("h"))
-    found = np.zeros((k, dimensions))
-    rows = distinct.orderBy("h", "indices", "values").limit(k).collect()
-    for at, row in enumerate(rows):
-        found[at, row["indices"]] = row["values"]
-    return found[: len(rows)]
+def distinct_points(points: DataFrame) -> DataFrame:
+    """Equal points as one with their weight, and the smallest hash of their keys; stored, as every pass reads them."""
+    return cut_lineage(
+        points.groupBy("indices", "values").agg(F.sum("weight").alias("weight"), F.min(key_hash(F.col("key"))).alias("h"))
+    )
+
+
+def seeds(points: DataFrame, ks: list[int], dimensions: int, starts: int = STARTS) -> dict[int, np.ndarray]:
+    """The best start for each number of clusters, as dense rows: up to `k` of the distinct `points`.
+
+    A start for fewer clusters is the beginning of one for more.
+    """
+    found = [np.zeros((0, dimensions)) for _ in range(starts)]
+    best = {k: found[0] for k in ks}
+    for t in range(max(ks) + 1):
+        draws = []
+        for s, centers in enumerate(found):
+            d = F.array_min(distances(centers)) if len(centers) else F.lit(1.0)
+            unit = (key_hash(F.concat_ws("|", F.lit(str(s)), F.lit(str(t)), F.col("h").cast("string"))) + 0.5) / float(1 << 60)
+            time = -F.log(unit) / (F.col("weight") * d)
+            first = F.min(F.when(d > 0, F.struct(time.alias("time"), "h", "indices", "values")))
+            draws += [first.alias(f"first_{s}"), F.sum((F.col("weight") * d).cast(_SUM)).cast("double").alias(f"cost_{s}")]
+        row = points.agg(*draws).first()
+        if t in best:
+            costs = [round(row[f"cost_{s}"] or 0.0, COST_DIGITS) for s in range(starts)]
+            best[t] = found[costs.index(min(costs))]
+        for s in range(starts):
+            drawn = row[f"first_{s}"]
+            if drawn is not None:
+                point = np.zeros((1, dimensions))
+                point[0, drawn["indices"]] = drawn["values"]
+                found[s] = np.concatenate([found[s], point])
+    return best
 
 
 def distances(centers: np.ndarray) -> Column:
@@ -62,9 +94,9 @@ def fit(points: DataFrame, ks: list[int], dimensions: int, steps: int = STEPS) -
 
     A cluster that loses all its points keeps its centre.
     """
-    start = seeds(points, max(ks), dimensions)
-    centers = {k: start[:k].copy() for k in ks}
-    if not len(start):
+    points = distinct_points(points)
+    centers = {k: start.copy() for k, start in seeds(points, ks, dimensions).items()}
+    if not all(len(c) for c in centers.values()):
         return centers
     cells = F.concat(
         F.array(F.struct(F.lit(-1).alias("i"), F.lit(1.0).alias("v"))),

@@ -150,17 +150,59 @@ spot AS MATERIALIZED (
 cell AS (SELECT pid, unnest(range(len(vec))) AS i, unnest(vec) AS v FROM spot)"""
 
 
-def lloyd(ks: list[int], steps: int = STEPS) -> str:
-    """Centres c<steps> (k, cluster, i, v) and nearest centres a<steps> (pid, k, cluster, d) of spot and cell."""
+STARTS = 8
+
+
+def seeding(ks: list[int]) -> list[str]:
+    """Draws s<t> (start, pid) of every step, squared distances g<t> to the draws before, and start per k in `best`."""
     parts = [
         f"""
-seed AS (SELECT pid, row_number() OVER (ORDER BY h, pid) - 1 AS cluster FROM spot QUALIFY cluster < {max(ks)}),
 norm AS MATERIALIZED (SELECT pid, sum(v * v) AS n2 FROM cell GROUP BY pid),
+g0 AS MATERIALIZED (SELECT pid, start, CAST(1 AS DOUBLE) AS d FROM spot CROSS JOIN (SELECT unnest(range({STARTS})) AS start))"""
+    ]
+    for t in range(max(ks)):
+        nearer = "least(g.d, e.d)" if t else "e.d"
+        parts.append(f"""
+s{t} AS MATERIALIZED (
+  SELECT start, pid FROM g{t} JOIN spot USING (pid) WHERE d > 0
+  QUALIFY row_number() OVER (PARTITION BY start ORDER BY
+    -ln((('0x' || substr(md5(concat_ws('|', start, {t}, h)), 1, 15))::BIGINT + 0.5) / 1152921504606846976.0) / (weight * d), pid) = 1
+),
+g{t + 1} AS MATERIALIZED (
+  SELECT g.pid, g.start, COALESCE({nearer}, g.d) AS d
+  FROM g{t} g LEFT JOIN (
+    SELECT norm.pid, s.start, round(norm.n2 + own.n2 - 2 * COALESCE(shared, 0), 9) AS d
+    FROM norm CROSS JOIN s{t} s JOIN norm own ON own.pid = s.pid
+    LEFT JOIN (
+      SELECT p.pid, q.pid AS seed, sum(p.v * q.v) AS shared
+      FROM cell p JOIN cell q ON p.i = q.i WHERE q.pid IN (SELECT pid FROM s{t}) GROUP BY ALL
+    ) dot ON dot.pid = norm.pid AND dot.seed = s.pid
+  ) e ON e.pid = g.pid AND e.start = g.start
+)""")
+    chosen = " UNION ALL ".join(
+        f"""SELECT {k} AS k, start FROM (
+    SELECT start, round(CAST(sum(CAST(weight * d AS DECIMAL(28, 12))) AS DOUBLE), 6) AS cost
+    FROM g{k} JOIN spot USING (pid) GROUP BY start)
+  QUALIFY row_number() OVER (ORDER BY cost, start) = 1"""
+        for k in ks
+    )
+    drawn = " UNION ALL ".join(f"SELECT CAST({t} AS BIGINT) AS cluster, start, pid FROM s{t}" for t in range(max(ks)))
+    parts.append(f"""
+best AS MATERIALIZED ({chosen}),
+seed AS (SELECT k, cluster, pid FROM best JOIN ({drawn}) USING (start) WHERE cluster < k)""")
+    return parts
+
+
+def lloyd(ks: list[int], steps: int = STEPS) -> str:
+    """Centres c<steps> (k, cluster, i, v) and nearest centres a<steps> (pid, k, cluster, d) of spot and cell."""
+    parts = [
+        *seeding(ks),
+        """
 c0 AS MATERIALIZED (
-  SELECT r.k, s.cluster, d.i, COALESCE(c.v, 0) AS v
-  FROM (SELECT unnest({ks}) AS k) r JOIN seed s ON s.cluster < r.k CROSS JOIN (SELECT DISTINCT i FROM cell) d
+  SELECT s.k, s.cluster, d.i, COALESCE(c.v, 0) AS v
+  FROM seed s CROSS JOIN (SELECT DISTINCT i FROM cell) d
   LEFT JOIN cell c ON c.pid = s.pid AND c.i = d.i
-)"""
+)""",
     ]
     for t in range(steps + 1):
         parts.append(
