@@ -17,7 +17,8 @@ from tradewind.plans import pricing
 NAMES = [
     "monthly_churn_by_country", "cohort_retention_month", "impulsive_customers", "loyal_probability", "purchase_gaps",
     "stockout_rate", "weekly_series", "adjusted_price", "pricing_base", "channel_conversion_rate", "clean_behavior",
-    "purchase_averages", "new_vs_returning", "customers_by_country",
+    "purchase_averages", "new_vs_returning", "customers_by_country", "country_stockout", "campaign_engagement_boxplot",
+    "kpi_overview", "keyword_category", "profile_describe", "nested_session_metrics",
 ]
 
 
