@@ -3,6 +3,10 @@
 Every stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of
 `documents`. `run` applies them in turn; between stages the documents are written as Parquet in the shared
 folder and read again, so that no stage is ever recomputed for a later one.
+
+Defined results: a document with a null, empty or blank text fails the rules and goes; of repeated rows one stays;
+a row without an id is kept where no copy has one; extra columns travel with their row up to the encoding; an
+empty table passes through all stages as one.
 """
 
 import uuid
