@@ -363,14 +363,83 @@ def test_base_score_and_held_out_gain(docs):
         assert row["score"] < 0
 
 
-def test_the_model_is_a_distribution():
-    listed = maxent_lm.Listed((b"", b"a", b"b"), (5, 9, 3), 20, 5)
-    rng = np.random.default_rng(1)
-    weights = maxent_lm.Weights(listed, rng.normal(size=len(maxent_lm.Weights(listed).flat)).astype(np.float32))
-    total = 0.0
-    for token in (0, 1, 2, maxent_lm.REST):
-        total += 10 ** maxent_lm.log_chances(weights, np.array([1, 2, token]), np.array([0]))[2]
-    assert math.isclose(total, 1, rel_tol=1e-3)
+@pytest.mark.parametrize("distinct", [3, 40, 700, 17_000])
+def test_the_model_is_a_distribution(distinct):
+    counts = tuple(max(3, 50_000 // (i + 1)) for i in range(distinct))
+    listed = maxent_lm.Listed(tuple(b"%d" % i for i in range(distinct)), counts, sum(counts) + 9, distinct + 5)
+    model = maxent_lm.Model(listed)
+    model.weights = np.random.default_rng(1).normal(size=model.weights.shape).astype(np.float32)
+    texts = distinct + 1
+    ids = np.stack([np.full(texts, 1), np.full(texts, 2), np.arange(texts)], axis=1).ravel()
+    chances = 10 ** maxent_lm.log_chances(model, ids, np.arange(texts) * 3)
+    assert math.isclose(chances[2::3].sum(), 1, rel_tol=1e-3)
+
+
+def _small_model(size=300, seed=4):
+    rng = np.random.default_rng(seed)
+    # Words follow each other by a rule, with noise.
+    ids = [0]
+    for _ in range(4_000):
+        ids.append(int(rng.integers(1, size)) if rng.random() < 0.3 else (ids[-1] * 7 + 3) % size)
+    ids, starts = np.array(ids), np.arange(0, 4_000, 50)
+    counts = np.bincount(ids, minlength=size)
+    order = np.argsort(-counts[1:], kind="stable") + 1
+    place = np.zeros(size, dtype=np.int64)
+    place[order] = np.arange(1, size)
+    listed = maxent_lm.Listed((b"",) * size, (int(counts[0]), *counts[order].tolist()), len(ids), size)
+    model = maxent_lm.Model(listed)
+    return model, np.minimum(place[ids], model.rest), starts
+
+
+def test_sums_of_a_step_against_plain_loops():
+    model, ids, starts = _small_model()
+    model.weights = np.random.default_rng(2).normal(size=model.weights.shape).astype(np.float32)
+    taken, expected = np.zeros_like(model.weights), np.zeros_like(model.weights)
+    maxent_lm.add_taken(model, taken, ids, starts)
+    maxent_lm.add_expected(model, expected, ids, starts)
+    plain, wanted = Counter(), np.zeros(model.weights.shape)
+    rows, children, _ = model.decisions(ids, starts)
+    for own, child in zip(rows.tolist(), children.tolist(), strict=True):
+        scores = model.offset[model.node_of[own[0]]].astype(float) + sum(model.weights[r].astype(float) for r in own)
+        chances = np.exp(scores - scores.max())
+        for r in own:
+            plain[r, child] += 1
+            wanted[r] += chances / chances.sum()
+    assert {(r, c): taken[r, c] for r, c in zip(*np.nonzero(taken), strict=True)} == plain
+    assert np.allclose(expected, wanted, rtol=1e-3, atol=1e-3)
+
+
+def test_steps_raise_the_likelihood():
+    model, ids, starts = _small_model()
+    taken = np.zeros_like(model.weights)
+    maxent_lm.add_taken(model, taken, ids, starts)
+    found = [maxent_lm.log_chances(model, ids, starts).sum()]
+    for _ in range(4):
+        expected = np.zeros_like(model.weights)
+        maxent_lm.add_expected(model, expected, ids, starts)
+        model.weights = model.step(taken.astype(float), expected.astype(float))
+        found.append(maxent_lm.log_chances(model, ids, starts).sum())
+    assert found == sorted(found) and found[1] > found[0] + 100
+
+
+def test_the_first_step_needs_no_pass():
+    model, ids, starts = _small_model()
+    taken, expected = np.zeros_like(model.weights), np.zeros_like(model.weights)
+    maxent_lm.add_taken(model, taken, ids, starts)
+    maxent_lm.add_expected(model, expected, ids, starts)
+    by_frequency = taken.sum(axis=1, keepdims=True) * np.exp(model.offset[model.node_of])
+    assert np.allclose(expected, by_frequency, rtol=1e-3, atol=1e-3)
+
+
+def test_gain_on_held_out_texts_whatever_the_partitioning(spark, monkeypatch):
+    monkeypatch.setattr(maxent_lm, "TOKENS_PER_ROW", 1)
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    gains = []
+    for partitions in (1, 4, 40):
+        scored = maxent_lm.language_model_scores(docs.repartition(partitions)).where("held_out")
+        row = scored.selectExpr("sum(score - base_score) / sum(n_tokens) AS gain").first()
+        gains.append(row["gain"])
+    assert gains[0] > 0.1 and max(gains) - min(gains) < 5e-4
 
 
 def test_warc_files_hold_the_records(spark, folder, tmp_path):

@@ -1,17 +1,23 @@
 """A hashed maximum-entropy language model, and the unigram score it is compared with.
 
-P(word | history) = P(class | history) * P(word | class, history). Both factors are softmaxes over sums of
-weight rows, one row for each feature of the history: the word before (n-gram), the two words before (n-gram)
-and the second word before alone (skip). Features are hashed to a fixed number of rows. The most frequent
-tokens are dealt to classes by frequency; all other words form a class of their own, within which a word
-has its smoothed share of the counts, so that the model covers any text.
-
+A word is reached by a path of decisions through a tree of classes, 32 ways at each node, and
+P(word | history) is the product of the decisions' chances. Frequent words are two decisions away, rarer ones
+three to five. Each decision is a softmax over the node's frequencies plus sums of weight rows, one row for
+each feature of the history: the word before (n-gram), the two words before (n-gram) and the second word
+before alone (skip). Features are hashed to the rows of their node.
+
+* Size: every word that occurs MIN_COUNT times and makes up 1 / LISTED of all tokens is in the tree, so the
+  vocabulary grows with the corpus, up to LISTED words. All other words form one class, within which a word has
+  its smoothed share of the counts, so that the model covers any text. Rows grow with the square root of the
+  tokens, up to MAX_ROWS, and are dealt to the nodes by their frequency.
 * Counts: every training token counts. Tasks count their own documents; Spark adds the counts up.
-* Training: every task runs over its documents in mini-batches from the same start and returns what it
-  added to each row, weighted by how often the row was used. Spark adds these up in two steps; the driver
-  gets the sums, which are as large as the model, whatever the corpus.
-* Scoring: sparse batches in numpy. Counts of words too rare for the broadcast list, which is bounded by
-  construction, come from a join with the distributed count table.
+* Training: synchronous steps over all training documents. All tasks start a step from the same weights; Spark
+  adds up how often each decision was taken and expected under each row, in two rounds, and the driver gets the
+  sums, which are as large as the model. A weight moves by its gradient, taken less expected, over the
+  logarithmic mean of the two (generalised iterative scaling): no step lowers the likelihood of the training
+  texts, and the result does not depend on how the documents are dealt to tasks.
+* Scoring: sparse batches in numpy; equal histories of a batch are worked out once. Counts of words too rare for
+  the broadcast list, which is bounded by construction, come from a join with the distributed count table.
 
 Defined results: null and empty texts are the end token alone; a null doc_id counts as held out; repeated
 rows are scored alike, one result row each; without training documents every count is zero and N is 0; an
@@ -37,16 +43,21 @@ FOLDS, HELD_OUT = 10, 0
 SMOOTHING = 0.1
 # A token is listed if it makes up 1 / LISTED of all tokens, so there are LISTED at most.
 LISTED = 500_000
-CLASSES, CLASS_SIZE = 32, 32
-VOCABULARY = CLASSES * CLASS_SIZE
-END, REST, START = 0, VOCABULARY, VOCABULARY + 1
-ROWS = 1 << 14
-RATE = 0.2
-ROUNDS = 1
-BATCH = 8_192
+MIN_COUNT = 3
+END = 0
+# Ways at a node; children of the root that are classes of words, and of classes of words.
+WIDTH, SHORT, MIDDLE = 32, 16, 15
+ROWS_PER_ROOT, MAX_ROWS = 16, 1 << 20
+# Shares of a step by feature: the word before, the two words before, the second word before.
+SHARES = (0.4, 0.4, 0.2)
+STEPS = 2
+PRIOR = 10.0
+BLOCK = 8_192
+# A task of a step has this many tokens for each row at least, so that the sums it sends are small beside its texts.
+TOKENS_PER_ROW = 64
 CHARS_AT_ONCE = 2_000_000
 DISTINCT_HELD = 400_000
-# The weights travel in this many pieces; partial sums of tasks are formed in as many groups.
+# The sums travel in this many pieces; partial sums of tasks are formed in as many groups.
 PIECES = 64
 _END_TOKEN = b""
 _NO_CHANCE = np.float32(-1e4)
@@ -95,10 +106,15 @@ class Listed(NamedTuple):
     def base_mass(self) -> float:
         return self.n + SMOOTHING * (self.distinct + 1)
 
+    @property
+    def vocabulary(self) -> int:
+        """How many listed tokens are in the tree; the end token always is."""
+        return 1 + sum(c >= MIN_COUNT for c in self.counts[1:])
+
     @property
     def rest_mass(self) -> float:
         """Smoothed mass of the words outside the vocabulary of the model."""
-        inside = min(len(self.tokens), VOCABULARY)
+        inside = self.vocabulary
         return self.n - sum(self.counts[:inside]) + SMOOTHING * (max(0, self.distinct - inside) + 1)
 
 
@@ -115,95 +131,147 @@ def listed_tokens(counts: DataFrame) -> Listed:
 # --- the model -------------------------------------------------------------------
 
 
-class Weights:
-    """`classes` (rows, classes + 1) and `words` (rows, class size), and the frequencies as fixed offsets."""
-
-    def __init__(self, listed: Listed, flat: np.ndarray | None = None):
-        if flat is None:
-            flat = np.zeros(ROWS * (CLASSES + 1 + CLASS_SIZE), dtype=np.float32)
-        self.flat = flat
-        self.classes = flat[: ROWS * (CLASSES + 1)].reshape(ROWS, CLASSES + 1)
-        self.words = flat[ROWS * (CLASSES + 1) :].reshape(ROWS, CLASS_SIZE)
-        counts = np.zeros(VOCABULARY)
-        inside = min(len(listed.tokens), VOCABULARY)
-        counts[:inside] = np.array(listed.counts[:inside]) + SMOOTHING
-        counts = counts.reshape(CLASSES, CLASS_SIZE)
-        masses = np.r_[counts.sum(axis=1), listed.rest_mass]
-        with np.errstate(divide="ignore"):
-            self.class_offset = np.maximum(_NO_CHANCE, np.log(masses)).astype(np.float32)
-            self.word_offset = np.maximum(_NO_CHANCE, np.log(counts)).astype(np.float32)
-
+def _paths(vocabulary: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+    """Nodes and children of all words' decisions, one word after the other; their numbers; how many nodes there are.
 
-def _row(template: int, *ids: np.ndarray) -> np.ndarray:
-    value = np.full(len(ids[0]), template, dtype=np.uint64)
+    The last word stands for all words outside the vocabulary.
+    """
+    word = np.arange(vocabulary, dtype=np.int64)
+    short, middle = SHORT * WIDTH, MIDDLE * WIDTH * WIDTH
+    root, tail = 0, 1
+    nodes = np.full((vocabulary + 1, 5), -1, dtype=np.int64)
+    children = np.zeros((vocabulary + 1, 5), dtype=np.int64)
+    numbered = 2
+
+    def layer(members: np.ndarray, rank: np.ndarray, level: int, depth: int) -> None:
+        """Decisions `level` and on: those below a class of WIDTH ** depth words."""
+        nonlocal numbered
+        for d in range(depth, 0, -1):
+            group = rank // WIDTH**d
+            nodes[members, level] = numbered + group
+            children[members, level] = rank // WIDTH ** (d - 1) % WIDTH
+            numbered += int(group.max()) + 1 if len(group) else 0
+            level += 1
+
+    nodes[:, 0] = root
+    few = word[:short]
+    children[few, 0] = few // WIDTH
+    layer(few, few, 1, 1)
+    some = word[short : short + middle]
+    rank = some - short
+    children[some, 0] = SHORT + rank // WIDTH**2
+    layer(some, rank, 1, 2)
+    many = word[short + middle :]
+    rank = many - short - middle
+    children[many, 0] = children[vocabulary, 0] = WIDTH - 1
+    nodes[many, 1] = nodes[vocabulary, 1] = tail
+    children[many, 1] = rank // WIDTH**3
+    children[vocabulary, 1] = WIDTH - 1
+    layer(many, rank, 2, 3)
+    used = nodes >= 0
+    return nodes[used], children[used], used.sum(axis=1), numbered
+
+
+class Model:
+    """The tree of classes, the frequencies at its nodes as fixed offsets, and `weights` (rows, WIDTH)."""
+
+    def __init__(self, listed: Listed, weights: np.ndarray | None = None):
+        self.rest = listed.vocabulary
+        self.nodes, self.children, self.depth, n = _paths(self.rest)
+        self.first = np.cumsum(self.depth) - self.depth
+        mass = np.r_[np.array(listed.counts[: self.rest]) + SMOOTHING, listed.rest_mass]
+        masses = np.bincount(self.nodes * WIDTH + self.children, np.repeat(mass, self.depth), n * WIDTH).reshape(n, WIDTH)
+        total = masses.sum(axis=1)
+        with np.errstate(divide="ignore"):
+            self.offset = np.maximum(_NO_CHANCE, np.log(masses / np.maximum(total, 1e-300)[:, None])).astype(np.float32)
+        # Each node has as many rows for each feature.
+        wanted = min(MAX_ROWS, ROWS_PER_ROOT * listed.n**0.5) / len(SHARES)
+        self.size = 1 + (wanted * total / total.sum()).astype(np.uint64)
+        ends = np.cumsum(self.size) * np.uint64(len(SHARES))
+        self.base = ends - self.size * np.uint64(len(SHARES))
+        self.rows = int(ends[-1])
+        self.node_of = np.repeat(np.arange(n), self.size.astype(np.int64) * len(SHARES))
+        template = np.arange(self.rows, dtype=np.uint64) - self.base[self.node_of]
+        self.share = np.array(SHARES)[(template // self.size[self.node_of]).astype(np.int64)]
+        self.weights = np.zeros((self.rows, WIDTH), dtype=np.float32) if weights is None else weights
+
+    def decisions(self, ids: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of all tokens of some texts: rows (decisions, 3) and child of each decision, and its token."""
+        depth = self.depth[ids]
+        ends = np.cumsum(depth)
+        token = np.repeat(np.arange(len(ids)), depth)
+        at = np.repeat(self.first[ids] - (ends - depth), depth) + np.arange(len(token))
+        node = self.nodes[at]
+        size, base = self.size[node], self.base[node]
+        rows = np.empty((len(token), len(SHARES)), dtype=np.int64)
+        before, second = histories(ids, starts, self.rest + 1)
+        for j, feature in enumerate((_hash(before), _hash(before, second), _hash(second))):
+            rows[:, j] = base + np.uint64(j) * size + ((feature[token] * size) >> np.uint64(32))
+        return rows, self.children[at], token
+
+    def chances(self, rows: np.ndarray) -> np.ndarray:
+        """P(child) at every decision."""
+        found = self.offset[self.node_of[rows[:, 0]]]
+        for j in range(rows.shape[1]):
+            found += np.take(self.weights, rows[:, j], axis=0, mode="clip")
+        found -= found.max(axis=1, keepdims=True)
+        np.exp(found, out=found)
+        found /= found.sum(axis=1, keepdims=True)
+        return found
+
+    def step(self, taken: np.ndarray, expected: np.ndarray) -> np.ndarray:
+        """The weights after a step: gradients over logarithmic means, each row with PRIOR decisions more, as expected."""
+        uses = taken.sum(axis=1, keepdims=True)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            prior = PRIOR * expected / uses
+            move = np.log((taken + prior) / (expected + prior)) * self.share[:, None]
+        return (self.weights + np.where(np.isfinite(move), move, 0.0)).astype(np.float32)
+
+
+def _hash(*ids: np.ndarray) -> np.ndarray:
+    """32 bits of each history."""
+    value = np.full(len(ids[0]), len(ids), dtype=np.uint64)
     for x in ids:
         value += x.astype(np.uint64)
         value += np.uint64(1)
         value *= np.uint64(0x9E3779B97F4A7C15)
         value ^= value >> np.uint64(29)
-    return (value & np.uint64(ROWS - 1)).astype(np.uint16)
+    return (value * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(32)
 
 
-def histories(ids: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def histories(ids: np.ndarray, starts: np.ndarray, start: int) -> tuple[np.ndarray, np.ndarray]:
     """The word before and the second word before each token; `starts` begin a text."""
-    before = np.r_[START, ids[:-1]]
-    before[starts] = START
-    second = np.r_[START, before[:-1]]
-    second[starts] = START
+    before = np.r_[start, ids[:-1]]
+    before[starts] = start
+    second = np.r_[start, before[:-1]]
+    second[starts] = start
     return before, second
 
 
-def class_rows(before: np.ndarray, second: np.ndarray) -> np.ndarray:
-    """(tokens, 3) rows for the class of a token."""
-    return np.stack([_row(1, before), _row(2, before, second), _row(3, second)], axis=1)
-
-
-def word_rows(kind: np.ndarray, before: np.ndarray, second: np.ndarray) -> np.ndarray:
-    """(tokens, 3) rows for the word within its class."""
-    return np.stack([_row(4, kind, before), _row(5, kind, before, second), _row(6, kind, second)], axis=1)
+def _runs(sorted_values: np.ndarray) -> np.ndarray:
+    """Where runs of equal values begin."""
+    return np.flatnonzero(np.r_[True, sorted_values[1:] != sorted_values[:-1]])
 
 
-def _softmax(scores: np.ndarray) -> np.ndarray:
-    scores -= scores.max(axis=1, keepdims=True)
-    np.exp(scores, out=scores)
-    scores /= scores.sum(axis=1, keepdims=True)
-    return scores
+def _blocks(rows: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Distinct rows of decisions in blocks, with the decisions that have them and their place in the block."""
+    key = (rows[:, 0] << 42) | (rows[:, 1] << 21) | rows[:, 2]
+    order = np.argsort(key, kind="stable")
+    first = _runs(key[order])
+    ends = np.r_[first[1:], len(order)]
+    for at in range(0, len(first), BLOCK):
+        own = slice(at, at + BLOCK)
+        counts = ends[own] - first[own]
+        yield rows[order[first[own]]], order[first[at] : ends[own][-1]], np.repeat(np.arange(len(counts)), counts)
 
 
-def _logits(table: np.ndarray, rows: np.ndarray, offset: np.ndarray) -> np.ndarray:
-    found = np.take(table, rows[:, 0], axis=0, mode="clip")
-    for j in range(1, rows.shape[1]):
-        found += np.take(table, rows[:, j], axis=0, mode="clip")
-    found += offset
-    return found
-
-
-class _Batch:
-    """Both softmaxes for a range of tokens; `inside` are those in the vocabulary."""
-
-    def __init__(self, weights: Weights, ids: np.ndarray, before: np.ndarray, second: np.ndarray):
-        self.kind = ids // CLASS_SIZE
-        self.class_rows = class_rows(before, second)
-        self.by_class = _softmax(_logits(weights.classes, self.class_rows, weights.class_offset))
-        self.inside = np.flatnonzero(ids < VOCABULARY)
-        kind = self.kind[self.inside]
-        self.word_rows = word_rows(kind, before[self.inside], second[self.inside])
-        self.by_word = _softmax(_logits(weights.words, self.word_rows, weights.word_offset[kind]))
-        self.class_places = (np.arange(len(ids)), self.kind)
-        self.word_places = (np.arange(len(self.inside)), ids[self.inside] % CLASS_SIZE)
-
-
-def log_chances(weights: Weights, ids: np.ndarray, starts: np.ndarray) -> np.ndarray:
+def log_chances(model: Model, ids: np.ndarray, starts: np.ndarray) -> np.ndarray:
     """log10 P(token | history) by token; for words outside the vocabulary, of their class only."""
-    before, second = histories(ids, starts)
-    found = np.empty(len(ids))
-    for at in range(0, len(ids), BATCH):
-        part = slice(at, at + BATCH)
-        batch = _Batch(weights, ids[part], before[part], second[part])
-        chance = batch.by_class[batch.class_places].astype(np.float64)
-        chance[batch.inside] *= batch.by_word[batch.word_places]
-        found[part] = np.log10(np.maximum(chance, 1e-300))
-    return found
+    rows, child, token = model.decisions(ids, starts)
+    chance = np.empty(len(rows), dtype=np.float64)
+    for own, members, place in _blocks(rows):
+        chance[members] = model.chances(own)[place, child[members]]
+    return np.bincount(token, np.log10(np.maximum(chance, 1e-300)), len(ids))
 
 
 def _sum_runs(values: np.ndarray, source: np.ndarray, first: np.ndarray, length: np.ndarray) -> np.ndarray:
@@ -220,39 +288,22 @@ def _sum_runs(values: np.ndarray, source: np.ndarray, first: np.ndarray, length:
     return total
 
 
-class Trainer:
-    """Mini-batches with a step size per weight that shrinks with the squares of its gradients."""
+def add_taken(model: Model, sums: np.ndarray, ids: np.ndarray, starts: np.ndarray) -> None:
+    """Count the decisions taken, by row and child."""
+    rows, child, _ = model.decisions(ids, starts)
+    np.add.at(sums.reshape(-1), (rows * WIDTH + child[:, None]).ravel(), np.float32(1))
 
-    def __init__(self, weights: Weights):
-        self.weights = weights
-        self.squares = [np.full_like(table, 1e-6) for table in (weights.classes, weights.words)]
-        self.uses = [np.zeros(ROWS), np.zeros(ROWS)]
 
-    def _step(self, k: int, table: np.ndarray, rows: np.ndarray, gradient: np.ndarray) -> None:
-        if not len(rows):
-            return
-        # Sum the gradients of each used row: sort the uses by row, add up the runs of a row.
-        used = rows.ravel()
+def add_expected(model: Model, sums: np.ndarray, ids: np.ndarray, starts: np.ndarray) -> None:
+    """Add the chances of all children at the decisions met, by row."""
+    rows, _, _ = model.decisions(ids, starts)
+    for own, _, place in _blocks(rows):
+        chance = model.chances(own) * np.bincount(place, minlength=len(own)).astype(np.float32)[:, None]
+        used = own.ravel()
         order = np.argsort(used, kind="stable")
-        used = used[order]
-        first = np.flatnonzero(np.r_[True, used[1:] != used[:-1]])
+        first = _runs(used[order])
         length = np.diff(np.r_[first, len(order)])
-        total = _sum_runs(gradient, order // rows.shape[1], first, length)
-        used = used[first]
-        self.uses[k][used] += length
-        squares = self.squares[k][used] + total * total
-        self.squares[k][used] = squares
-        table[used] -= RATE * total / np.sqrt(squares)
-
-    def learn(self, ids: np.ndarray, starts: np.ndarray) -> None:
-        before, second = histories(ids, starts)
-        for at in range(0, len(ids), BATCH):
-            part = slice(at, at + BATCH)
-            batch = _Batch(self.weights, ids[part], before[part], second[part])
-            batch.by_class[batch.class_places] -= 1
-            batch.by_word[batch.word_places] -= 1
-            self._step(0, self.weights.classes, batch.class_rows, batch.by_class)
-            self._step(1, self.weights.words, batch.word_rows, batch.by_word)
+        sums[used[order[first]]] += _sum_runs(chance, order // own.shape[1], first, length)
 
 
 def _texts(batch: pa.RecordBatch) -> Iterator[tuple[int, list[bytes]]]:
@@ -274,89 +325,82 @@ def _numbered(texts: list[bytes], index: dict[bytes, int]) -> tuple[list[list[by
     return words, np.array(found, dtype=np.int64), starts
 
 
-def _ids(places: np.ndarray) -> np.ndarray:
-    return np.where((places < 0) | (places >= VOCABULARY), REST, places)
+def _ids(places: np.ndarray, rest: int) -> np.ndarray:
+    return np.where((places < 0) | (places >= rest), rest, places)
 
 
 # --- training ----------------------------------------------------------------------
 
 
-def _train_batches(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatch]:
-    """What a task's documents add to the weights, times the uses of each row, and these uses."""
-    listed, flat = shared.value
-    index = {token: i for i, token in enumerate(listed.tokens)}
-    weights = Weights(listed, flat.copy())
-    trainer = Trainer(weights)
-    seen = False
+def _sum_batches(batches: Iterator[pa.RecordBatch], shared, add) -> Iterator[pa.RecordBatch]:
+    """What `add` sums up over a task's documents, in pieces."""
+    listed, weights = shared.value
+    model = Model(listed, weights)
+    index = {token: i for i, token in enumerate(listed.tokens[: model.rest])}
+    sums = None
     for batch in batches:
         for _, texts in _texts(batch):
+            if sums is None:
+                sums = np.zeros((model.rows, WIDTH), dtype=np.float32)
             _, places, starts = _numbered(texts, index)
-            trainer.learn(_ids(places), starts)
-            seen = True
-    if seen:
-        start = Weights(listed, flat)
-        parts = []
-        for new, old, uses in zip(
-            (weights.classes, weights.words), (start.classes, start.words), trainer.uses, strict=True
-        ):
-            parts += [((new - old) * uses[:, None].astype(np.float32)), uses[:, None].astype(np.float32)]
-        rows = np.concatenate(parts, axis=1)
+            add(model, sums, _ids(places, model.rest), starts)
+    if sums is not None:
         task = TaskContext.get().partitionId()
-        pieces = [piece.astype("<f4").tobytes() for piece in np.array_split(rows, PIECES)]
-        columns = [
-            pa.array(np.arange(PIECES, dtype=np.int32)),
-            pa.array(np.full(PIECES, task % PIECES, dtype=np.int32)),
-            pa.array(np.full(PIECES, task, dtype=np.int32)),
-            pa.array(pieces, pa.binary()),
-        ]
-        yield pa.RecordBatch.from_arrays(columns, ["piece", "part", "task", "sums"])
-
-
-def _add_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Adds up neighbouring rows of a piece and group, in their order."""
+        for piece, part in enumerate(np.array_split(sums, PIECES)):
+            columns = [pa.array([x], pa.int32()) for x in (piece, task % PIECES, task)]
+            columns.append(pa.array([part.astype("<f4").tobytes()], pa.binary()))
+            yield pa.RecordBatch.from_arrays(columns, ["piece", "part", "task", "sums"])
+
+
+def _add_batches(batches: Iterator[pa.RecordBatch], kind: str) -> Iterator[pa.RecordBatch]:
+    """Adds up neighbouring rows of a piece and group, in their order; `kind` is that of the numbers taken in."""
     key, total = None, None
 
     def row():
-        columns = [pa.array([x], pa.int32()) for x in (*key, 0)] + [pa.array([total.astype("<f4").tobytes()], pa.binary())]
+        columns = [pa.array([x], pa.int32()) for x in (*key, 0)] + [pa.array([total.tobytes()], pa.binary())]
         return pa.RecordBatch.from_arrays(columns, ["piece", "part", "task", "sums"])
 
     for batch in batches:
         for piece, part, sums in zip(*[batch.column(c) for c in ("piece", "part", "sums")], strict=True):
-            own, value = (piece.as_py(), part.as_py()), np.frombuffer(sums.as_buffer(), dtype="<f4")
+            own, value = (piece.as_py(), part.as_py()), np.frombuffer(sums.as_buffer(), dtype=kind)
             if own == key:
                 total += value
             else:
                 if key is not None:
                     yield row()
-                key, total = own, value.astype(np.float64)
+                key, total = own, value.astype("<f8")
     if key is not None:
         yield row()
 
 
-def train(training: DataFrame, listed: Listed) -> np.ndarray:
-    """The weights after ROUNDS passes over all training documents."""
+def _summed(training: DataFrame, listed: Listed, model: Model, add) -> np.ndarray | None:
+    """The sums of `add` over all training documents; None without any."""
     schema = "piece int, part int, task int, sums binary"
-    flat = Weights(listed).flat
-    for _ in range(ROUNDS):
-        shared = training.sparkSession.sparkContext.broadcast((listed, flat))
-        added = training.select("text").mapInArrow(partial(_train_batches, shared=shared), schema)
-        for keys in (["piece", "part"], ["piece"]):
-            if keys == ["piece"]:
-                added = added.select("piece", F.lit(0).alias("part"), F.col("part").alias("task"), "sums")
-            added = added.repartition(*keys).sortWithinPartitions("piece", "part", "task").mapInArrow(_add_batches, schema)
-        # PIECES rows that make up one model.
-        rows = sorted((row["piece"], row["sums"]) for row in added.collect())
-        if not rows:
-            return flat
-        width = CLASSES + 1 + 1 + CLASS_SIZE + 1
-        sums = np.concatenate([np.frombuffer(x, dtype="<f4").reshape(-1, width) for _, x in rows])
-        new, at = Weights(listed, flat.copy()), 0
-        for table in (new.classes, new.words):
-            size = table.shape[1]
-            table += sums[:, at : at + size] / np.maximum(1, sums[:, at + size, None])
-            at += size + 1
-        flat = new.flat
-    return flat
+    shared = training.sparkSession.sparkContext.broadcast((listed, model.weights))
+    tasks = 1 + listed.n // (TOKENS_PER_ROW * model.rows)
+    added = training.select("text").coalesce(tasks).mapInArrow(partial(_sum_batches, shared=shared, add=add), schema)
+    for keys, kind in ((["piece", "part"], "<f4"), (["piece"], "<f8")):
+        if keys == ["piece"]:
+            added = added.select("piece", F.lit(0).alias("part"), F.col("part").alias("task"), "sums")
+        ordered = added.repartition(*keys).sortWithinPartitions("piece", "part", "task")
+        added = ordered.mapInArrow(partial(_add_batches, kind=kind), schema)
+    # PIECES rows that are as large as the model.
+    pieces = sorted((row["piece"], row["sums"]) for row in added.collect())
+    return np.concatenate([np.frombuffer(x, dtype="<f8").reshape(-1, WIDTH) for _, x in pieces]) if pieces else None
+
+
+def train(training: DataFrame, listed: Listed, steps: int = STEPS) -> np.ndarray:
+    """The weights after some steps over all training documents."""
+    model = Model(listed)
+    taken = _summed(training, listed, model, add_taken)
+    for k in range(steps if taken is not None else 0):
+        if k == 0:
+            # Without weights, what is expected follows from the frequencies alone.
+            expected = taken.sum(axis=1, keepdims=True) * np.exp(model.offset[model.node_of])
+        else:
+            expected = _summed(training, listed, model, add_expected)
+        model.weights = model.step(taken, expected)
+    return model.weights
 
 
 # --- scoring -----------------------------------------------------------------------
@@ -373,9 +417,9 @@ def _score_batches(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.Rec
 
     `base` and `model` lack only the log10(c + 0.1) of the unlisted words.
     """
-    listed, flat = shared.value
+    listed, weights = shared.value
     index = {token: i for i, token in enumerate(listed.tokens)}
-    weights = Weights(listed, flat)
+    lm = Model(listed, weights)
     logs = np.log10(np.array(listed.counts) + SMOOTHING)
     known = np.array(listed.counts) > 0
     base_mass, rest_mass = np.log10(listed.base_mass), np.log10(listed.rest_mass)
@@ -383,11 +427,11 @@ def _score_batches(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.Rec
         ids_column, held_column = batch.column("doc_id").to_pylist(), batch.column("held_out").to_pylist()
         for offset, texts in _texts(batch):
             words, places, starts = _numbered(texts, index)
-            ids = _ids(places)
+            ids = _ids(places, lm.rest)
             own = np.where(places >= 0, logs[places], 0.0)
             base = np.add.reduceat(own - base_mass, starts)
-            outside = np.where(ids == REST, own - rest_mass, 0.0)
-            model = np.add.reduceat(log_chances(weights, ids, starts) + outside, starts)
+            outside = np.where(ids == lm.rest, own - rest_mass, 0.0)
+            model = np.add.reduceat(log_chances(lm, ids, starts) + outside, starts)
             in_list = np.add.reduceat(((places >= 0) & known[places]).astype(np.int64), starts)
             unlisted = np.split(places < 0, starts[1:])
             columns: list[list] = [[] for _ in _SCORED]
@@ -407,9 +451,9 @@ def _score_batches(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.Rec
             yield pa.RecordBatch.from_arrays(arrays, [name for name, _ in _SCORED])
 
 
-def score(docs: DataFrame, listed: Listed, flat: np.ndarray, counts: DataFrame) -> DataFrame:
+def score(docs: DataFrame, listed: Listed, weights: np.ndarray, counts: DataFrame) -> DataFrame:
     """One row per document with both scores."""
-    shared = docs.sparkSession.sparkContext.broadcast((listed, flat))
+    shared = docs.sparkSession.sparkContext.broadcast((listed, weights))
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), held_out().alias("held_out"), "text")
     schema = ", ".join(f"{name} {kind}" for name, kind in _SCORED)
     found = rows.mapInArrow(partial(_score_batches, shared=shared), schema)
