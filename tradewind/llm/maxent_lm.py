@@ -27,6 +27,7 @@ empty table gives an empty table; extra columns play no part.
 from collections import Counter
 from collections.abc import Iterator
 from functools import partial
+from itertools import compress
 from typing import NamedTuple
 
 import numpy as np
@@ -45,14 +46,14 @@ SMOOTHING = 0.1
 LISTED = 500_000
 MIN_COUNT = 3
 END = 0
-# Ways at a node; children of the root that are classes of words, and of classes of words.
-WIDTH, SHORT, MIDDLE = 32, 16, 15
+# Ways at a node; children of the root below which a word is one, two or three decisions away. One is left for the tail.
+WIDTH, NEAR = 32, (16, 11, 4)
 ROWS_PER_ROOT, MAX_ROWS = 16, 1 << 20
 # Shares of a step by feature: the word before, the two words before, the second word before.
 SHARES = (0.4, 0.4, 0.2)
 STEPS = 2
 PRIOR = 10.0
-BLOCK = 8_192
+BLOCK = 16_384
 # A task of a step has this many tokens for each row at least, so that the sums it sends are small beside its texts.
 TOKENS_PER_ROW = 64
 CHARS_AT_ONCE = 2_000_000
@@ -136,38 +137,33 @@ def _paths(vocabulary: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
 
     The last word stands for all words outside the vocabulary.
     """
-    word = np.arange(vocabulary, dtype=np.int64)
-    short, middle = SHORT * WIDTH, MIDDLE * WIDTH * WIDTH
-    root, tail = 0, 1
+    root, tail, numbered = 0, 1, 2
     nodes = np.full((vocabulary + 1, 5), -1, dtype=np.int64)
     children = np.zeros((vocabulary + 1, 5), dtype=np.int64)
-    numbered = 2
+    nodes[:, 0] = root
+    start = child = 0
 
-    def layer(members: np.ndarray, rank: np.ndarray, level: int, depth: int) -> None:
-        """Decisions `level` and on: those below a class of WIDTH ** depth words."""
+    def layer(classes: int, at: int, child: int, depth: int) -> int:
+        """The next words: the decision that takes one of so many classes from `child` on, and those below it."""
         nonlocal numbered
+        words = np.arange(start, min(vocabulary, start + classes * WIDTH**depth))
+        rank = words - start
+        children[words, at] = child + rank // WIDTH**depth
         for d in range(depth, 0, -1):
+            at += 1
             group = rank // WIDTH**d
-            nodes[members, level] = numbered + group
-            children[members, level] = rank // WIDTH ** (d - 1) % WIDTH
-            numbered += int(group.max()) + 1 if len(group) else 0
-            level += 1
-
-    nodes[:, 0] = root
-    few = word[:short]
-    children[few, 0] = few // WIDTH
-    layer(few, few, 1, 1)
-    some = word[short : short + middle]
-    rank = some - short
-    children[some, 0] = SHORT + rank // WIDTH**2
-    layer(some, rank, 1, 2)
-    many = word[short + middle :]
-    rank = many - short - middle
-    children[many, 0] = children[vocabulary, 0] = WIDTH - 1
-    nodes[many, 1] = nodes[vocabulary, 1] = tail
-    children[many, 1] = rank // WIDTH**3
+            nodes[words, at] = numbered + group
+            children[words, at] = rank // WIDTH ** (d - 1) % WIDTH
+            numbered += int(group[-1]) + 1 if len(group) else 0
+        return start + len(words)
+
+    for depth, classes in enumerate(NEAR, 1):
+        start = layer(classes, 0, child, depth)
+        child += classes
+    # The tail's last child is the class of all words outside.
+    children[start:, 0], nodes[start:, 1] = child, tail
+    start = layer(WIDTH - 1, 1, 0, 3)
     children[vocabulary, 1] = WIDTH - 1
-    layer(many, rank, 2, 3)
     used = nodes >= 0
     return nodes[used], children[used], used.sum(axis=1), numbered
 
@@ -209,15 +205,16 @@ class Model:
             rows[:, j] = base + np.uint64(j) * size + ((feature[token] * size) >> np.uint64(32))
         return rows, self.children[at], token
 
-    def chances(self, rows: np.ndarray) -> np.ndarray:
-        """P(child) at every decision."""
+    def odds(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Each child's share at every decision, and the sum of the shares.
+
+        A step moves a sum of weights by the logarithm of the tokens at most, so no exponent overflows.
+        """
         found = self.offset[self.node_of[rows[:, 0]]]
         for j in range(rows.shape[1]):
             found += np.take(self.weights, rows[:, j], axis=0, mode="clip")
-        found -= found.max(axis=1, keepdims=True)
         np.exp(found, out=found)
-        found /= found.sum(axis=1, keepdims=True)
-        return found
+        return found, found.sum(axis=1)
 
     def step(self, taken: np.ndarray, expected: np.ndarray) -> np.ndarray:
         """The weights after a step: gradients over logarithmic means, each row with PRIOR decisions more, as expected."""
@@ -256,7 +253,7 @@ def _runs(sorted_values: np.ndarray) -> np.ndarray:
 def _blocks(rows: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """Distinct rows of decisions in blocks, with the decisions that have them and their place in the block."""
     key = (rows[:, 0] << 42) | (rows[:, 1] << 21) | rows[:, 2]
-    order = np.argsort(key, kind="stable")
+    order = np.argsort(key)
     first = _runs(key[order])
     ends = np.r_[first[1:], len(order)]
     for at in range(0, len(first), BLOCK):
@@ -270,7 +267,8 @@ def log_chances(model: Model, ids: np.ndarray, starts: np.ndarray) -> np.ndarray
     rows, child, token = model.decisions(ids, starts)
     chance = np.empty(len(rows), dtype=np.float64)
     for own, members, place in _blocks(rows):
-        chance[members] = model.chances(own)[place, child[members]]
+        odds, total = model.odds(own)
+        chance[members] = odds[place, child[members]] / total[place]
     return np.bincount(token, np.log10(np.maximum(chance, 1e-300)), len(ids))
 
 
@@ -298,12 +296,16 @@ def add_expected(model: Model, sums: np.ndarray, ids: np.ndarray, starts: np.nda
     """Add the chances of all children at the decisions met, by row."""
     rows, _, _ = model.decisions(ids, starts)
     for own, _, place in _blocks(rows):
-        chance = model.chances(own) * np.bincount(place, minlength=len(own)).astype(np.float32)[:, None]
-        used = own.ravel()
-        order = np.argsort(used, kind="stable")
-        first = _runs(used[order])
-        length = np.diff(np.r_[first, len(order)])
-        sums[used[order[first]]] += _sum_runs(chance, order // own.shape[1], first, length)
+        chance, total = model.odds(own)
+        chance *= (np.bincount(place, minlength=len(own)) / total).astype(np.float32)[:, None]
+        # Blocks are ordered by their first row.
+        first = _runs(own[:, 0])
+        sums[own[first, 0]] += np.add.reduceat(chance, first, axis=0)
+        for used in own.T[1:]:
+            order = np.argsort(used)
+            first = _runs(used[order])
+            length = np.diff(np.r_[first, len(order)])
+            sums[used[order[first]]] += _sum_runs(chance, order, first, length)
 
 
 def _texts(batch: pa.RecordBatch) -> Iterator[tuple[int, list[bytes]]]:
@@ -313,14 +315,24 @@ def _texts(batch: pa.RecordBatch) -> Iterator[tuple[int, list[bytes]]]:
         yield start, texts[start:end]
 
 
-def _numbered(texts: list[bytes], index: dict[bytes, int]) -> tuple[list[list[bytes]], np.ndarray, np.ndarray]:
+class Places(dict):
+    """Token to place in the list; -1 for all others."""
+
+    def __init__(self, tokens: tuple[bytes, ...]):
+        super().__init__(zip(tokens, range(len(tokens)), strict=True))
+
+    def __missing__(self, token: bytes) -> int:
+        return -1
+
+
+def _numbered(texts: list[bytes], index: Places) -> tuple[list[list[bytes]], np.ndarray, np.ndarray]:
     """Words by text; places in the list (-1: not listed) of all tokens, and where texts start."""
-    place = index.get
+    place = index.__getitem__
     words = [text.lower().split() for text in texts]
     starts = np.cumsum([0, *[len(w) + 1 for w in words[:-1]]])
     found: list[int] = []
     for own in words:
-        found += [place(w, -1) for w in own]
+        found.extend(map(place, own))
         found.append(END)
     return words, np.array(found, dtype=np.int64), starts
 
@@ -336,7 +348,7 @@ def _sum_batches(batches: Iterator[pa.RecordBatch], shared, add) -> Iterator[pa.
     """What `add` sums up over a task's documents, in pieces."""
     listed, weights = shared.value
     model = Model(listed, weights)
-    index = {token: i for i, token in enumerate(listed.tokens[: model.rest])}
+    index = Places(listed.tokens[: model.rest])
     sums = None
     for batch in batches:
         for _, texts in _texts(batch):
@@ -418,7 +430,7 @@ def _score_batches(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.Rec
     `base` and `model` lack only the log10(c + 0.1) of the unlisted words.
     """
     listed, weights = shared.value
-    index = {token: i for i, token in enumerate(listed.tokens)}
+    index = Places(listed.tokens)
     lm = Model(listed, weights)
     logs = np.log10(np.array(listed.counts) + SMOOTHING)
     known = np.array(listed.counts) > 0
@@ -441,7 +453,7 @@ def _score_batches(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.Rec
                 row = (key, b"\xff" + key, 0, doc_id, held_column[offset + i], len(own_words) + 1, int(in_list[i]), base[i], model[i])
                 for column, value in zip(columns, row, strict=True):
                     column.append(value)
-                rare = Counter(own_words[j] for j in np.flatnonzero(missing).tolist())
+                rare = Counter(compress(own_words, missing.tolist()))
                 columns[0] += [key] * len(rare)
                 columns[1] += rare.keys()
                 columns[2] += rare.values()
