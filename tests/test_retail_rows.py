@@ -3,6 +3,7 @@
 import datetime as dt
 import random
 
+import numpy as np
 import pytest
 
 from tradewind.functions import labels
@@ -234,6 +235,40 @@ def test_forecast_of_a_single_week(spark):
     assert {(r["forecast"], r["lower"], r["upper"]) for r in got} == {(6.0, 6.0, 6.0)}
 
 
+def test_forecast_over_years_of_53_weeks_and_unknown_quantities(spark):
+    first, days = dt.date(2008, 12, 29), range(0, 330 * 7, 21)
+    known = {d: (d * 37 % 101) - 20 for d in days if d % 5}
+    sold = [line(quantity=known.get(d, 999), when=str(first + dt.timedelta(days=d))) for d in days]
+    n = days[-1] // 7 + 1
+    y = np.zeros(n)
+    y[[d // 7 for d in days]] = [known.get(d, np.nan) for d in days]
+    sunday = [first + dt.timedelta(days=6 + 7 * i) for i in range(n + 52)]
+    week = np.array([d.isocalendar()[1] for d in sunday])
+    t = np.arange(n + 52)
+    is_known = ~np.isnan(y)
+    slope, intercept = np.polyfit(t[:n][is_known], y[is_known], 1)
+    residual = y - intercept - slope * t[:n]
+    season = [np.nanmean(residual[week[:n] == w]) for w in week[n:]]
+    yhat = intercept + slope * t[n:] + season
+    recent = y[-10:]
+    level = yhat - yhat.mean() + np.nansum(recent) / 10
+    spread = np.nansum(residual**2) - np.nansum(residual) ** 2 / n
+    frame = lines(spark, sold).withColumn("quantity", F.nullif("quantity", F.lit(999)))
+    got = supply.demand_forecast(frame).orderBy("week_end").collect()
+    assert [r["week_end"] for r in got] == sunday[n:]
+    assert 53 in week[:n]
+    assert [r["forecast"] for r in got] == pytest.approx(list(np.maximum(level, 0)), abs=1e-6)
+    assert [r["upper"] for r in got] == pytest.approx(list(np.maximum(level + 1.28 * (spread / (n - 1)) ** 0.5, 0)), abs=1e-6)
+
+
+def test_forecast_moves_and_sorts_nothing_after_the_series(spark):
+    plan = supply.demand_forecast(lines(spark, [line()]))._jdf.queryExecution().executedPlan().toString()
+    after = plan[: plan.index("HashAggregate")]
+    assert "Generate" in after
+    assert not any(step in plan for step in ("Window", "Sort "))
+    assert plan.count("Exchange") == 2
+
+
 # --- pricing ----------------------------------------------------------------------
 
 

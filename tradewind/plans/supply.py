@@ -261,77 +261,123 @@ def inventory_policy(
 # --- forecast ---------------------------------------------------------------------
 
 
-def weekly_series(lines: DataFrame) -> DataFrame:
-    """Quantity per item and calendar week (named by its Sunday), zero in weeks without lines.
+def item_series(lines: DataFrame) -> DataFrame:
+    """The weekly series of every item as one row: its first week (named by its Sunday) and the `quantities` from
+    there to its last week, zero in weeks without lines.
 
-    Each week with lines also produces the empty weeks up to the next one, so the series needs no
-    join against a calendar.
+    What is gathered are an item's weeks with lines; each also stands for the empty weeks up to the next one, so
+    the series needs no join against a calendar.
     """
-    weekly = lines.groupBy("stock_code", week_end(F.col("invoice_date")).alias("start")).agg(
-        F.sum("quantity").alias("quantity")
-    )
-    item = Window.partitionBy("stock_code").orderBy("start")
-    following = F.coalesce(F.lead("start").over(item), F.date_add("start", 7))
-    weeks = F.sequence("start", F.date_sub(F.col("following"), 7), F.expr("interval 7 days"))
-    spread = weekly.withColumn("following", following).select("stock_code", "start", "quantity", F.explode(weeks).alias("week_end"))
-    quantity = F.when(F.col("week_end") == F.col("start"), F.col("quantity")).otherwise(0)
-    return spread.select("stock_code", "week_end", quantity.alias("quantity"))
+    start = week_end(F.col("invoice_date"))
+    weekly = lines.groupBy("stock_code", start.alias("start")).agg(F.sum("quantity").alias("quantity"))
+    # Added up first, then moved by item once: a week's partial lists would be no smaller than its row.
+    weekly = weekly.where(F.col("start").isNotNull()).repartition("stock_code")
+    items = weekly.groupBy("stock_code").agg(F.sort_array(F.collect_list(F.struct("start", "quantity"))).alias("weeks"))
+
+    def run(week, i):
+        days = F.datediff(F.get("weeks", i + 1)["start"], week["start"])
+        empty = F.coalesce((days / 7).cast("int"), F.lit(1)) - 1
+        return F.concat(F.array(week["quantity"]), F.array_repeat(F.lit(0).cast("bigint"), empty))
+
+    quantities = F.flatten(F.transform("weeks", run))
+    return items.select("stock_code", F.get("weeks", F.lit(0))["start"].alias("first_week"), quantities.alias("quantities"))
+
+
+def weekly_series(lines: DataFrame) -> DataFrame:
+    """Quantity per item and calendar week (named by its Sunday), zero in weeks without lines."""
+    # No array is empty; of a plain explode Spark would make a filter that works all arrays out once more.
+    quantity = F.posexplode_outer("quantities").alias("week", "quantity")
+    weeks = item_series(lines).select("stock_code", "first_week", quantity)
+    return weeks.select("stock_code", F.expr("date_add(first_week, 7 * week)").alias("week_end"), "quantity")
+
+
+def _array_sum(array: Column, value=lambda x: x) -> Column:
+    """Sum of the values that are not null, zero without any."""
+    return F.aggregate(array, F.lit(0.0), lambda so_far, x: so_far + F.coalesce(value(x), F.lit(0.0)))
+
+
+def _array_mean(array: Column) -> Column:
+    """Mean of the values that are not null, null without any."""
+    def sums(total, n):
+        return F.named_struct(F.lit("total"), total, F.lit("n"), n)
+
+    def add(so_far, x):
+        return sums(so_far["total"] + F.coalesce(x, F.lit(0.0)), so_far["n"] + x.isNotNull().cast("int"))
+
+    return F.aggregate(array, sums(F.lit(0.0), F.lit(0)), add, lambda found: ratio(found["total"], found["n"]))
 
 
 def demand_forecast(lines: DataFrame, weeks_ahead: int = 52, recent_weeks: int = 10, band: float = 1.28) -> DataFrame:
     """Weekly forecast per item from a linear trend and the mean residual of each week of the year.
 
     The forecast is shifted so that its mean equals the mean of the last observed weeks, then cut at
-    zero; the band is the same shift of plus and minus `band` residual deviations. Every step keeps
-    the item partitioning of the series: no join, and at most 53 seasonal values per item gathered.
+    zero; the band is the same shift of plus and minus `band` residual deviations. An item's series is
+    one row, at most one number per calendar week, and every step from there on works within the row: nothing
+    is shuffled, sorted or grouped after the series.
     """
-    item = Window.partitionBy("stock_code")
-    series = weekly_series(lines).withColumns(
-        {"first_week": F.min("week_end").over(item), "last_week": F.max("week_end").over(item)}
+    n = F.size("quantities")
+    series = item_series(lines).withColumns(
+        {
+            "last_week": F.date_add("first_week", 7 * (n - 1)),
+            "points": F.filter(
+                F.transform("quantities", lambda q, i: F.named_struct(F.lit("t"), i.cast("double"), F.lit("y"), q.cast("double"))),
+                lambda p: p["y"].isNotNull(),
+            ),
+        }
     )
-    t = (F.datediff("week_end", "first_week") / 7).cast("double")
-    y = F.col("quantity").cast("double")
-    series = series.withColumns({"t": t, "y": y})
-    fitted = series.withColumns(
+    points = F.col("points")
+    series = series.withColumns(
         {
-            "slope": F.coalesce(F.regr_slope("y", "t").over(item), F.lit(0.0)),
-            "intercept": F.coalesce(F.regr_intercept("y", "t").over(item), F.avg("y").over(item)),
+            "mean_t": ratio(_array_sum(points, lambda p: p["t"]), F.size("points")),
+            "mean_y": ratio(_array_sum(points, lambda p: p["y"]), F.size("points")),
         }
-    ).withColumn("residual", F.col("y") - F.col("intercept") - F.col("slope") * F.col("t"))
-
-    recent = F.datediff("last_week", "week_end") < 7 * recent_weeks
-    seasons = fitted.groupBy("stock_code", F.weekofyear("week_end").alias("week_of_year")).agg(
-        F.avg("residual").alias("seasonal"),
-        F.count("*").alias("n"),
-        F.sum("residual").alias("residual_sum"),
-        F.sum(F.col("residual") * F.col("residual")).alias("residual_squares"),
-        F.sum(F.when(recent, F.col("quantity"))).alias("recent_sum"),
-        F.count_if(recent).alias("recent_n"),
-        *[F.max(c).alias(c) for c in ("slope", "intercept", "first_week", "last_week")],
     )
-    n = F.sum("n").cast("double")
-    spread = F.sum("residual_squares") - F.sum("residual_sum") * F.sum("residual_sum") / n
-    sigma = F.coalesce(F.sqrt(F.try_divide(F.greatest(spread, F.lit(0.0)), n - 1.0)), F.lit(0.0))
-    models = seasons.groupBy("stock_code").agg(
-        F.map_from_entries(F.collect_list(F.struct("week_of_year", "seasonal"))).alias("seasonal"),
-        sigma.alias("sigma"),
-        ratio(F.sum("recent_sum"), F.sum("recent_n")).alias("observed_mean"),
-        *[F.max(c).alias(c) for c in ("slope", "intercept", "first_week", "last_week")],
+    off_t = lambda p: p["t"] - F.col("mean_t")
+    covariance = _array_sum(points, lambda p: off_t(p) * (p["y"] - F.col("mean_y")))
+    slope = F.coalesce(ratio(covariance, _array_sum(points, lambda p: off_t(p) * off_t(p))), F.lit(0.0))
+    series = series.withColumn("slope", slope).withColumn("intercept", F.col("mean_y") - F.col("slope") * F.col("mean_t"))
+    residual = lambda q, i: q.cast("double") - F.col("intercept") - F.col("slope") * i.cast("double")
+    fitted = series.withColumn("residuals", F.transform("quantities", residual))
+
+    total = _array_sum(F.col("residuals"))
+    spread = _array_sum(F.col("residuals"), lambda r: r * r) - total * total / n
+    recent = F.slice("quantities", F.greatest(n - recent_weeks + 1, F.lit(1)), recent_weeks)
+    known = F.filter(recent, lambda q: q.isNotNull())
+    # Where the first week of each year of weeks lies in the series, the year after the last included.
+    thursday_year = [F.year(F.date_sub(c, 3)) for c in ("first_week", "last_week")]
+    year_start = lambda y: F.datediff(week_end(F.make_date(y, F.lit(1), F.lit(4))), "first_week") / 7
+    models = fitted.withColumns(
+        {
+            "sigma": F.coalesce(F.sqrt(F.try_divide(F.greatest(spread, F.lit(0.0)), n - 1.0)), F.lit(0.0)),
+            "observed_mean": F.when(F.size(known) > 0, ratio(_array_sum(known), F.size(recent))),
+            "years": F.transform(F.sequence(thursday_year[0], thursday_year[1] + 1), lambda y: year_start(y).cast("int")),
+        }
     )
-    ahead = F.explode(F.sequence(F.lit(1), F.lit(weeks_ahead)))
-    future = models.withColumn("step", ahead).withColumn("week_end", F.expr("date_add(last_week, 7 * step)"))
-    t_ahead = (F.datediff("week_end", "first_week") / 7).cast("double")
-    season = F.coalesce(F.try_element_at("seasonal", F.weekofyear("week_end")), F.lit(0.0))
-    future = future.withColumn("yhat", F.col("intercept") + F.col("slope") * t_ahead + season)
-    bias = F.avg("yhat").over(item) - F.col("observed_mean")
-    future = future.withColumn("level", F.col("yhat") - bias)
+
+    def season(week_of_year):
+        def residual_of(year):
+            place = F.get("years", year) + week_of_year - 1
+            return F.when(place < F.get("years", year + 1), F.get("residuals", place))
+
+        return _array_mean(F.transform(F.sequence(F.lit(0), F.size("years") - 2), residual_of))
+
+    def ahead(step):
+        week_of_year = F.weekofyear(F.date_add("last_week", 7 * step))
+        return F.col("intercept") + F.col("slope") * (n - 1 + step) + F.coalesce(season(week_of_year), F.lit(0.0))
+
+    yhat = F.transform(F.sequence(F.lit(1), F.lit(weeks_ahead)), ahead)
+    bias = _array_mean(F.col("yhat")) - F.col("observed_mean")
+    shifted = models.withColumn("yhat", yhat).withColumn("bias", bias)
+    # Outer, as in `weekly_series`.
+    weeks = F.posexplode_outer("yhat").alias("week", "yhat")
+    future = shifted.select("stock_code", "last_week", "sigma", "bias", weeks).withColumn("level", F.col("yhat") - F.col("bias"))
 
     def cut(value):
         return F.greatest(value, F.lit(0.0))
 
     return future.select(
         "stock_code",
-        "week_end",
+        F.expr("date_add(last_week, 7 * (week + 1))").alias("week_end"),
         cut(F.col("level")).alias("forecast"),
         cut(F.col("level") - band * F.col("sigma")).alias("lower"),
         cut(F.col("level") + band * F.col("sigma")).alias("upper"),
