@@ -4,7 +4,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from tradewind.operators import eigen, kmeans
+from tradewind.operators import eigen, fixed_point, kmeans
 from tradewind.plans import clusters, segments
 
 
@@ -191,3 +191,47 @@ def test_fewer_points_than_clusters(spark):
     none = spark.createDataFrame([], schema)
     assert len(kmeans.fit(none, [2], 2)[2]) == 0
     assert none.select(kmeans.nearest(np.zeros((0, 2)))).count() == 0
+
+
+def test_few_bytes_of_points_are_still_spread_over_all_cores(spark):
+    points = spark.range(5000).select(
+        F.col("id").cast("string").alias("key"),
+        F.lit(1.0).alias("weight"),
+        F.array(F.lit(0)).alias("indices"),
+        F.array(F.col("id").cast("double")).alias("values"),
+    )
+    coalescing = spark.conf.get("spark.sql.adaptive.coalescePartitions.parallelismFirst")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.parallelismFirst", "false")
+    try:
+        found = kmeans.distinct_points(points)
+        assert found.count() == 5000
+        assert found.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.parallelismFirst", coalescing)
+
+
+def test_draws_and_distances_of_the_tasks_are_those_of_the_columns(spark):
+    draw = np.random.default_rng(5)
+    rows = [(int(x), [0, 2, 3], [round(v, 9) for v in draw.normal(size=3).tolist()]) for x in draw.integers(0, 1 << 60, 50)]
+    frame = spark.createDataFrame(rows, "h bigint, indices array<int>, `values` array<double>")
+    centers = draw.normal(size=(3, 5))
+    hashed = kmeans.key_hash(F.concat_ws("|", F.lit("3"), F.lit("1"), F.col("h").cast("string")))
+    expected = frame.select(((hashed + 0.5) / float(1 << 60)).alias("unit"), kmeans.distances(centers).alias("d")).collect()
+    batch = frame.toArrow().combine_chunks().to_batches()[0]
+    keys = [b"%d" % r[0] for r in rows]
+    assert kmeans._units(3, 1, keys).tolist() == [r["unit"] for r in expected]
+    assert kmeans._distances(kmeans._cells(batch), len(batch), centers).tolist() == [r["d"] for r in expected]
+
+
+def test_sums_of_the_tasks_are_exact():
+    values = np.array([1e6, -1e6, 0.1, 0.2, -0.3, 1e-12, 123456.789] * 1000)
+    orders = [values, values[::-1], np.sort(values)]
+    found = set()
+    for own in orders:
+        whole, part = np.zeros(1, np.int64), np.zeros(1, np.int64)
+        for piece in np.array_split(own, 7):
+            for total, share in zip((whole, part), fixed_point.split(piece), strict=True):
+                total += share.sum()
+            fixed_point.carry(whole, part)
+        found.add(fixed_point.number({"whole": int(whole[0]), "part": int(part[0])}))
+    assert found == {123456789.000000001}

@@ -2,10 +2,12 @@
 
 import json
 import math
-from functools import cached_property
+from collections.abc import Iterator
+from functools import cached_property, partial
 from itertools import combinations_with_replacement
 
 import numpy as np
+import pyarrow as pa
 from pyspark.ml import Pipeline
 from pyspark.ml.feature import OneHotEncoder, StringIndexer
 from pyspark.ml.functions import vector_to_array
@@ -13,7 +15,7 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import eigen, kmeans
+from ..operators import eigen, fixed_point, kmeans
 from ..operators.lineage import cut_lineage
 
 STANDARDIZED = ["visit_number", "time_on_site", "pageviews", "session_quality", "totals_revenue", "price"]
@@ -22,8 +24,6 @@ CYCLE = ["month_sin", "month_cos"]
 IDS = ["users", "visit_id", "transaction_id"]
 COMPONENTS = 5
 SEGMENTS = 4
-# Sums that come out the same in any order.
-MOMENT = "decimal(38,12)"
 
 
 def feature_frame(behavior: DataFrame) -> DataFrame:
@@ -117,11 +117,33 @@ def feature_covariance(features: DataFrame) -> DataFrame:
     return found.select(F.explode("cells").alias("cell")).select("cell.*")
 
 
+def _moment_batches(batches: Iterator[pa.RecordBatch], numeric: list[str]) -> Iterator[pa.RecordBatch]:
+    """Number of rows, sums and sums of products by combination of levels, over a task's rows; nulls add nothing."""
+    first, second = np.array(list(combinations_with_replacement(range(len(numeric)), 2))).T
+    sums: dict[tuple, list[np.ndarray]] = {}
+    for batch in batches:
+        levels = pa.Table.from_batches([batch.select(CATEGORICAL)])
+        groups = levels.append_column("row", pa.array(np.arange(len(batch)))).group_by(CATEGORICAL).aggregate([("row", "list")])
+        x = np.stack([batch.column(c).to_numpy(zero_copy_only=False) for c in numeric], axis=1)
+        cells = np.nan_to_num(np.concatenate([np.ones((len(x), 1)), x, x[:, first] * x[:, second]], axis=1), nan=0.0)
+        parts = fixed_point.split(cells)
+        for group in groups.to_pylist():
+            key = tuple(group[c] for c in CATEGORICAL)
+            total = sums.setdefault(key, [np.zeros(cells.shape[1], dtype=np.int64) for _ in parts])
+            for so_far, part in zip(total, parts, strict=True):
+                so_far += part[group["row_list"]].sum(axis=0)
+            fixed_point.carry(*total)
+    for key, (whole, part) in sums.items():
+        columns = [pa.array([level] * len(whole), pa.string()) for level in key]
+        columns += [pa.array(np.arange(len(whole)), pa.int32()), pa.array(whole), pa.array(part)]
+        yield pa.RecordBatch.from_arrays(columns, [*CATEGORICAL, "cell", "whole", "part"])
+
+
 class Segmentation:
     """Components and segments of a feature frame, fitted when first asked for.
 
     The features are the numeric columns and a dummy for every level of the categories but the first. All
-    second moments come from one aggregate by combination of levels, in decimals, so that neither the components
+    second moments come from one aggregate by combination of levels, in exact sums, so that neither the components
     nor the segments depend on the partitioning. What the driver holds is one row per combination of levels.
     """
 
@@ -132,13 +154,18 @@ class Segmentation:
         self.prepared = cyclical_month(standardize(cut_lineage(features)))
 
     @cached_property
-    def _combinations(self) -> list:
+    def _combinations(self) -> list[dict]:
         """Levels, number of rows, and sums of the numeric columns and of their products."""
-        values = {c: F.col(c).cast("double") for c in self.numeric}
-        sums = [F.sum(v.cast(MOMENT)).cast("double").alias(c) for c, v in values.items()]
-        for a, b in combinations_with_replacement(self.numeric, 2):
-            sums.append(F.sum((values[a] * values[b]).cast(MOMENT)).cast("double").alias(f"{a}*{b}"))
-        return self.prepared.groupBy(*CATEGORICAL).agg(F.count("*").alias("rows"), *sums).collect()
+        pairs = list(combinations_with_replacement(self.numeric, 2))
+        names = ["rows", *self.numeric, *[f"{a}*{b}" for a, b in pairs]]
+        rows = self.prepared.select(*CATEGORICAL, *[F.col(c).cast("double").alias(c) for c in self.numeric])
+        levels = ", ".join(f"{c} string" for c in CATEGORICAL)
+        sums = rows.mapInArrow(partial(_moment_batches, numeric=self.numeric), f"{levels}, cell int, whole bigint, part bigint")
+        found = {}
+        for r in fixed_point.totals(sums, [*CATEGORICAL, "cell"]):
+            combination = found.setdefault(tuple(r[c] for c in CATEGORICAL), {c: r[c] for c in CATEGORICAL})
+            combination[names[r["cell"]]] = fixed_point.number(r)
+        return list(found.values())
 
     @cached_property
     def levels(self) -> dict[str, list[str]]:
