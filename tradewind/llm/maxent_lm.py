@@ -27,7 +27,7 @@ empty table gives an empty table; extra columns play no part.
 from collections import Counter
 from collections.abc import Iterator
 from functools import partial
-from itertools import compress
+from itertools import compress, repeat
 from typing import NamedTuple
 
 import numpy as np
@@ -210,9 +210,11 @@ class Model:
 
         A step moves a sum of weights by the logarithm of the tokens at most, so no exponent overflows.
         """
-        found = self.offset[self.node_of[rows[:, 0]]]
+        found = np.take(self.offset, self.node_of[rows[:, 0]], axis=0, mode="clip")
+        row = np.empty_like(found)
         for j in range(rows.shape[1]):
-            found += np.take(self.weights, rows[:, j], axis=0, mode="clip")
+            np.take(self.weights, rows[:, j], axis=0, out=row, mode="clip")
+            found += row
         np.exp(found, out=found)
         return found, found.sum(axis=1)
 
@@ -315,24 +317,19 @@ def _texts(batch: pa.RecordBatch) -> Iterator[tuple[int, list[bytes]]]:
         yield start, texts[start:end]
 
 
-class Places(dict):
-    """Token to place in the list; -1 for all others."""
+def _places(tokens: tuple[bytes, ...]) -> dict[bytes, int]:
+    """Token to place in the list."""
+    return dict(zip(tokens, range(len(tokens)), strict=True))
 
-    def __init__(self, tokens: tuple[bytes, ...]):
-        super().__init__(zip(tokens, range(len(tokens)), strict=True))
 
-    def __missing__(self, token: bytes) -> int:
-        return -1
-
-
-def _numbered(texts: list[bytes], index: Places) -> tuple[list[list[bytes]], np.ndarray, np.ndarray]:
+def _numbered(texts: list[bytes], index: dict[bytes, int]) -> tuple[list[list[bytes]], np.ndarray, np.ndarray]:
     """Words by text; places in the list (-1: not listed) of all tokens, and where texts start."""
-    place = index.__getitem__
+    place, none = index.get, repeat(-1)
     words = [text.lower().split() for text in texts]
     starts = np.cumsum([0, *[len(w) + 1 for w in words[:-1]]])
     found: list[int] = []
     for own in words:
-        found.extend(map(place, own))
+        found.extend(map(place, own, none))
         found.append(END)
     return words, np.array(found, dtype=np.int64), starts
 
@@ -348,7 +345,7 @@ def _sum_batches(batches: Iterator[pa.RecordBatch], shared, add) -> Iterator[pa.
     """What `add` sums up over a task's documents, in pieces."""
     listed, weights = shared.value
     model = Model(listed, weights)
-    index = Places(listed.tokens[: model.rest])
+    index = _places(listed.tokens[: model.rest])
     sums = None
     for batch in batches:
         for _, texts in _texts(batch):
@@ -430,7 +427,7 @@ def _score_batches(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.Rec
     `base` and `model` lack only the log10(c + 0.1) of the unlisted words.
     """
     listed, weights = shared.value
-    index = Places(listed.tokens)
+    index = _places(listed.tokens)
     lm = Model(listed, weights)
     logs = np.log10(np.array(listed.counts) + SMOOTHING)
     known = np.array(listed.counts) > 0
