@@ -4,10 +4,12 @@ import hashlib
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -431,6 +433,63 @@ def test_the_first_step_needs_no_pass():
     assert np.allclose(expected, by_frequency, rtol=1e-3, atol=1e-3)
 
 
+def test_tokens_against_plain_python():
+    texts = [None, "", " \n\t ", "a", " B  c\x0b\x0cd\r\ne ", "x\x1cy z\x85 \u2003İ\xa0Ä\x00", "The the THE unlisted "]
+    words = [_words(text) for text in texts]
+    listed = [b"", b"the", b"a", b"c"]
+    found = {b: i for i, b in enumerate(listed)}
+    (_, part), = maxent_lm._texts(pa.RecordBatch.from_arrays([pa.array(texts)], ["text"]))
+    tokens, starts = maxent_lm._tokens(part)
+    plain = [token for own in words for token in [*own, b""]]
+    assert tokens.to_pylist() == plain
+    assert starts.tolist() == [sum(len(own) + 1 for own in words[:i]) for i in range(len(words))]
+    assert maxent_lm._places(tokens, pa.array(listed)).tolist() == [found.get(token, -1) for token in plain]
+
+
+def _zipf_texts(n=100, length=2_000, distinct=20_000, seed=3):
+    rng = np.random.default_rng(seed)
+    chances = 1 / np.arange(1, distinct + 1)
+    drawn = rng.choice(distinct, size=(n, length), p=chances / chances.sum())
+    return [" ".join(f"word{i}" for i in row) for row in drawn.tolist()]
+
+
+def test_scoring_takes_little_more_than_reading_the_words():
+    texts = _zipf_texts()
+    counts = Counter(word for text in texts for word in _words(text))
+    frequent = [(word, c) for word, c in counts.most_common() if c > 2]
+    listed = maxent_lm.Listed(
+        (b"", *[word for word, _ in frequent]), (len(texts), *[c for _, c in frequent]), len(texts) + counts.total(), len(counts) + 1
+    )
+
+    class Shared:
+        value = listed, np.zeros_like(maxent_lm.Model(listed).weights)
+
+    columns = [pa.array(range(len(texts))), pa.array([True] * len(texts)), pa.array(texts)]
+    batch = pa.RecordBatch.from_arrays(columns, ["doc_id", "held_out", "text"])
+
+    def seconds(work):
+        start = time.process_time()
+        work()
+        return time.process_time() - start
+
+    def read():
+        return [Counter(_words(text)) for text in texts]
+
+    ratios = [seconds(lambda: list(maxent_lm._score_batches(iter([batch]), Shared))) / seconds(read) for _ in range(9)]
+    assert min(ratios) < 5
+
+
+def test_sums_of_a_step_lose_nothing():
+    model, ids, starts = _small_model()
+    model.weights = np.random.default_rng(2).normal(size=model.weights.shape).astype(np.float32)
+    times = 100
+    many = np.concatenate([starts + i * len(ids) for i in range(times)])
+    expected, once = np.zeros_like(model.weights), np.zeros_like(model.weights)
+    maxent_lm.add_expected(model, expected, np.tile(ids, times), many)
+    maxent_lm.add_expected(model, once, ids, starts)
+    assert np.allclose(expected, times * once.astype(float), rtol=1e-5, atol=1e-5)
+
+
 def test_gain_on_held_out_texts_whatever_the_partitioning(spark, monkeypatch):
     monkeypatch.setattr(maxent_lm, "TOKENS_PER_ROW", 1)
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")

@@ -16,22 +16,23 @@ before alone (skip). Features are hashed to the rows of their node.
   sums, which are as large as the model. A weight moves by its gradient, taken less expected, over the
   logarithmic mean of the two (generalised iterative scaling): no step lowers the likelihood of the training
   texts, and the result does not depend on how the documents are dealt to tasks.
-* Scoring: sparse batches in numpy; equal histories of a batch are worked out once. Counts of words too rare for
-  the broadcast list, which is bounded by construction, come from a join with the distributed count table.
+* Passes: Arrow cuts texts into words and looks these up; numpy works through the decisions in blocks, each a product
+  of three rows. Counts of words too rare for the broadcast list, which is bounded by construction, come from a join
+  with the distributed count table.
 
 Defined results: null and empty texts are the end token alone; a null doc_id counts as held out; repeated
 rows are scored alike, one result row each; without training documents every count is zero and N is 0; an
 empty table gives an empty table; extra columns play no part.
 """
 
-from collections import Counter
+import math
 from collections.abc import Iterator
 from functools import partial
-from itertools import compress, repeat
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -53,12 +54,15 @@ ROWS_PER_ROOT, MAX_ROWS = 16, 1 << 20
 SHARES = (0.4, 0.4, 0.2)
 STEPS = 2
 PRIOR = 10.0
-BLOCK = 16_384
+# Tokens, or distinct decisions, worked on at a time; tokens among which equal decisions are found.
+BLOCK, COMPARED = 4_096, 200_000
 # A task of a step has this many tokens for each row at least, so that the sums it sends are small beside its texts.
 TOKENS_PER_ROW = 64
 CHARS_AT_ONCE = 2_000_000
-DISTINCT_HELD = 400_000
-# The sums travel in this many pieces; partial sums of tasks are formed in as many groups.
+BYTES_COUNTED = 50_000_000
+# Single precision sums have this many tokens for each row before they join the others.
+TOKENS_SUMMED = 4
+# The sums travel in this many pieces.
 PIECES = 64
 _END_TOKEN = b""
 _NO_CHANCE = np.float32(-1e4)
@@ -68,25 +72,52 @@ def held_out():
     return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % FOLDS == HELD_OUT, F.lit(True))
 
 
+# --- tokens ----------------------------------------------------------------------
+
+
+def _texts(batch: pa.RecordBatch) -> Iterator[tuple[int, pa.Array]]:
+    """Offset and texts of the parts of a batch."""
+    texts = pc.fill_null(batch.column("text").cast(pa.string()), "")
+    for start, end in slices(pc.binary_length(texts).to_pylist(), CHARS_AT_ONCE):
+        yield start, texts.slice(start, end - start)
+
+
+def _tokens(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """All tokens of some texts, and where each text starts. ASCII blanks are those at which `bytes.split()` cuts."""
+    words = pc.ascii_trim_whitespace(pc.ascii_lower(texts))
+    # What is behind a text's last blank is empty, like the end token.
+    ended = pc.if_else(pc.equal(words, ""), words, pc.binary_join_element_wise(words, "", " "))
+    tokens = pc.ascii_split_whitespace(ended)
+    return tokens.values.cast(pa.binary()), tokens.offsets.to_numpy()[:-1].astype(np.int64)
+
+
+def _places(tokens: pa.Array, listed: pa.Array) -> np.ndarray:
+    """Places of tokens in the list, -1 for those not in it."""
+    return pc.fill_null(pc.index_in(tokens, value_set=listed), -1).to_numpy().astype(np.int64)
+
+
+def _ids(places: np.ndarray, rest: int) -> np.ndarray:
+    return np.where((places < 0) | (places >= rest), rest, places)
+
+
 # --- counts ----------------------------------------------------------------------
 
 
 def _count_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    counts: Counter = Counter()
+    held: list[pa.Array] = []
 
     def flush():
-        if counts:
-            columns = [pa.array(list(counts), pa.binary()), pa.array(list(counts.values()), pa.int64())]
-            counts.clear()
-            yield pa.RecordBatch.from_arrays(columns, ["token", "c"])
+        counts = pa.chunked_array(held, pa.binary()).value_counts()
+        held.clear()
+        yield pa.RecordBatch.from_arrays([counts.field("values"), counts.field("counts")], ["token", "c"])
 
     for batch in batches:
-        for text in batch.column("text").cast(pa.binary()):
-            counts.update((text.as_py() or b"").lower().split())
-            counts[_END_TOKEN] += 1
-            if len(counts) > DISTINCT_HELD:
+        for _, texts in _texts(batch):
+            held.append(_tokens(texts)[0])
+            if sum(tokens.nbytes for tokens in held) >= BYTES_COUNTED:
                 yield from flush()
-    yield from flush()
+    if held:
+        yield from flush()
 
 
 def token_counts(training: DataFrame) -> DataFrame:
@@ -189,33 +220,60 @@ class Model:
         self.node_of = np.repeat(np.arange(n), self.size.astype(np.int64) * len(SHARES))
         template = np.arange(self.rows, dtype=np.uint64) - self.base[self.node_of]
         self.share = np.array(SHARES)[(template // self.size[self.node_of]).astype(np.int64)]
+        self.first_row = self.base[self.node_of] + self.size[self.node_of] > np.arange(self.rows, dtype=np.uint64)
         self.weights = np.zeros((self.rows, WIDTH), dtype=np.float32) if weights is None else weights
 
+    @property
+    def weights(self) -> np.ndarray:
+        return self._weights
+
+    @weights.setter
+    def weights(self, weights: np.ndarray) -> None:
+        self._weights, self._factors = weights, None
+
+    @property
+    def factors(self) -> np.ndarray:
+        """The weights as factors of odds; those of the word before hold the frequencies at their node as well.
+
+        A step moves a sum of weights by the logarithm of the tokens at most, so no product overflows.
+        """
+        if self._factors is None:
+            self._factors = np.exp(self._weights)
+            self._factors[self.first_row] *= np.exp(self.offset[self.node_of[self.first_row]])
+        return self._factors
+
     def decisions(self, ids: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Of all tokens of some texts: rows (decisions, 3) and child of each decision, and its token."""
+        return self._decided(ids, *histories(ids, starts, self.rest + 1))
+
+    def blocks(self, ids: np.ndarray, starts: np.ndarray, size: int = BLOCK) -> Iterator[tuple]:
+        """Blocks of tokens, each with its decisions."""
+        before, second = histories(ids, starts, self.rest + 1)
+        for at in range(0, len(ids), size):
+            own = slice(at, at + size)
+            yield own, *self._decided(ids[own], before[own], second[own])
+
+    def _decided(self, ids: np.ndarray, before: np.ndarray, second: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         depth = self.depth[ids]
         ends = np.cumsum(depth)
         token = np.repeat(np.arange(len(ids)), depth)
         at = np.repeat(self.first[ids] - (ends - depth), depth) + np.arange(len(token))
         node = self.nodes[at]
         size, base = self.size[node], self.base[node]
-        rows = np.empty((len(token), len(SHARES)), dtype=np.int64)
-        before, second = histories(ids, starts, self.rest + 1)
+        # A column is read at a time.
+        rows = np.empty((len(token), len(SHARES)), dtype=np.int64, order="F")
         for j, feature in enumerate((_hash(before), _hash(before, second), _hash(second))):
-            rows[:, j] = base + np.uint64(j) * size + ((feature[token] * size) >> np.uint64(32))
+            rows[:, j] = base + ((feature[token] * size) >> np.uint64(32))
+            base += size
         return rows, self.children[at], token
 
     def odds(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Each child's share at every decision, and the sum of the shares.
-
-        A step moves a sum of weights by the logarithm of the tokens at most, so no exponent overflows.
-        """
-        found = np.take(self.offset, self.node_of[rows[:, 0]], axis=0, mode="clip")
-        row = np.empty_like(found)
-        for j in range(rows.shape[1]):
-            np.take(self.weights, rows[:, j], axis=0, out=row, mode="clip")
-            found += row
-        np.exp(found, out=found)
+        """Each child's share at every decision, and the sum of the shares."""
+        found = np.take(self.factors, rows[:, 0], axis=0, mode="clip")
+        factor = np.empty_like(found)
+        for j in range(1, rows.shape[1]):
+            np.take(self.factors, rows[:, j], axis=0, out=factor, mode="clip")
+            found *= factor
         return found, found.sum(axis=1)
 
     def step(self, taken: np.ndarray, expected: np.ndarray) -> np.ndarray:
@@ -247,116 +305,80 @@ def histories(ids: np.ndarray, starts: np.ndarray, start: int) -> tuple[np.ndarr
     return before, second
 
 
-def _runs(sorted_values: np.ndarray) -> np.ndarray:
-    """Where runs of equal values begin."""
-    return np.flatnonzero(np.r_[True, sorted_values[1:] != sorted_values[:-1]])
-
-
-def _blocks(rows: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Distinct rows of decisions in blocks, with the decisions that have them and their place in the block."""
-    key = (rows[:, 0] << 42) | (rows[:, 1] << 21) | rows[:, 2]
-    order = np.argsort(key)
-    first = _runs(key[order])
-    ends = np.r_[first[1:], len(order)]
-    for at in range(0, len(first), BLOCK):
-        own = slice(at, at + BLOCK)
-        counts = ends[own] - first[own]
-        yield rows[order[first[own]]], order[first[at] : ends[own][-1]], np.repeat(np.arange(len(counts)), counts)
+def _distinct(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct rows of decisions, by their first, and how often each is met."""
+    first, *others = rows.T
+    # First, a hash of the others and the place in one number: numbers sort faster than an order is found.
+    bits = len(rows).bit_length()
+    key = _hash(*others) >> np.uint64(max(0, 32 - 43 + bits))
+    key = (first.astype(np.uint64) << np.uint64(43)) | (key << np.uint64(bits)) | np.arange(len(rows), dtype=np.uint64)
+    key.sort()
+    order = (key & np.uint64((1 << bits) - 1)).astype(np.int64)
+    found = [(key >> np.uint64(43)).astype(np.int64), *(x[order] for x in others)]
+    # Where hashes collide, a row comes more than once, which does no harm.
+    new = np.zeros(len(rows), dtype=bool)
+    new[:1] = True
+    for x in found:
+        new[1:] |= x[1:] != x[:-1]
+    at = np.flatnonzero(new)
+    return np.stack([x[at] for x in found]).T, np.diff(np.r_[at, len(rows)])
 
 
 def log_chances(model: Model, ids: np.ndarray, starts: np.ndarray) -> np.ndarray:
     """log10 P(token | history) by token; for words outside the vocabulary, of their class only."""
-    rows, child, token = model.decisions(ids, starts)
-    chance = np.empty(len(rows), dtype=np.float64)
-    for own, members, place in _blocks(rows):
-        odds, total = model.odds(own)
-        chance[members] = odds[place, child[members]] / total[place]
-    return np.bincount(token, np.log10(np.maximum(chance, 1e-300)), len(ids))
-
-
-def _sum_runs(values: np.ndarray, source: np.ndarray, first: np.ndarray, length: np.ndarray) -> np.ndarray:
-    """Sums of `values[source]` over runs of `source`, most of them short: the k-th members of all runs at a time."""
-    total = np.take(values, source[first], axis=0, mode="clip")
-    k, longer = 1, np.flatnonzero(length > 1)
-    while len(longer) > 24:
-        total[longer] += np.take(values, source[first[longer] + k], axis=0, mode="clip")
-        k += 1
-        longer = longer[length[longer] > k]
-    for run in longer.tolist():
-        members = source[first[run] + k : first[run] + length[run]]
-        total[run] += np.take(values, members, axis=0, mode="clip").sum(axis=0)
-    return total
+    found = np.empty(len(ids))
+    for own, rows, child, token in model.blocks(ids, starts):
+        odds, total = model.odds(rows)
+        chance = odds[np.arange(len(rows)), child].astype(np.float64) / total
+        found[own] = np.bincount(token, np.log10(np.maximum(chance, 1e-300)))
+    return found
 
 
 def add_taken(model: Model, sums: np.ndarray, ids: np.ndarray, starts: np.ndarray) -> None:
     """Count the decisions taken, by row and child."""
-    rows, child, _ = model.decisions(ids, starts)
-    np.add.at(sums.reshape(-1), (rows * WIDTH + child[:, None]).ravel(), np.float32(1))
+    for _, rows, child, _ in model.blocks(ids, starts):
+        np.add.at(sums.reshape(-1), (rows * WIDTH + child[:, None]).ravel(), np.float32(1))
 
 
 def add_expected(model: Model, sums: np.ndarray, ids: np.ndarray, starts: np.ndarray) -> None:
     """Add the chances of all children at the decisions met, by row."""
-    rows, _, _ = model.decisions(ids, starts)
-    for own, _, place in _blocks(rows):
-        chance, total = model.odds(own)
-        chance *= (np.bincount(place, minlength=len(own)) / total).astype(np.float32)[:, None]
-        # Blocks are ordered by their first row.
-        first = _runs(own[:, 0])
-        sums[own[first, 0]] += np.add.reduceat(chance, first, axis=0)
-        for used in own.T[1:]:
-            order = np.argsort(used)
-            first = _runs(used[order])
-            length = np.diff(np.r_[first, len(order)])
-            sums[used[order[first]]] += _sum_runs(chance, order, first, length)
-
-
-def _texts(batch: pa.RecordBatch) -> Iterator[tuple[int, list[bytes]]]:
-    """Offset and texts of the parts of a batch."""
-    texts = [text or b"" for text in batch.column("text").cast(pa.binary()).to_pylist()]
-    for start, end in slices([len(t) for t in texts], CHARS_AT_ONCE):
-        yield start, texts[start:end]
-
-
-def _places(tokens: tuple[bytes, ...]) -> dict[bytes, int]:
-    """Token to place in the list."""
-    return dict(zip(tokens, range(len(tokens)), strict=True))
-
-
-def _numbered(texts: list[bytes], index: dict[bytes, int]) -> tuple[list[list[bytes]], np.ndarray, np.ndarray]:
-    """Words by text; places in the list (-1: not listed) of all tokens, and where texts start."""
-    place, none = index.get, repeat(-1)
-    words = [text.lower().split() for text in texts]
-    starts = np.cumsum([0, *[len(w) + 1 for w in words[:-1]]])
-    found: list[int] = []
-    for own in words:
-        found.extend(map(place, own, none))
-        found.append(END)
-    return words, np.array(found, dtype=np.int64), starts
-
-
-def _ids(places: np.ndarray, rest: int) -> np.ndarray:
-    return np.where((places < 0) | (places >= rest), rest, places)
+    # A complex number is two neighbours, added in one go.
+    pairs, place = sums.reshape(-1).view(np.complex64), np.arange(WIDTH // 2)
+    for _, rows, _, _ in model.blocks(ids, starts, COMPARED):
+        rows, met = _distinct(rows)
+        for at in range(0, len(rows), BLOCK):
+            own = rows[at : at + BLOCK]
+            chance, total = model.odds(own)
+            chance *= (met[at : at + BLOCK] / total).astype(np.float32)[:, None]
+            values = chance.view(np.complex64).ravel()
+            for used in own.T:
+                np.add.at(pairs, (used[:, None] * (WIDTH // 2) + place).ravel(), values)
 
 
 # --- training ----------------------------------------------------------------------
 
 
-def _sum_batches(batches: Iterator[pa.RecordBatch], shared, add) -> Iterator[pa.RecordBatch]:
+def _sum_batches(batches: Iterator[pa.RecordBatch], shared, add, groups: int) -> Iterator[pa.RecordBatch]:
     """What `add` sums up over a task's documents, in pieces."""
     listed, weights = shared.value
     model = Model(listed, weights)
-    index = _places(listed.tokens[: model.rest])
-    sums = None
+    inside = pa.array(listed.tokens[: model.rest], pa.binary())
+    sums, fresh, since = None, None, 0
     for batch in batches:
         for _, texts in _texts(batch):
             if sums is None:
-                sums = np.zeros((model.rows, WIDTH), dtype=np.float32)
-            _, places, starts = _numbered(texts, index)
-            add(model, sums, _ids(places, model.rest), starts)
+                sums, fresh = np.zeros((2, model.rows, WIDTH), dtype=np.float32)
+            tokens, starts = _tokens(texts)
+            add(model, fresh, _ids(_places(tokens, inside), model.rest), starts)
+            since += len(tokens)
+            if since >= TOKENS_SUMMED * model.rows:
+                sums += fresh
+                fresh[:], since = 0, 0
     if sums is not None:
+        sums += fresh
         task = TaskContext.get().partitionId()
         for piece, part in enumerate(np.array_split(sums, PIECES)):
-            columns = [pa.array([x], pa.int32()) for x in (piece, task % PIECES, task)]
+            columns = [pa.array([x], pa.int32()) for x in (piece, task % groups, task)]
             columns.append(pa.array([part.astype("<f4").tobytes()], pa.binary()))
             yield pa.RecordBatch.from_arrays(columns, ["piece", "part", "task", "sums"])
 
@@ -385,9 +407,12 @@ def _add_batches(batches: Iterator[pa.RecordBatch], kind: str) -> Iterator[pa.Re
 def _summed(training: DataFrame, listed: Listed, model: Model, add) -> np.ndarray | None:
     """The sums of `add` over all training documents; None without any."""
     schema = "piece int, part int, task int, sums binary"
-    shared = training.sparkSession.sparkContext.broadcast((listed, model.weights))
+    # Weights that are all zero need not travel.
+    shared = training.sparkSession.sparkContext.broadcast((listed, model.weights if model.weights.any() else None))
     tasks = 1 + listed.n // (TOKENS_PER_ROW * model.rows)
-    added = training.select("text").coalesce(tasks).mapInArrow(partial(_sum_batches, shared=shared, add=add), schema)
+    # As many groups of tasks as tasks in a group, so that either round is small.
+    sum_up = partial(_sum_batches, shared=shared, add=add, groups=math.isqrt(tasks - 1) + 1)
+    added = training.select("text").coalesce(tasks).mapInArrow(sum_up, schema)
     for keys, kind in ((["piece", "part"], "<f4"), (["piece"], "<f8")):
         if keys == ["piece"]:
             added = added.select("piece", F.lit(0).alias("part"), F.col("part").alias("task"), "sums")
@@ -427,37 +452,51 @@ def _score_batches(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.Rec
     `base` and `model` lack only the log10(c + 0.1) of the unlisted words.
     """
     listed, weights = shared.value
-    index = _places(listed.tokens)
+    inside = pa.array(listed.tokens, pa.binary())
     lm = Model(listed, weights)
     logs = np.log10(np.array(listed.counts) + SMOOTHING)
     known = np.array(listed.counts) > 0
     base_mass, rest_mass = np.log10(listed.base_mass), np.log10(listed.rest_mass)
+
+    def rows(**columns) -> pa.RecordBatch:
+        size = len(columns["key"])
+        types = {name: _ARROW[kind] for name, kind in _SCORED}
+        arrays = [pa.array(columns[name], of) if name in columns else pa.nulls(size, of) for name, of in types.items()]
+        return pa.RecordBatch.from_arrays(arrays, list(types))
+
     for batch in batches:
-        ids_column, held_column = batch.column("doc_id").to_pylist(), batch.column("held_out").to_pylist()
         for offset, texts in _texts(batch):
-            words, places, starts = _numbered(texts, index)
+            doc_ids, held = (batch.column(c).slice(offset, len(texts)) for c in ("doc_id", "held_out"))
+            tokens, starts = _tokens(texts)
+            lengths = np.diff(np.r_[starts, len(tokens)])
+            places = _places(tokens, inside)
             ids = _ids(places, lm.rest)
             own = np.where(places >= 0, logs[places], 0.0)
-            base = np.add.reduceat(own - base_mass, starts)
             outside = np.where(ids == lm.rest, own - rest_mass, 0.0)
-            model = np.add.reduceat(log_chances(lm, ids, starts) + outside, starts)
-            in_list = np.add.reduceat(((places >= 0) & known[places]).astype(np.int64), starts)
-            unlisted = np.split(places < 0, starts[1:])
-            columns: list[list] = [[] for _ in _SCORED]
-            for i, (text, own_words, missing) in enumerate(zip(texts, words, unlisted, strict=True)):
-                doc_id = ids_column[offset + i]
-                key = xxhash.xxh3_128_digest(b"%s|%s" % (str(doc_id).encode(), text))
-                row = (key, b"\xff" + key, 0, doc_id, held_column[offset + i], len(own_words) + 1, int(in_list[i]), base[i], model[i])
-                for column, value in zip(columns, row, strict=True):
-                    column.append(value)
-                rare = Counter(compress(own_words, missing.tolist()))
-                columns[0] += [key] * len(rare)
-                columns[1] += rare.keys()
-                columns[2] += rare.values()
-                for column in columns[3:]:
-                    column += [None] * len(rare)
-            arrays = [pa.array(column, _ARROW[kind]) for column, (_, kind) in zip(columns, _SCORED, strict=True)]
-            yield pa.RecordBatch.from_arrays(arrays, [name for name, _ in _SCORED])
+            pairs = zip(doc_ids.to_pylist(), texts.cast(pa.binary()).to_pylist(), strict=True)
+            keys = [xxhash.xxh3_128_digest(b"%s|%s" % (str(doc_id).encode(), text)) for doc_id, text in pairs]
+            yield rows(
+                key=keys,
+                token=[b"\xff" + key for key in keys],
+                tf=np.zeros(len(keys), dtype=np.int64),
+                doc_id=doc_ids,
+                held_out=held,
+                n_tokens=lengths,
+                n_listed=np.add.reduceat(((places >= 0) & known[places]).astype(np.int64), starts),
+                base=np.add.reduceat(own - base_mass, starts),
+                model=np.add.reduceat(log_chances(lm, ids, starts) + outside, starts),
+            )
+            # How often each text has each of its unlisted words.
+            missing = np.flatnonzero(places < 0)
+            rare = tokens.take(pa.array(missing)).dictionary_encode()
+            distinct = max(1, len(rare.dictionary))
+            doc = np.repeat(np.arange(len(texts)), lengths)[missing]
+            found, tf = np.unique(doc * distinct + rare.indices.to_numpy(), return_counts=True)
+            yield rows(
+                key=pa.array(keys, pa.binary()).take(pa.array(found // distinct)),
+                token=rare.dictionary.take(pa.array(found % distinct)),
+                tf=tf,
+            )
 
 
 def score(docs: DataFrame, listed: Listed, weights: np.ndarray, counts: DataFrame) -> DataFrame:
